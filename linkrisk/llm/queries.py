@@ -3,15 +3,53 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, warc
-from .common import table
+from . import chat, exact_dedup, licences, mixing, packing, sstable, warc
+from .common import scratch, table
+
+
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack_documents(docs, tokenizer("word_bpe_49k.json"), end_id=0, capacity=2048)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_classes(table(spark, sf_dir, "documents"))
 
 
+def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    manifest = sstable.write_shards(docs, scratch(spark, "sst"), tokenizer("byte_bpe_50k.json"), end_id=2)
+    return sstable.read_shards(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+#: A conversation whose texts look like control strings, in another layout than the table's rows.
+HARD = '{"messages": [{"role": "user", "content": "\\\\### Assistant: </turn> ok"}, {"role": "assistant", "content": "\\\\### Assistant: </turn> ok"}]}'
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.range(1).select(F.lit(-7).cast("long").alias("id"), F.lit(HARD).alias("record"))
+    turns = chat.canonical_turns(rows).unionByName(chat.canonical_turns(hard))
+    return chat.digests(chat.parse_formatted(chat.format_turns(turns)))
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mixing_weights(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    return mixed.select("doc_id", "mix_source", "mix_lang", "mix_topic", "mix_tokens", F.round("probability", 9).alias("probability"), "sampled")
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(spark, table(spark, sf_dir, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
@@ -19,10 +57,43 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_token_shards": op4_token_shards,
+    "op5_chat_format": op5_chat_format,
+    "op7_source_mixing": op7_source_mixing,
+    "op9_license_scan": op9_license_scan,
     "op10_warc": op10_warc,
 }
 
+
+def _licence_sql() -> str:
+    values = ", ".join(
+        "('{}', [{}])".format(k, ", ".join("'" + x + "'" for x in pairs)) for k, pairs in licences.template_bigrams(licences.TEMPLATES)
+    )
+    return rf"""
+        WITH known(licence, pairs) AS (VALUES {values}),
+        units AS (
+          SELECT doc_id, unnest(CASE WHEN len(string_split(text, chr(10))) > 1
+                                     THEN list_append(string_split(text, chr(10)), text) ELSE [text] END) AS unit,
+                 generate_subscripts(CASE WHEN len(string_split(text, chr(10))) > 1
+                                     THEN list_append(string_split(text, chr(10)), text) ELSE [text] END, 1) AS line
+          FROM documents WHERE text IS NOT NULL),
+        words AS (SELECT doc_id, line, string_split(trim(regexp_replace(lower(unit), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM units),
+        sets AS (
+          SELECT doc_id, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b
+          FROM words WHERE len(w) > 1),
+        scored AS (
+          SELECT doc_id, line, licence, 2.0::DOUBLE * len(list_intersect(pairs, b)) / (len(pairs) + len(b)) AS dice
+          FROM sets, known WHERE len(b) + 1e-6 >= len(pairs) * 0.8 / 1.2 AND len(b) <= len(pairs) * 1.2 / 0.8 + 1e-6),
+        best AS (
+          SELECT * FROM scored WHERE dice >= 0.8
+          QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, licence) = 1)
+        SELECT doc_id, count(*) AS n_matches, arg_min(licence, (-dice, licence)) AS licence, round(max(dice), 6) AS dice
+        FROM best GROUP BY doc_id
+    """
+
+
 ORACLES = {
     "op2_exact_dedup": r"""
         WITH t AS (
@@ -32,4 +103,20 @@ ORACLES = {
                doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY norm)
     """,
+    "op5_chat_format": r"""
+        WITH t AS (
+          SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+          UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+        sized AS (
+          SELECT *, length(role) + length(text) + length(regexp_replace(text, '[^\\<#]', '', 'g'))
+                    + length(regexp_replace(role, '[^\\<#:]', '', 'g')) + 15 AS chars FROM t)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+               CAST(sum(chars) AS BIGINT) AS formatted_chars
+        FROM sized GROUP BY conv_id
+    """,
+    "op9_license_scan": _licence_sql(),
 }
