@@ -52,27 +52,27 @@ def template_bigrams(templates) -> list[tuple[str, list[str]]]:
 
 
 def scan_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, templates=TEMPLATES) -> DataFrame:
-    """Lines that match: the id, line (from 0; -1 for a whole text of several lines), licence, dice.
+    """Lines that match: the id, line (from 0; -1 for the whole text, which stands for its line where there is only one), licence, dice.
 
     Of several templates the one with the largest coefficient counts, of equal ones the first by
     licence name. Null and empty texts have no lines.
     """
     sets = template_bigrams(templates)
     low = F.lit(threshold / (2 - threshold) - 1e-9)
-    text = F.col(text_col).cast("string")
-    lines = F.split(text, "\n")
-    units = F.when(F.size(lines) > 1, F.concat(F.transform(lines, lambda x, i: F.struct(i.alias("line"), x.alias("text"))), F.array(F.struct(F.lit(-1).alias("line"), text.alias("text"))))).otherwise(
-        F.transform(lines, lambda x, i: F.struct(i.alias("line"), x.alias("text")))
-    )
-    rows = docs.select(F.col(id_col).alias("_id"), F.explode(units).alias("_u")).select("_id", F.col("_u.line").alias("line"), F.split(normal_words(F.col("_u.text")), " ").alias("_w"))
-    rows = rows.where(F.size("_w") - 1 >= low * min(len(x) for _, x in sets)).select("_id", "line", bigrams(F.col("_w")).alias("_b"))
+    lines = F.split("_text", "\n")
+    units = F.concat(F.array(F.col("_text")), F.when(F.size(lines) > 1, lines).otherwise(F.array().cast("array<string>")))
+    # Each explode() of one value is a barrier: the optimizer would else copy what stands below into
+    # every place that reads it.
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).select("_id", F.posexplode_outer(units).alias("line", "_unit"))
+    rows = rows.select("_id", "line", F.explode(F.array(F.split(normal_words(F.col("_unit")), " "))).alias("_w")).where(F.size("_w") - 1 >= low * min(len(x) for _, x in sets))
+    rows = rows.select("_id", "line", F.explode(F.array(bigrams(F.col("_w")))).alias("_b"))
     n = F.size("_b")
     known = F.array(*(F.struct(F.lit(k).alias("licence"), F.lit(len(x)).alias("n"), F.array(*map(F.lit, x)).alias("pairs")) for k, x in sets))
     fits = F.filter(known, lambda t: (n >= low * t["n"]) & (n * low <= t["n"]))
     scored = F.transform(fits, lambda t: F.struct((F.lit(-2.0) * F.size(F.array_intersect(t["pairs"], F.col("_b"))) / (t["n"] + n)).alias("worse"), t["licence"].alias("licence")))
-    best = F.array_min(scored)
-    return rows.select("_id", "line", best.alias("_best")).where(F.col("_best.worse") <= -threshold).select(
-        F.col("_id").alias(id_col), "line", F.col("_best.licence").alias("licence"), (-F.col("_best.worse")).alias("dice")
+    rows = rows.select("_id", "line", F.explode(F.array(F.array_min(scored))).alias("_best")).where(F.col("_best.worse") <= -threshold)
+    return rows.select(
+        F.col("_id").alias(id_col), (F.col("line") - 1).alias("line"), F.col("_best.licence").alias("licence"), (-F.col("_best.worse")).alias("dice")
     )
 
 
