@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, licences, mixing, packing, sstable, warc
+from . import chat, exact_dedup, licences, mixing, packing, quality, simhash, sstable, warc
 from .common import scratch, table
 
 
@@ -24,6 +24,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_classes(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents")).drop("failed_rule")
+
+
 def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     manifest = sstable.write_shards(docs, scratch(spark, "sst"), tokenizer("byte_bpe_50k.json"), end_id=2)
@@ -46,6 +50,11 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "mix_source", "mix_lang", "mix_topic", "mix_tokens", F.round("probability", 9).alias("probability"), "sampled")
 
 
+def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = simhash.near_classes(table(spark, sf_dir, "documents"), width=4, distance=4)
+    return classes.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_documents(table(spark, sf_dir, "documents"))
 
@@ -59,9 +68,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_quality_rules": op3_quality_rules,
     "op4_token_shards": op4_token_shards,
     "op5_chat_format": op5_chat_format,
     "op7_source_mixing": op7_source_mixing,
+    "op8_simhash_dedup": op8_simhash_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_warc": op10_warc,
 }
@@ -103,6 +114,39 @@ ORACLES = {
                doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY norm)
     """,
+    "op3_quality_rules": r"""
+        WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        words AS (
+          SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i
+          FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM docs)),
+        windows AS (
+          SELECT *, lead(word, 1) OVER o AS w1, lead(word, 2) OVER o AS w2 FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        counted AS (SELECT *, w2 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, word, w1, w2) > 1 AS hit FROM windows),
+        covered AS (
+          SELECT *, hit OR coalesce(lag(hit, 1) OVER o, false) OR coalesce(lag(hit, 2) OVER o, false) AS rep
+          FROM counted WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        by_word AS (
+          SELECT doc_id, count(*) AS n_words, sum(length(word)) AS word_chars, count_if(rep) AS n_repeat,
+                 count_if(regexp_matches(word, '\p{L}')) AS lettered
+          FROM covered GROUP BY doc_id),
+        lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs),
+        by_line AS (
+          SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS dups
+          FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+        by_text AS (
+          SELECT doc_id, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(regexp_extract_all(text, '\p{Lu}')) AS upper,
+                 len(regexp_extract_all(text, '\p{L}')) AS letters, len(regexp_extract_all(text, '!')) AS bangs
+          FROM docs),
+        stats AS (
+          SELECT t.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, coalesce(dups, 0) AS n_dup_lines,
+                 coalesce(n_repeat, 0) AS n_repeat_words, upper, letters, bangs, coalesce(lettered, 0) AS lettered, coalesce(n_lines, 0) AS n_lines
+          FROM by_text t LEFT JOIN by_word USING (doc_id) LEFT JOIN by_line USING (doc_id)),
+        judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM stats)
+        SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+               NOT (base_failed OR 5 * n_symbols > n_words OR 10 * upper > 4 * letters OR 10 * bangs > 3 * n_words
+                    OR 2 * n_dup_lines > n_lines OR 2 * word_chars < 3 * n_words OR word_chars > 20 * n_words OR 2 * lettered < n_words) AS kept
+        FROM judged
+    """,
     "op5_chat_format": r"""
         WITH t AS (
           SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
