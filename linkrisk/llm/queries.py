@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, licences, mixing, packing, quality, simhash, sstable, warc
+from . import chat, exact_dedup, licences, mixing, packing, quality, simhash, sstable, suffix_dedup, warc
 from .common import scratch, table
 
 
@@ -45,6 +45,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.parse_formatted(chat.format_turns(turns)))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.cut_out(table(spark, sf_dir, "documents"), span=50).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mixing_weights(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
     return mixed.select("doc_id", "mix_source", "mix_lang", "mix_topic", "mix_tokens", F.round("probability", 9).alias("probability"), "sampled")
@@ -71,6 +75,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_token_shards": op4_token_shards,
     "op5_chat_format": op5_chat_format,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_source_mixing": op7_source_mixing,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_license_scan": op9_license_scan,
