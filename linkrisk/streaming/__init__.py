@@ -1,0 +1,14 @@
+"""The library is batch only: every source it describes is published as whole files, and no operator
+needs a watermark or state. The package is kept for jobs that read a folder as a stream.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+
+def folder_stream(spark: SparkSession, path: str, schema: StructType, *, files_per_batch: int = 100) -> DataFrame:
+    """New Parquet files of a folder; the row-wise operators (cleaning, bounding box, projection,
+    rates) work on it as they do on a table."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
