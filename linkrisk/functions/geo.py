@@ -115,7 +115,9 @@ def with_steps(df: DataFrame, steps: Steps, keep: Sequence[str]) -> DataFrame:
     before = df.columns
     for name, sql in steps:
         df = df.withColumn(name, F.expr(sql))
-    return df.select(*before, *keep)
+    # inline() is a barrier: a filter or join condition on the result would else be pushed through
+    # the chain and write every step out in full.
+    return df.select(*before, F.inline(F.array(F.struct(*keep))))
 
 
 def to_grid(df: DataFrame, lon: str = "longitude", lat: str = "latitude", x: str = "x", y: str = "y") -> DataFrame:
