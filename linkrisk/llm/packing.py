@@ -106,9 +106,10 @@ def pack(pieces: DataFrame, *, keys: tuple[str, ...], length_col: str = "length"
     """``pieces`` with sequence_id and offset.
 
     ``keys`` name a piece; they order pieces of one length, so that every run agrees. Pieces that
-    are empty or have no length get nulls; a longer one than ``capacity`` is an error. ``pieces`` is
-    read more than once and should be stored.
+    are empty or have no length get nulls; a longer one than ``capacity`` is an error. Columns of
+    ``pieces`` with the new names are replaced. ``pieces`` is read more than once and should be stored.
     """
+    pieces = pieces.drop("sequence_id", "offset")
     sized = F.col(length_col) > 0
     histogram = {r[0]: r[1] for r in pieces.where(sized).groupBy(F.col(length_col).cast("long")).count().orderBy(length_col).limit(capacity + 1).collect()}
     if histogram and max(histogram) > capacity:

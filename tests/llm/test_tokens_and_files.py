@@ -91,7 +91,7 @@ def test_documents_are_cut_and_packed(docs):
 
 
 def test_pieces_without_length_have_no_place(spark):
-    df = spark.createDataFrame([(1, 5), (2, None), (3, 0), (4, 5)], "k int, length int")
+    df = spark.createDataFrame([(1, 5), (2, None), (3, 0), (4, 5)], "k int, length int").withColumn("offset", F.lit("clash"))
     got = {r.k: (r.sequence_id, r.offset) for r in packing.pack(df, keys=("k",), capacity=8, salts=3).collect()}
     assert got[2] == got[3] == (None, None) and {got[1][0], got[4][0]} == {0, 1}
     with pytest.raises(ValueError, match="capacity"):
