@@ -167,5 +167,32 @@ ORACLES = {
                CAST(sum(chars) AS BIGINT) AS formatted_chars
         FROM sized GROUP BY conv_id
     """,
+    "op6_suffix_dedup": r"""
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+        w AS (SELECT doc_id, p, unhex(substr(h, 2 * p + 1, 100)) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(n - 49, 0))) AS p FROM d)),
+        least AS (SELECT s, min(doc_id) AS first_id FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+        hits AS (SELECT doc_id, p FROM w JOIN least USING (s) WHERE doc_id > first_id),
+        marks AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS new FROM hits),
+        numbered AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM marks),
+        runs AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM numbered GROUP BY doc_id, g),
+        ends AS (SELECT doc_id, max(b) AS last, sum(b - a) AS removed, count(*) AS spans FROM runs GROUP BY doc_id),
+        gaps AS (
+          SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM runs
+          UNION ALL SELECT d.doc_id, coalesce(last, 0), n FROM d LEFT JOIN ends USING (doc_id)),
+        kept AS (SELECT doc_id, string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY x) AS k FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256
+        FROM d JOIN kept USING (doc_id) LEFT JOIN ends USING (doc_id)
+    """,
     "op9_license_scan": _licence_sql(),
+    "op10_warc": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS best FROM p),
+        parts AS (
+          SELECT *, unnest(range(0, 32)) AS k FROM d),
+        chars AS (
+          SELECT *, substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(x, 1 + 10 * (k // 8), 10) AS BIGINT) >> CAST(35 - 5 * (k % 8) AS INT)) & 31) AS INT), 1) AS c FROM parts)
+        SELECT page_id, payload_bytes, string_agg(c, '' ORDER BY k) AS payload_digest,
+               CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> best THEN best END AS refers_to
+        FROM chars GROUP BY page_id, payload_bytes, best
+    """,
 }
