@@ -3,10 +3,11 @@
 A byte goes if it is covered by a string of ``span`` bytes that also starts in a document with a
 smaller id. The suffixes of all documents are dealt to buckets and sorted a bucket at a time:
 
-1. Bucket of a suffix: the least hash of the 16-byte strings in its first ``span`` bytes. Equal
-   strings share it, and so do most neighbours, so a run of neighbouring suffixes travels as one
-   segment of text, not as one row a suffix. Segments that occur again in the same batch of
-   documents are settled there: only the one of the smallest id travels.
+1. Anchor of a suffix: the least hash of the 16-byte strings in its first ``span`` bytes. Equal
+   strings share it, and so do most neighbours, so a run of neighbouring suffixes is one segment of
+   text, not one row a suffix. A first pass sends only anchors: what no second document has cannot
+   repeat. Segments with shared anchors are dealt to buckets by anchor. Segments that occur again in
+   the same batch of documents are settled there: only the one of the smallest id travels.
 2. In a bucket, suffixes are sorted by their first 8 bytes. Ties are resolved without comparing
    text: the positions of a difference cover modulo 8 (half of all) are ranked beforehand, by
    doubling, to the depths 40 and 48. Of any two suffixes some shift below 8 leads both to the
@@ -14,7 +15,7 @@ smaller id. The suffixes of all documents are dealt to buckets and sorted a buck
    to all depths, and memory is bounded by the bucket, whose size is a parameter.
 3. The repeated runs of each document are merged and cut out of its text.
 
-Everything is exact: hashes only choose buckets.
+Everything is exact: hashes only choose buckets and what to leave out of them.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from collections.abc import Iterator
 
 import hashlib
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +38,8 @@ ANCHOR = 16
 PERIOD = 8
 COVER = np.array([True, True, True, False, True, False, False, False])  # 0, 1, 2, 4: each difference modulo 8 occurs
 NO_ID = np.iinfo(np.int64).max
-BLOCK = 2 << 20
-BATCH = 12 << 20
+BLOCK = 1 << 18
+BATCH = 8 << 20
 BUCKET = 12 << 20
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
@@ -83,7 +86,7 @@ def packed(*columns: np.ndarray, text: bytes = b"") -> bytes:
     parts = [np.array([n, len(columns), len(text)], dtype="<i8").tobytes()]
     for c in columns:
         parts.append(np.ascontiguousarray(np.diff(c.astype("<i8"), prepend=0).view(np.uint8).reshape(n, 8).T).tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([*parts, text]))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([*parts, text]))
 
 
 def unpacked(data: bytes) -> tuple[list[np.ndarray], bytes]:
@@ -96,10 +99,9 @@ def unpacked(data: bytes) -> tuple[list[np.ndarray], bytes]:
 # ---- segments -------------------------------------------------------------------------------
 
 
-def segments_of(texts: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """Segments of some texts: anchor, place of the text, start, number of suffixes, bytes."""
+def segments_of(texts: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segments of some texts: anchor, place of the text, start, number of suffixes."""
     out: list[tuple] = []
-    pieces: list[bytes] = []
 
     def block(part: list[tuple[int, int, bytes]]) -> None:
         data = b"".join(t for *_, t in part)
@@ -108,17 +110,13 @@ def segments_of(texts: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray,
         least = anchors(data, span)
         begin = np.cumsum([0, *(len(t) for *_, t in part)])
         owner = np.repeat(np.arange(len(part)), np.diff(begin))[: len(least)]
-        valid = np.arange(len(least)) + span <= begin[owner + 1]
-        at = np.flatnonzero(valid)
+        at = np.flatnonzero(np.arange(len(least)) + span <= begin[owner + 1])
         if not len(at):
             return
-        new = np.r_[True, (least[at[1:]] != least[at[:-1]]) | (owner[at[1:]] != owner[at[:-1]])]
-        first = np.flatnonzero(new)
-        count = np.diff(np.r_[first, len(at)])
-        start = at[first]
-        who = owner[start]
-        out.append((least[start], np.array([p[0] for p in part], dtype=np.int64)[who], start - begin[who] + np.array([p[1] for p in part], dtype=np.int64)[who], count))
-        pieces.extend(data[a:b] for a, b in zip(start.tolist(), (start + count + span - 1).tolist(), strict=True))
+        who, value = owner[at], least[at]
+        first = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (who[1:] != who[:-1])])
+        start, who = at[first], who[first]
+        out.append((value[first], np.array([p[0] for p in part], dtype=np.int64)[who], start - begin[who] + np.array([p[1] for p in part], dtype=np.int64)[who], np.diff(np.r_[first, len(at)])))
 
     part, size = [], 0
     for i, text in enumerate(texts):
@@ -130,8 +128,13 @@ def segments_of(texts: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray,
                 part, size = [], 0
     block(part)
     if not out:
-        return (*(np.zeros(0, dtype=t) for t in (np.uint64, np.int64, np.int64, np.int64)), [])
-    return (*(np.concatenate(x) for x in zip(*out, strict=True)), pieces)
+        return tuple(np.zeros(0, dtype=t) for t in (np.uint64, np.int64, np.int64, np.int64))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def short_anchors(anchor: np.ndarray) -> np.ndarray:
+    """Anchors as 40-bit numbers; that two may meet costs work, never results."""
+    return ((anchor * _A) >> np.uint64(24)).astype(np.int64)
 
 
 def repeated_here(ids: np.ndarray, pieces: list[bytes]) -> np.ndarray:
@@ -146,10 +149,10 @@ def repeated_here(ids: np.ndarray, pieces: list[bytes]) -> np.ndarray:
 
 def _names(*columns: np.ndarray) -> np.ndarray:
     """Numbers, equal where all columns are equal."""
-    out = np.unique(columns[0], return_inverse=True)[1].astype(np.int64)
+    out = pd.factorize(columns[0])[0]
     for c in columns[1:]:
-        c = np.unique(c, return_inverse=True)[1].astype(np.int64)
-        out = np.unique(out * (int(c.max(initial=0)) + 1) + c, return_inverse=True)[1].astype(np.int64)
+        c = pd.factorize(c)[0]
+        out = pd.factorize(out * (int(c.max(initial=0)) + 1) + c)[0]
     return out
 
 
@@ -162,31 +165,13 @@ def _shared(names: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return low[names], high[names]
 
 
-def cover_ranks(words: np.ndarray, deep: tuple[int, ...] = (40, 48)) -> dict[int, np.ndarray]:
-    """Ranks of the cover's positions to the given depths, by doubling from 8 bytes.
+def cover_ranks(words: np.ndarray, at: np.ndarray) -> dict[int, np.ndarray]:
+    """Ranks of positions of the cover to the depths 40 and 48: equal ranks are equal strings.
 
-    A step moves by a multiple of the period, so it stays within the cover. Positions outside it
-    have rank -1.
-    """
-    n = len(words)
-    sample = np.flatnonzero(np.resize(COVER, n))
-    place = np.full(n + 64, -1, dtype=np.int64)
-    place[sample] = np.arange(len(sample))
-
-    def then(a: np.ndarray, shift: int, b: np.ndarray) -> np.ndarray:
-        later = place[sample + shift]
-        return _names(a, np.where(later >= 0, b[later], -1))
-
-    by_depth = {8: _names(words[sample])}
-    by_depth[16] = then(by_depth[8], 8, by_depth[8])
-    by_depth[32] = then(by_depth[16], 16, by_depth[16])
-    by_depth[40] = then(by_depth[32], 32, by_depth[8])
-    by_depth[48] = then(by_depth[32], 32, by_depth[16])
-    out = {}
-    for depth in deep:
-        out[depth] = np.full(n, -1, dtype=np.int64)
-        out[depth][sample] = by_depth[depth]
-    return out
+    Only positions that a tie can lead to are ranked, eight bytes at a time."""
+    padded = np.concatenate([words, np.zeros(48, dtype=words.dtype)])
+    to_40 = _names(*(padded[at + k] for k in range(0, 40, 8)))
+    return {40: to_40, 48: _names(to_40, padded[at + 40])}
 
 
 def repeated_suffixes(data: bytes, at: np.ndarray, docs: np.ndarray, span: int) -> np.ndarray:
@@ -195,164 +180,255 @@ def repeated_suffixes(data: bytes, at: np.ndarray, docs: np.ndarray, span: int)
     span is 50 to 56, so that the first 8 bytes, a cover rank and the last 8 bytes hold all of it.
     """
     words = words_at(data)
-    # sort by the first 8 bytes (with the last 8 of the string): alone, or in one document, is settled
-    names = _names(words[at], words[at + span - 8])
+    # sort by the first 8 bytes; blocks of one suffix, or of one document, are settled
+    order = np.argsort(words[at], kind="stable")
+    block = np.empty(len(at), dtype=np.int64)
+    block[order] = np.cumsum(np.r_[0, np.diff(words[at][order]) != 0])
+    names = _names(block, words[at + span - 8])  # the last 8 bytes settle more
     low, high = _shared(names, docs)
     tied = np.flatnonzero(low < high)
     hit = np.zeros(len(at), dtype=bool)
     if not len(tied):
         return hit
-    ranks = cover_ranks(words)
+    first = at[tied]
+    needed = np.zeros(len(data) + PERIOD, dtype=bool)
+    for shift in range(PERIOD):
+        needed[first[COVER[(first + shift) % PERIOD]] + shift] = True
+    place = np.cumsum(needed) - 1
+    ranks = cover_ranks(words, np.flatnonzero(needed))
     for shift in range(PERIOD):
         # shift + depth reaches the last 8 bytes and stays within the string
         depth = 40 if shift + 40 >= span - 8 else 48
-        mine = tied[COVER[(at[tied] + shift) % PERIOD]]
+        mine = tied[COVER[(first + shift) % PERIOD]]
         if len(mine):
-            low, _ = _shared(_names(names[mine], ranks[depth][at[mine] + shift]), docs[mine])
+            low, _ = _shared(_names(names[mine], ranks[depth][place[at[mine] + shift]]), docs[mine])
             hit[mine] |= low < docs[mine]
     return hit
 
 
-def bucket_repeats(ids: np.ndarray, ties: np.ndarray, starts: np.ndarray, counts: np.ndarray, text: bytes, span: int) -> tuple[np.ndarray, ...]:
-    """id, tie, start and end of what repeats in the segments of one bucket."""
+def bucket_repeats(ids: np.ndarray, starts: np.ndarray, counts: np.ndarray, text: bytes, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the segments of one bucket that have repeats: place of the segment, start and end."""
     size = counts + span - 1
     begin = np.cumsum(size) - size
-    # segments whose anchor no other document has in this bucket are settled
-    anchor = np.empty(len(ids), dtype=np.uint64)
-    for a in range(0, len(ids), 50_000):
-        b = min(len(ids), a + 50_000)
-        heads = b"".join(text[x : x + span] for x in begin[a:b].tolist())
-        w = words_at(heads)
-        k = (np.arange(b - a) * span)[:, None] + np.arange(span - ANCHOR + 1)
-        anchor[a:b] = _mixed(w[k], w[k + 8]).min(axis=1)
-    low, high = _shared(_names(anchor), ids)
-    live = np.flatnonzero(low < high)
-    none = np.zeros(0, dtype=np.int64)
-    if not len(live):
-        return none, none, none, none
-    text = b"".join(text[a : a + n] for a, n in zip(begin[live].tolist(), size[live].tolist(), strict=True))
-    ids, ties, starts, counts, size = ids[live], ties[live], starts[live], counts[live], size[live]
-    begin = np.cumsum(size) - size
-    owner = np.repeat(np.arange(len(ids)), counts)
-    step = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    hit = np.flatnonzero(repeated_suffixes(text, begin[owner] + step, ids[owner], span))
+    order = np.argsort(ids, kind="stable")
+    pieces = [text[a : a + n] for a, n in zip(begin[order].tolist(), size[order].tolist(), strict=True)]
+    old = repeated_here(ids[order], pieces)
+    whole, left = order[old], order[~old]
+    text = b"".join([pieces[k] for k in np.flatnonzero(~old).tolist()])
+    begin = np.cumsum(size[left]) - size[left]
+    owner = np.repeat(np.arange(len(left)), counts[left])
+    step = np.arange(len(owner)) - np.repeat(np.cumsum(counts[left]) - counts[left], counts[left])
+    hit = np.flatnonzero(repeated_suffixes(text, begin[owner] + step, ids[left][owner], span)) if len(left) else np.zeros(0, dtype=np.int64)
     if not len(hit):
-        return none, none, none, none
+        return whole, starts[whole], starts[whole] + size[whole]
     first = np.flatnonzero(np.r_[True, (hit[1:] != hit[:-1] + 1) | (owner[hit[1:]] != owner[hit[:-1]])])
     last = np.r_[first[1:], len(hit)] - 1
-    who, begin_at, end_at = owner[hit[first]], step[hit[first]], step[hit[last]]
-    return ids[who], ties[who], starts[who] + begin_at, starts[who] + end_at + span
+    who = left[owner[hit[first]]]
+    return np.r_[whole, who], np.r_[starts[whole], starts[who] + step[hit[first]]], np.r_[starts[whole] + size[whole], starts[who] + step[hit[last]] + span]
 
 
 # ---- Spark ----------------------------------------------------------------------------------
 
-MOVED = "bucket int, settled boolean, blob binary"
+MOVED = "bucket int, kind int, slice long, blob binary"
+DATA, FOUND, NAMES = range(3)  # for a bucket; found for rows of a slice; ids and ties of a slice
+
+
+def _record(bucket: int, kind: int, piece: int, blob: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), pa.array([piece], pa.int64()), pa.array([blob], pa.binary())], names=["bucket", "kind", "slice", "blob"])
+
+
+def _target(piece: int, targets: int) -> int:
+    return (piece * 0x9E3779B97F4A7C15 >> 24 & 0xFFFFFFFF) % targets
+
+
+def _runs(keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]).tolist() if len(keys) else []
+    return zip(cuts, [*cuts[1:], len(keys)], strict=False)
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """Batches of documents of about BATCH bytes, ordered by id and tie, with a number that any run
+    of the same task gives them."""
+    held, size, number = [], 0, 0
+    for batch in batches:
+        plain = [batch.column(k).to_pylist() for k in range(2)]
+        more = [[x.as_buffer().to_pybytes() for x in batch.column(k)] for k in range(2, batch.num_columns)]
+        for row in zip(*plain, *more, strict=True):
+            held.append(row)
+            size += len(row[2])
+            if size >= BATCH:
+                yield TaskContext.get().partitionId() << 32 | number, sorted(held, key=lambda x: x[:2])
+                held, size, number = [], 0, number + 1
+    if held:
+        yield TaskContext.get().partitionId() << 32 | number, sorted(held, key=lambda x: x[:2])
+
+
+def _columns(rows: list[tuple]) -> list[np.ndarray]:
+    return [np.array([x[k] for x in rows], dtype=np.int64) for k in range(2)]
+
 
+def _grouped(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[list[tuple[int, int, int, bytes]]]:
+    """Records with equal keys, which stand together."""
+    held: list[tuple] = []
+    now = None
+    for batch in batches:
+        for r in zip(*rows_of(batch, "bucket", "kind", "slice", "blob"), strict=True):
+            key = tuple(r[{"bucket": 0, "slice": 2}[k]] for k in keys)
+            if key != now and held:
+                yield held
+                held = []
+            now = key
+            held.append(r)
+    if held:
+        yield held
 
-def _record(bucket: int, settled: bool, blob: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([settled]), pa.array([blob], pa.binary())], names=["bucket", "settled", "blob"])
 
+def _by_slice(df: DataFrame) -> DataFrame:
+    return df.repartition(parallelism(df.sparkSession), "bucket").sortWithinPartitions("bucket", "slice")
 
-def _by_target(ids: np.ndarray, ties: np.ndarray, starts: np.ndarray, ends: np.ndarray, targets: int) -> Iterator[pa.RecordBatch]:
-    """Repeats as one record for each group of documents."""
-    group = (ids.astype(np.uint64) * _A >> np.uint64(33)).astype(np.int64) % targets
-    order = np.lexsort((starts, ties, ids, group))
-    ids, ties, starts, ends, group = ids[order], ties[order], starts[order], ends[order], group[order]
-    cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(ids) else []
-    for a, b in zip(cuts, [*cuts[1:], len(ids)], strict=False):
-        yield _record(int(group[a]), True, packed(ids[a:b], ties[a:b], starts[a:b], ends[a:b]))
+
+def shared_anchors(rows: DataFrame, span: int, buckets: int, targets: int) -> DataFrame:
+    """_id, _tie and _shared (short anchors, packed) of texts with anchors that others have."""
+
+    width = (((1 << 40) // buckets).bit_length() + 7) // 8  # bytes of what the bucket leaves open
+
+    def short(numbers: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(numbers.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, docs in _sliced(batches):
+            target = _target(number, targets)
+            yield _record(target, NAMES, number, packed(*_columns(docs)))
+            anchor, row, *_ = segments_of([x[2] for x in docs], span)
+            anchor = short_anchors(anchor)
+            order = np.lexsort((row, anchor))
+            anchor, row = anchor[order], row[order]
+            new = np.r_[True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])] if len(row) else np.zeros(0, bool)
+            anchor, row = anchor[new], row[new]
+            first = np.r_[True, anchor[1:] != anchor[:-1]] if len(row) else np.zeros(0, bool)
+            several = ~first
+            several[:-1] |= ~first[1:]
+            if several.any():
+                yield _record(target, FOUND, number, packed(row[several], anchor[several]))
+            anchor, row = anchor[first], row[first]
+            bucket = anchor % buckets
+            order = np.lexsort((row, bucket))
+            anchor, row, bucket = anchor[order] // buckets, row[order], bucket[order]
+            for a, b in _runs(bucket):
+                yield _record(int(bucket[a]), DATA, number, packed(row[a:b], text=short(anchor[a:b]).tobytes()))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _grouped(batches, "bucket"):
+            data = [r for r in group if r[1] == DATA]
+            yield from (_record(*r) for r in group if r[1] != DATA)
+            if len(data) < 2:
+                continue
+            parts = [unpacked(r[3]) for r in data]
+            raw = [np.frombuffer(p[1], dtype=np.uint8).reshape(-1, width) for p in parts]
+            row = np.concatenate([p[0][0] for p in parts])
+            anchor = np.pad(np.concatenate(raw), ((0, 0), (0, 8 - width))).view("<i8").ravel() * buckets + group[0][0]
+            source = np.repeat(np.arange(len(data)), [len(x) for x in raw])
+            _, at, n = np.unique(anchor, return_inverse=True, return_counts=True)
+            hit = np.flatnonzero(n[at] > 1)  # a slice sends an anchor once
+            for a, b in _runs(source[hit]):
+                number = data[source[hit[a]]][2]
+                yield _record(_target(number, targets), FOUND, number, packed(row[hit[a:b]], anchor[hit[a:b]]))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _grouped(batches, "bucket", "slice"):
+            names = next(unpacked(r[3])[0] for r in group if r[1] == NAMES)
+            found = [unpacked(r[3])[0] for r in group if r[1] == FOUND]
+            if not found:
+                continue
+            row, anchor = (np.concatenate([f[k] for f in found]) for k in range(2))
+            order = np.lexsort((anchor, row))
+            row, anchor = row[order], anchor[order]
+            cuts = list(_runs(row))
+            own = row[[a for a, _ in cuts]]
+            yield pa.RecordBatch.from_arrays([pa.array(names[0][own]), pa.array(names[1][own]), pa.array([packed(anchor[a:b]) for a, b in cuts], pa.binary())], names=["_id", "_tie", "_shared"])
+
+    dealt = rows.mapInArrow(deal, MOVED).repartition(parallelism(rows.sparkSession), "bucket").sortWithinPartitions("bucket")
+    found = _by_slice(dealt.mapInArrow(count, MOVED)).mapInArrow(merge, "_id long, _tie long, _shared binary")
+    return found.dropDuplicates(["_id", "_tie"])  # equal rows have equal anchors
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """_id, _tie, _text: all that is needed of documents, so that one shuffle by id serves two joins."""
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("_id"), F.xxhash64(text_of(text_col)).alias("_tie"), text_of(text_col).cast("binary").alias("_text"))
 
 
 def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
     """Runs to remove: doc_id, tie (the hash that tells texts with one id apart), starts and ends
     (arrays of byte offsets), for texts that have any."""
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("_id"), F.xxhash64(text_of(text_col)).alias("_tie"), text_of(text_col).cast("binary").alias("_text"))
+    rows = _texts(docs, id_col, text_col)
     total = docs.agg(F.sum(F.octet_length(text_of(text_col)))).first()[0] or 0
     buckets = max(parallelism(spark), 4 * total // BUCKET)
     targets = max(parallelism(spark), total // BUCKET)
+    shared = shared_anchors(rows, span, buckets, targets)
+    marked = rows.join(shared, ["_id", "_tie"]).select("_id", "_tie", "_text", "_shared")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes]] = []
-        size = 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            held.sort(key=lambda x: x[:2])
-            anchor, row, starts, counts, pieces = segments_of([t for *_, t in held], span)
-            if not len(row):
-                return
-            ids, ties = (np.array([x[k] for x in held], dtype=np.int64)[row] for k in range(2))
-            old = repeated_here(ids, pieces)
-            yield from _by_target(ids[old], ties[old], starts[old], starts[old] + counts[old] + span - 1, targets)
+        for number, held in _sliced(batches):
+            target = _target(number, targets)
+            names = _columns(held)
+            yield _record(target, NAMES, number, packed(*names))
+            texts = [x[2] for x in held]
+            anchor, row, start, count = segments_of(texts, span)
+            known = np.concatenate([unpacked(x[3])[0][0] | k << 40 for k, x in enumerate(held)])
+            key = short_anchors(anchor) | row << 40
+            at = np.searchsorted(known, key)
+            live = np.flatnonzero((at < len(known)) & (known[np.minimum(at, len(known) - 1)] == key)) if len(known) else np.zeros(0, dtype=np.int64)
+            if not len(live):
+                continue
+            anchor, row, start, count = anchor[live], row[live], start[live], count[live]
+            pieces = [texts[i][a : a + n] for i, a, n in zip(row.tolist(), start.tolist(), (count + span - 1).tolist(), strict=True)]
+            old = repeated_here(names[0][row], pieces)
+            if old.any():
+                yield _record(target, FOUND, number, packed(row[old], start[old], start[old] + count[old] + span - 1))
             left = np.flatnonzero(~old)
             bucket = (anchor[left] % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0]) if len(left) else []
-            for a, b in zip(cuts, [*cuts[1:], len(left)], strict=False):
+            for a, b in _runs(bucket[order]):
                 mine = left[order[a:b]]
-                yield _record(int(bucket[order[a]]), False, packed(ids[mine], ties[mine], starts[mine], counts[mine], text=b"".join([pieces[k] for k in mine.tolist()])))
-
-        for batch in batches:
-            for i, tie, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                held.append((i, tie, text.as_buffer().to_pybytes()))
-                size += len(held[-1][2])
-                if size >= BATCH:
-                    yield from out()
-                    held, size = [], 0
-        yield from out()
+                yield _record(int(bucket[order[a]]), DATA, number, packed(names[0][row[mine]], row[mine], start[mine], count[mine], text=b"".join([pieces[k] for k in mine.tolist()])))
 
     def sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            if held:
-                parts = [unpacked(x) for x in held]
-                ids, ties, starts, counts = (np.concatenate([p[0][k] for p in parts]) for k in range(4))
-                yield from _by_target(*bucket_repeats(ids, ties, starts, counts, b"".join(p[1] for p in parts), span), targets)
-
-        for batch in batches:
-            for bucket, settled, blob in zip(*rows_of(batch, "bucket", "settled", "blob"), strict=True):
-                if settled:
-                    yield _record(bucket, True, blob)
-                    continue
-                if bucket != now:
-                    yield from out()
-                    now, held = bucket, []
-                held.append(blob)
-        yield from out()
+        for group in _grouped(batches, "bucket"):
+            data = [r for r in group if r[1] == DATA]
+            yield from (_record(*r) for r in group if r[1] != DATA)
+            if not data:
+                continue
+            parts = [unpacked(r[3]) for r in data]
+            ids, row, start, count = (np.concatenate([p[0][k] for p in parts]) for k in range(4))
+            source = np.repeat(np.arange(len(data)), [len(p[0][0]) for p in parts])
+            who, begin, end = bucket_repeats(ids, start, count, b"".join(p[1] for p in parts), span)
+            order = np.argsort(who, kind="stable")
+            who, begin, end = who[order], begin[order], end[order]
+            for a, b in _runs(source[who]):
+                number = data[source[who[a]]][2]
+                yield _record(_target(number, targets), FOUND, number, packed(row[who[a:b]], begin[a:b], end[a:b]))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            if not held:
-                return
-            parts = [unpacked(x)[0] for x in held]
-            ids, ties, starts, ends = (np.concatenate([p[k] for p in parts]) for k in range(4))
-            order = np.lexsort((starts, ties, ids))
-            ids, ties, starts, ends = ids[order], ties[order], starts[order], ends[order]
-            # running maximum of the ends within each text: texts are numbered to keep them apart
-            number = np.cumsum(np.r_[0, (ids[1:] != ids[:-1]) | (ties[1:] != ties[:-1])])
-            far = int(ends.max()) + 1
-            reach = np.maximum.accumulate(ends + number * far) - number * far
-            new = np.r_[True, (number[1:] != number[:-1]) | (starts[1:] > reach[:-1])]
-            first = np.flatnonzero(new)
-            last = np.r_[first[1:], len(ids)] - 1
-            own = np.flatnonzero(np.r_[True, number[first[1:]] != number[first[:-1]]])
+        for group in _grouped(batches, "bucket", "slice"):
+            names = next(unpacked(r[3])[0] for r in group if r[1] == NAMES)
+            found = [unpacked(r[3])[0] for r in group if r[1] == FOUND]
+            if not found:
+                continue
+            row, start, end = (np.concatenate([f[k] for f in found]) for k in range(3))
+            order = np.lexsort((start, row))
+            row, start, end = row[order], start[order], end[order]
+            far = int(end.max()) + 1
+            reach = np.maximum.accumulate(end + row * far) - row * far  # the farthest end in its text so far
+            first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (start[1:] > reach[:-1])])
+            last = np.r_[first[1:], len(row)] - 1
+            own = np.flatnonzero(np.r_[True, row[first[1:]] != row[first[:-1]]])
             cuts = pa.array(np.r_[own, len(first)], pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(ids[first[own]]), pa.array(ties[first[own]]), pa.ListArray.from_arrays(cuts, pa.array(starts[first])), pa.ListArray.from_arrays(cuts, pa.array(reach[last]))], names=["doc_id", "tie", "starts", "ends"])
-
-        for batch in batches:
-            for target, blob in zip(*rows_of(batch, "bucket", "blob"), strict=True):
-                if target != now:
-                    yield from out()
-                    now, held = target, []
-                held.append(blob)
-        yield from out()
+            yield pa.RecordBatch.from_arrays([pa.array(names[0][row[first[own]]]), pa.array(names[1][row[first[own]]]), pa.ListArray.from_arrays(cuts, pa.array(start[first])), pa.ListArray.from_arrays(cuts, pa.array(reach[last]))], names=["doc_id", "tie", "starts", "ends"])
 
-    dealt = rows.mapInArrow(deal, MOVED).repartition(parallelism(spark), "bucket").sortWithinPartitions("bucket")
-    found = dealt.mapInArrow(sort_bucket, MOVED).repartition(parallelism(spark), "bucket").sortWithinPartitions("bucket")
-    return found.select("bucket", "blob").mapInArrow(merge, "doc_id long, tie long, starts array<long>, ends array<long>")
+    dealt = marked.mapInArrow(deal, MOVED).repartition(parallelism(spark), "bucket").sortWithinPartitions("bucket")
+    found = _by_slice(dealt.mapInArrow(sort_bucket, MOVED)).mapInArrow(merge, "doc_id long, tie long, starts array<long>, ends array<long>")
+    return found.dropDuplicates(["doc_id", "tie"])  # equal rows lose the same bytes
 
 
 def cut_out(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
@@ -361,11 +437,11 @@ def cut_out(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     A null text is empty. Strings are judged on the input. A row without id stands after all ids;
     rows with the same id, or without, remove nothing from each other. Texts below ``span`` bytes
-    stay whole. Other columns are not read.
+    stay whole. Other columns are not read. The largest long is no id.
     """
-    gone = repeats(docs, id_col=id_col, text_col=text_col, span=span).select(F.col("doc_id").alias("_gone"), F.col("tie").alias("_tie"), "starts", "ends")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).cast("binary").alias("_text"))
-    rows = rows.join(gone, (F.coalesce("doc_id", F.lit(int(NO_ID))) == F.col("_gone")) & (F.xxhash64(F.col("_text").cast("string")) == F.col("_tie")), "left").select("doc_id", "_text", "starts", "ends")
+    gone = repeats(docs, id_col=id_col, text_col=text_col, span=span).select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "starts", "ends")
+    rows = _texts(docs, id_col, text_col).join(gone, ["_id", "_tie"], "left")
+    rows = rows.select(F.when(F.col("_id") != int(NO_ID), F.col("_id")).alias("doc_id"), "_text", "starts", "ends")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, starts array<long>, ends array<long>"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
