@@ -16,7 +16,9 @@ import numpy as np
 #: space to either library.
 CUT = re.compile(r"(?<=\S)(?=[ \n])")
 OTHER_SPACE = re.compile(r"[^\S \n]")
-CACHE_LIMIT = 600_000
+#: Marks that may end a word.
+MARKS = ".,;:!?*#%$&"
+CACHE_LIMIT = 1_200_000
 JOINED = 20_000
 
 _ENCODERS: dict[str, "Encoder"] = {}
@@ -51,21 +53,29 @@ class Encoder:
 
     def learn(self, keys: set[str]) -> None:
         """Encode new chunks, many at a time: those that begin with white space and have none after
-        it stand in one text without touching each other."""
-        plain = [k for k in keys if k[-1] != " "]
-        for k in keys.difference(plain):
+        it stand in one text without touching each other. Letters and the marks after them are
+        different pieces to either pre-tokenization, so they are encoded apart and put together."""
+        ends = {k: k.rstrip(MARKS) for k in keys if k[-1] in MARKS}
+        ends = {k: core for k, core in ends.items() if core.isalpha()}
+        new = keys.difference(ends)
+        if ends:
+            new |= {*ends.values(), *(k[len(core) :] + " " for k, core in ends.items())} - self.cache.keys()
+        plain = [k for k in new if k[-1] != " "]
+        for k in new.difference(plain):
             self.cache[k] = self.whole(k[:-1])
         for at in range(0, len(plain), JOINED):
             part = plain[at : at + JOINED]
             chunks = [k if k[0] == "\n" else " " + k for k in part]
             found = self.library.encode("".join(chunks), add_special_tokens=False)
             ids = np.array(found.ids, dtype="<u4")
-            ends = np.cumsum([len(c) for c in chunks])
-            cuts = np.searchsorted(np.array([a for a, _ in found.offsets], dtype=np.int64), ends, "left") if len(ids) else np.zeros(len(part), int)
+            stops = np.cumsum([len(c) for c in chunks])
+            cuts = np.searchsorted(np.array([a for a, _ in found.offsets], dtype=np.int64), stops, "left") if len(ids) else np.zeros(len(part), int)
             start = 0
             for k, end in zip(part, cuts.tolist(), strict=True):
                 self.cache[k] = ids[start:end].tobytes()
                 start = end
+        for k, core in ends.items():
+            self.cache[k] = self.cache[core] + self.cache[k[len(core) :] + " "]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.keys(t) for t in texts]
