@@ -118,10 +118,10 @@ def pack(pieces: DataFrame, *, keys: tuple[str, ...], length_col: str = "length"
     rows = pieces.withColumn("_length", F.when(sized, F.col(length_col).cast("long"))).withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(salts)))
     counts = rows.groupBy("_length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    # At most capacity * salts rows of three numbers, whatever the data.
-    starts = F.broadcast(counts.select("_length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
+    # At most capacity * salts rows. The ranked side is dealt by the same keys, so the join moves only these.
+    starts = counts.select("_length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     own = Window.partitionBy("_length", "_salt").orderBy(*keys)
-    ranked = rows.withColumn("_own", F.row_number().over(own)).join(starts, ["_length", "_salt"], "left")
+    ranked = rows.withColumn("_own", F.row_number().over(own)).join(starts.where("_length is not null"), ["_length", "_salt"], "left")
     ranked = ranked.withColumn("_rank", (F.col("_own") + F.col("_before") - 1).cast("long")).drop("_own", "_before", "_salt")
     names = pieces.columns
 
