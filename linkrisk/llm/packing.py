@@ -15,14 +15,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import rows_of, stored, text_of
-from .tokens import encoder, sliced
+from .common import stored, text_of, unused
+from .tokens import encoder, ranges, sliced_array
 
 CAPACITY = 2048
-SALTS = 256
+#: Pieces of one length that are ranked together, on average at most.
+WINDOW_ROWS = 1_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 Group = tuple[int, list[tuple[int, int]]]  # sequences, and in each how many pieces of which length
 
@@ -102,62 +104,74 @@ def place(slots: dict[str, np.ndarray], length: np.ndarray, rank: np.ndarray) ->
     return slots["sequence"][at] + k // each, slots["offset"][at] + k % each * length
 
 
-def pack(pieces: DataFrame, *, keys: tuple[str, ...], length_col: str = "length", capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
+def pack(pieces: DataFrame, *, keys: tuple[str, ...], length_col: str = "length", capacity: int = CAPACITY, window_rows: int = WINDOW_ROWS) -> DataFrame:
     """``pieces`` with sequence_id and offset.
 
-    ``keys`` name a piece; they order pieces of one length, so that every run agrees. Pieces that
-    are empty or have no length get nulls; a longer one than ``capacity`` is an error. Columns of
-    ``pieces`` with the new names are replaced. ``pieces`` is read more than once and should be stored.
+    ``keys`` name a piece; they order pieces of one length, so that every run agrees; pieces with
+    equal keys and length may change places. Pieces that are empty or have no length get nulls; a
+    longer one than ``capacity`` is an error. Columns of ``pieces`` with the two new names are
+    replaced, all others kept, whatever their names. An empty table gives an empty result. Pieces of
+    one length are ranked in groups of about ``window_rows`` by the hash of their keys, as many as
+    that length needs. ``pieces`` is read more than once and should be stored.
     """
     pieces = pieces.drop("sequence_id", "offset")
+    size, salt, n, before, own, rank = unused(pieces, "_length", "_salt", "_n", "_before", "_own", "_rank")
     sized = F.col(length_col) > 0
-    histogram = {r[0]: r[1] for r in pieces.where(sized).groupBy(F.col(length_col).cast("long")).count().orderBy(length_col).limit(capacity + 1).collect()}
+    histogram = {r[0]: r[1] for r in pieces.where(sized).groupBy(F.col(length_col).cast("long")).count().orderBy(F.col(length_col).cast("long")).limit(capacity + 1).collect()}
     if histogram and max(histogram) > capacity:
         raise ValueError(f"a piece of {max(histogram)} is longer than the capacity {capacity}")
     slots = plan_slots(histogram, capacity)
-    rows = pieces.withColumn("_length", F.when(sized, F.col(length_col).cast("long"))).withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(salts)))
-    counts = rows.groupBy("_length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    # At most capacity * salts rows. The ranked side is dealt by the same keys, so the join moves only these.
-    starts = counts.select("_length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    own = Window.partitionBy("_length", "_salt").orderBy(*keys)
-    ranked = rows.withColumn("_own", F.row_number().over(own)).join(starts.where("_length is not null"), ["_length", "_salt"], "left")
-    ranked = ranked.withColumn("_rank", (F.col("_own") + F.col("_before") - 1).cast("long")).drop("_own", "_before", "_salt")
+    salts = [1 + histogram.get(k, 0) // window_rows for k in range(1, max(histogram, default=1) + 1)]
+    rows = pieces.withColumn(size, F.when(sized, F.col(length_col).cast("long")))
+    rows = rows.withColumn(salt, F.pmod(F.xxhash64(*keys), F.get(F.array(*map(F.lit, salts)), (F.col(size) - 1).cast("int")).cast("long")))
+    counts = rows.groupBy(size, salt).agg(F.count(F.lit(1)).alias(n))
+    earlier = Window.partitionBy(size).orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    # About one row for window_rows pieces. The ranked side is dealt by the same keys, so the join moves only these.
+    starts = counts.select(size, salt, F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(before))
+    ranked = rows.withColumn(own, F.row_number().over(Window.partitionBy(size, salt).orderBy(*keys))).join(starts.where(F.col(size).isNotNull()), [size, salt], "left")
+    ranked = ranked.withColumn(rank, (F.col(own) + F.col(before) - 1).cast("long"))
     names = pieces.columns
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, rank = (np.array(x, dtype=object) for x in rows_of(batch, "_length", "_rank"))
-            known = np.array([x is not None for x in length], dtype=bool)
+            columns = batch.columns
+            known = pc.is_valid(columns[-1]).to_numpy(zero_copy_only=False)
             sequence = np.zeros(len(known), dtype=np.int64)
             offset = np.zeros(len(known), dtype=np.int64)
             if known.any():
-                sequence[known], offset[known] = place(slots, length[known].astype(np.int64), rank[known].astype(np.int64))
-            added = [pa.array(x, mask=~known) for x in (sequence, offset)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), *added], names=[*names, "sequence_id", "offset"])
+                length, ranks = (columns[k].filter(pa.array(known)).to_numpy(zero_copy_only=False).astype(np.int64) for k in (-2, -1))
+                sequence[known], offset[known] = place(slots, length, ranks)
+            yield pa.RecordBatch.from_arrays([*columns[:-2], *(pa.array(x, mask=~known) for x in (sequence, offset))], names=[*names, "sequence_id", "offset"])
 
     from pyspark.sql import types as T
 
     out = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranked.select(*names, "_length", "_rank").mapInArrow(assign, out)
+    return ranked.select(*names, size, rank).mapInArrow(assign, out)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
     """Token ids of whole texts, ``end_id`` after each, cut into pieces of at most ``capacity``:
-    doc_id, piece, start, length, ids_crc32. A null text is empty."""
+    doc_id, piece, start, length, ids_crc32.
+
+    A null text is empty and gives one piece, ``end_id`` alone. Texts may be of any length; a batch
+    of about 4 MB, or one longer text, is encoded at a time. Other columns are not read."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, tail = encoder(tokenizer).encode, np.array([end_id], dtype="<u4").tobytes()
+        encode, names = encoder(tokenizer).encode_array, [x.split()[0] for x in PIECES.split(", ")]
         for batch in batches:
-            keys, texts = rows_of(batch, "_id", "_text")
-            for a, b in sliced(texts):
-                rows = []
-                for key, ids in zip(keys[a:b], encode(texts[a:b]), strict=True):
-                    ids += tail
-                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[at : at + 4 * capacity]
-                        rows.append((key, k, at // 4, len(part) // 4, zlib.crc32(part)))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
+            keys, texts = batch.column(0), batch.column(1).cast(pa.large_string())
+            for a, b in sliced_array(texts):
+                ids, sizes = encode(texts.slice(a, b - a))
+                ids = np.insert(ids, np.cumsum(sizes), end_id).tobytes()
+                sizes += 1
+                pieces = -(-sizes // capacity)
+                number = ranges(np.zeros(b - a, dtype=np.int64), pieces)
+                owner = np.repeat(np.arange(b - a), pieces)
+                start = number * capacity
+                length = np.minimum(sizes[owner] - start, capacity)
+                at = 4 * ((np.cumsum(sizes) - sizes)[owner] + start)
+                crc = [zlib.crc32(ids[x : x + 4 * n]) for x, n in zip(at.tolist(), length.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a).take(pa.array(owner)), pa.array(number, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], names=names)
 
     return docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text")).mapInArrow(cut, PIECES)
 

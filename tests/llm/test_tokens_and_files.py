@@ -92,18 +92,27 @@ def test_documents_are_cut_and_packed(docs):
 
 def test_pieces_without_length_have_no_place(spark):
     df = spark.createDataFrame([(1, 5), (2, None), (3, 0), (4, 5)], "k int, length int").withColumn("offset", F.lit("clash"))
-    got = {r.k: (r.sequence_id, r.offset) for r in packing.pack(df, keys=("k",), capacity=8, salts=3).collect()}
+    got = {r.k: (r.sequence_id, r.offset) for r in packing.pack(df, keys=("k",), capacity=8).collect()}
     assert got[2] == got[3] == (None, None) and {got[1][0], got[4][0]} == {0, 1}
     with pytest.raises(ValueError, match="capacity"):
         packing.pack(df, keys=("k",), capacity=4)
 
 
+def test_packing_keeps_columns_with_its_own_names(spark):
+    df = spark.createDataFrame([(k, 5) for k in range(40)], "k int, length int").withColumns({n: F.lit(n) for n in ("_length", "_salt", "_own", "_rank", "_n", "_before")})
+    out = packing.pack(df, keys=("k",), capacity=16, window_rows=4)
+    rows = out.collect()
+    assert out.columns == [*df.columns, "sequence_id", "offset"] and {r["_own"] for r in rows} == {"_own"}
+    assert Counter(r.sequence_id for r in rows) == {k: 3 if k < 13 else 1 for k in range(14)} and {r.offset for r in rows} == {0, 5, 10}
+
+
 # ---- token shards -------------------------------------------------------------------------
 
 
 def test_shards_round_trip(spark, docs):
     rows = [(i * 7 - 40, t) for i, t in enumerate(ODD)] + [(5, "b"), (5, "a"), (5, "a"), (None, "n"), (-(1 << 63), "low"), ((1 << 63) - 1, "high")]
-    manifest = sstable.write_shards(docs(rows), scratch(spark, "sst"), public.path(BYTE), shards=3, block_bytes=200)
+    manifest = sstable.write_shards(docs(rows), scratch(spark, "sst"), public.path(BYTE), shards=3, block_bytes=200, shard_bytes=300)
+    assert manifest.count() > 3  # ranges go on in new files
     got = sorted(((r.doc_id is not None, r.doc_id or 0, r.start, r.n_tokens, r.ids_crc32) for r in sstable.read_shards(manifest).collect()), key=lambda r: r[2])
     assert got == sorted(got, key=lambda r: r[:2]) and [r[2] for r in got] == np.cumsum([0, *(r[3] for r in got)])[:-1].tolist()
     coded = Counter((i is not None, i or 0, zlib.crc32(np.array([*ids_of(BYTE, t), 2], dtype="<u4").tobytes())) for i, t in rows)
@@ -120,9 +129,9 @@ def test_shard_file_has_index_filter_and_text_keys(tmp_path):
     writer = sstable.ShardWriter(str(tmp_path / "a.sst"), 4, 64)
     keys = [sstable.key_of(f"doc-{k:04}") for k in range(200)]
     for k, key in enumerate(keys):
-        writer.add(key, np.arange(k % 9, dtype="<u4") + 70000)
+        writer.add(key, (np.arange(k % 9, dtype="<u4") + 70000).tobytes())
     with pytest.raises(ValueError, match="ascend"):
-        writer.add(keys[0], np.arange(1))
+        writer.add(keys[0], b"")
     writer.close()
     shard = sstable.Shard(str(tmp_path / "a.sst"))
     assert len(shard.blocks) > 10 and [k for k, _ in shard] == keys
