@@ -64,6 +64,29 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: A key that more than this part of all rows have is hot; so there are at most as many hot keys.
+HOT_KEYS = 10_000
+
+
+def look_up(rows: DataFrame, table: DataFrame, keys: list[str], *, count: str) -> DataFrame:
+    """``rows`` with the columns of the one row of ``table`` that has their ``keys``, or nulls.
+
+    ``count`` tells how many rows each key has. Keys with over a HOT_KEYS-th of all these rows (and
+    over 100) are broadcast, as no more than HOT_KEYS can have so many, and their rows stay spread
+    as they are; only the others meet by key.
+    """
+    hot_, rest_, salt, none = unused(rows.join(table.limit(0), keys, "left"), "_hot", "_rest", "_salt", "_none")
+    total = table.agg(F.sum(count)).first()[0] or 0
+    least = max(100, total // HOT_KEYS)
+    more = F.struct(*(c for c in table.columns if c not in keys))
+    hot = table.where(F.col(count) > least).select(*keys, more.alias(hot_))
+    rest = table.where(F.col(count) <= least).select(*keys, more.alias(rest_), F.lit(0).alias(salt))
+    out = rows.join(F.broadcast(hot), keys, "left")
+    out = out.withColumn(salt, F.when(F.col(hot_).isNotNull(), F.spark_partition_id() + 1).otherwise(0)).join(rest, [*keys, salt], "left")
+    out = out.withColumn(hot_, F.coalesce(hot_, rest_))
+    return out.select(*rows.columns, *(F.col(hot_)[c].alias(c) for c in table.columns if c not in keys))
+
+
 def text_of(column: str) -> Column:
     """The text, a missing one being empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

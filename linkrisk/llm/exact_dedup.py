@@ -14,10 +14,12 @@ No step gathers the members of a class: a row is one content with its smallest i
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_of
+from .common import look_up, parallelism, stored, text_of, unused
 
 #: A run of white space that is not just one space already.
 UNEVEN_SPACE = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
@@ -42,14 +44,16 @@ def winners(docs: DataFrame, *, id_col: str, text_col: str, salts: int, digest=s
     return salted.groupBy("_digest", "_norm").agg(F.min("_id").alias("keep_id"), F.sum("_n").alias("group_size"))
 
 
-def dedup_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", salts: int = 16, digest=sha256) -> DataFrame:
+def dedup_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", salts: int | None = None, digest=sha256) -> DataFrame:
     """One row per input row: the id, keep_id, group_size, kept, text_sha256.
 
     Null texts count as empty. Of equal texts the smallest id stays; null ids never win against an
     id, and a class without any id has a null ``keep_id`` and stays. Rows that repeat an id with
-    the same text share one verdict. Other columns of ``docs`` are not read. An empty table gives
-    an empty result.
+    the same text share one verdict; one id with several texts is judged text by text. Very long
+    texts are compared in full like any. Other columns of ``docs`` are not read. An empty table gives
+    an empty result. ``salts`` is the square root of the shuffle's partitions, 16 at least, unless given.
     """
+    salts = salts or max(16, math.isqrt(parallelism(docs.sparkSession)))
     best = stored(
         winners(docs, id_col=id_col, text_col=text_col, salts=salts, digest=digest).select(
             "_digest", "keep_id", "group_size", F.col("_norm").alias("_content")
@@ -63,13 +67,11 @@ def dedup_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     shared = best.groupBy("_digest").count().where("count > 1").select("_digest")
     if shared.isEmpty():
         # Every digest stands for one content, compared in full above: the digest alone finds it.
-        found = rows.select("_id", "_digest", F.sha2("_norm", 256).alias("text_sha256")).join(best, "_digest")
+        found = look_up(rows.select("_id", "_digest", F.sha2("_norm", 256).alias("text_sha256")), best.drop("_content"), ["_digest"], count="group_size")
     else:
         if "_content" not in best.columns:
             best = winners(docs, id_col=id_col, text_col=text_col, salts=salts).withColumnRenamed("_norm", "_content")
-        found = rows.withColumn("text_sha256", F.sha2("_norm", 256)).join(
-            best, (rows["_digest"] == best["_digest"]) & (rows["_norm"] == best["_content"])
-        )
+        found = look_up(rows.select("_id", "_digest", F.sha2("_norm", 256).alias("text_sha256"), F.col("_norm").alias("_content")), best, ["_digest", "_content"], count="group_size")
     return found.select(
         F.col("_id").alias(id_col),
         "keep_id",
@@ -79,15 +81,17 @@ def dedup_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     )
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", salts: int | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; see :func:`dedup_classes`.
 
-    Only the ids of dropped rows are joined back, so rows with a null id that lose to an id are
-    found by their text instead.
+    Only the ids and digests of dropped rows are joined back. Of rows that repeat an id, or have
+    none, with the same text one stays, whichever; those with different texts all do.
     """
     classes = stored(dedup_classes(docs, id_col=id_col, text_col=text_col, salts=salts), "dedup-classes")
-    dropped = classes.where(~F.col("kept")).select(
-        F.col(id_col).alias("_drop_id"), F.col("text_sha256").alias("_drop_digest")
-    ).distinct()
-    key = F.sha2(normalised(text_of(text_col)), 256)
-    return docs.join(dropped, docs[id_col].eqNullSafe(dropped["_drop_id"]) & (key == dropped["_drop_digest"]), "left_anti")
+    drop_id, drop_key, key = unused(docs, "_drop_id", "_drop_key", "_key")
+    same = docs[id_col].eqNullSafe(F.col(drop_id)) & (F.sha2(normalised(text_of(text_col)), 256) == F.col(drop_key))
+    dropped = classes.where(~F.col("kept")).select(F.col(id_col).alias(drop_id), F.col("text_sha256").alias(drop_key)).distinct()
+    left = docs.join(dropped, same, "left_anti")
+    if classes.where("kept").groupBy(id_col, "text_sha256").count().where("count > 1").isEmpty():
+        return left
+    return left.withColumn(key, F.sha2(normalised(text_of(text_col)), 256)).dropDuplicates([id_col, key]).drop(key)

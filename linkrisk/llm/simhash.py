@@ -21,10 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parallelism, rows_of, stored, text_of
+from .common import look_up, parallelism, stored, text_of, unused
 
 BITS = 64
 SEED = 42
+#: Members from which on a bucket is divided before it is compared.
+REFINE = 64
 
 
 # ---- fingerprints ---------------------------------------------------------------------------
@@ -47,15 +49,17 @@ def fingerprint(text: bytes, width: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long; a null text is empty."""
+    """doc_id, fp (the fingerprint as a signed long) and text_key, which tells texts of one id
+    apart; a null text is empty. Texts may be of any length: hashes are added up in blocks."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            fps = np.array([fingerprint(x.as_buffer().to_pybytes(), width) for x in texts], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(x.as_buffer().to_pybytes(), width) for x in batch.column(2)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), batch.column(1)], names=["doc_id", "fp", "text_key"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).cast("binary").alias("_text")).mapInArrow(work, "doc_id long, fp long")
+    text = text_of(text_col)
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.cast("binary").alias("_text"))
+    return slim.mapInArrow(work, "doc_id long, fp long, text_key long")
 
 
 # ---- candidates and links -------------------------------------------------------------------
@@ -105,6 +109,29 @@ def linked_forest(nodes: np.ndarray, fps: np.ndarray, distance: int, block: int
     return edges
 
 
+def bucket_forest(nodes: np.ndarray, fps: np.ndarray, distance: int, start: int, length: int) -> list[tuple[int, int]]:
+    """Edges as by :func:`linked_forest` for a bucket of fingerprints alike but for one bit in the
+    ``length`` bits from ``start`` on.
+
+    A large bucket is divided first: of distance + 1 pieces of the other bits, linked fingerprints
+    have one in common, so only members with an equal piece are compared.
+    """
+    if len(nodes) <= REFINE:
+        return linked_forest(nodes, fps, distance)
+    low = fps & np.uint64((1 << start) - 1)
+    rest = low | (fps >> np.uint64(length) & ~np.uint64((1 << start) - 1))
+    cuts = [(BITS - length) * k // (distance + 1) for k in range(distance + 2)]
+    edges: list[tuple[int, int]] = []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        piece = rest >> np.uint64(a) & np.uint64((1 << (b - a)) - 1)
+        order = np.argsort(piece, kind="stable")
+        begins = np.flatnonzero(np.r_[True, np.diff(piece[order]) != 0])
+        for x, y in zip(begins.tolist(), [*begins[1:].tolist(), len(order)], strict=True):
+            if y - x > 1:
+                edges += linked_forest(nodes[order[x:y]], fps[order[x:y]], distance)
+    return list(set(edges))
+
+
 def links(nodes: DataFrame, *, distance: int = 4) -> DataFrame:
     """Edges (a, b), a > b, that connect nodes (node long, fp long) with linked fingerprints.
 
@@ -112,6 +139,9 @@ def links(nodes: DataFrame, *, distance: int = 4) -> DataFrame:
     that bucket. Nodes with a null number take no part.
     """
 
+    shift = max(length for _, length in segments_of(distance))
+    segment_of = [(start, length) for start, length in segments_of(distance) for _ in range(length)]
+
     def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node = batch.column(0).to_numpy(zero_copy_only=False)
@@ -120,7 +150,7 @@ def links(nodes: DataFrame, *, distance: int = 4) -> DataFrame:
                 own = fps[at : at + 4096]
                 number, left = deletion_variants(own, distance)
                 n = len(number)
-                key = (left | (number << np.uint64(max(x for _, x in segments_of(distance))))).ravel()
+                key = (left | (number << np.uint64(shift))).ravel()
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.tile(node[at : at + 4096], n)), pa.array(np.tile(own.view(np.int64), n))], names=["key", "node", "fp"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +164,8 @@ def links(nodes: DataFrame, *, distance: int = 4) -> DataFrame:
             good = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= distance]
             out += [(max(a, b), min(a, b)) for a, b in zip(node[good].tolist(), node[good + 1].tolist(), strict=True)]
             for at, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-                out += linked_forest(node[at : at + n], fp[at : at + n], distance)
+                start, length = segment_of[int(key[at]) >> shift]
+                out += bucket_forest(node[at : at + n], fp[at : at + n], distance, start, length)
             return out
 
         def table(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -151,7 +182,9 @@ def links(nodes: DataFrame, *, distance: int = 4) -> DataFrame:
         if len(rest[0]) > 1 and (found := edges(rest[0], rest[1], rest[2].view(np.uint64))):
             yield table(found)
 
-    rows = nodes.where("node is not null").select("node", "fp").mapInArrow(variants, "key long, node long, fp long")
+    # stored nodes may be few files, and each node becomes as many rows as it has variants
+    dealt = nodes.where("node is not null").select("node", "fp").repartition(parallelism(nodes.sparkSession), "node")
+    rows = dealt.mapInArrow(variants, "key long, node long, fp long")
     rows = rows.repartition(parallelism(nodes.sparkSession), "key").sortWithinPartitions("key", "node")
     return rows.mapInArrow(compare, "a long, b long").distinct()
 
@@ -183,22 +216,25 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
-    """One row per document: doc_id, fp, component_id (the smallest doc_id reachable over links).
+    """One row per document: doc_id, fp, text_key, component_id (the smallest doc_id reachable over links).
 
     Texts without words have fingerprint 0 and are linked like others. Repeated rows, and documents
     with equal fingerprints, share a component. A row without id gets the component of its
-    fingerprint, null if no other row has it.
+    fingerprint, null if no other row has it. An empty table gives an empty result; other columns
+    are not read.
     """
     marked = stored(fingerprints(docs, id_col=id_col, text_col=text_col, width=width), "fingerprints")
-    nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
+    nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("_n")), "nodes")
     joined = components(links(nodes, distance=distance))
-    classes = nodes.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = stored(nodes.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"), "_n"), "classes")
+    return look_up(marked, classes, ["fp"], count="_n").select("doc_id", "fp", "text_key", "component_id")
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component; rows without id stay only if
-    no row with an id shares their fingerprint, and then they all stay."""
+    no row of their component has one, and then they all stay. One id with several texts is judged
+    by each text."""
     classes = stored(near_classes(docs, id_col=id_col, text_col=text_col, width=width, distance=distance), "near-classes")
-    dropped = classes.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(dropped, docs[id_col] == dropped["_drop"], "left_anti")
+    drop_id, drop_key = unused(docs, "_drop_id", "_drop_key")
+    dropped = classes.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias(drop_id), F.col("text_key").alias(drop_key)).distinct()
+    return docs.join(dropped, docs[id_col].cast("long").eqNullSafe(F.col(drop_id)) & (F.xxhash64(text_of(text_col)) == F.col(drop_key)), "left_anti")

@@ -17,10 +17,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import open_store, parallelism, rows_of, scratch, stored, text_of
+from .common import look_up, open_store, parallelism, rows_of, scratch, stored, text_of
 
 # Fixed values of the Zstandard seekable format.
 SKIPPABLE_INDEX = 0x184D2A50
@@ -163,21 +163,22 @@ class Bundle:
         self.file.close()
 
 
+def payload_key(html: str) -> Column:
+    payload = text_of(html).cast("binary")
+    return F.struct(F.octet_length(payload).alias("n"), F.sha1(payload).alias("a"), F.sha2(payload, 256).alias("b"))
+
+
 def revisit_plan(pages: DataFrame, *, min_bytes: int = 0) -> DataFrame:
-    """Rows of ``pages`` with ``_best``: the largest page_id with the same payload.
+    """page_id, _key and _best of the pages that revisit another: the largest page_id with the same
+    payload.
 
     Payloads of fewer than ``min_bytes`` bytes form no groups. Equal payloads are those with equal
     length, SHA-1 and SHA-256. Groups are combined before the shuffle (a group is one row a task),
-    and only digests, not payloads, meet by key.
+    and only digests, not payloads, meet by key; those of large groups (an empty page) do not.
     """
-    payload = text_of("html").cast("binary")
-    keys = pages.select(
-        F.col("page_id").cast("long").alias("page_id"),
-        F.struct(F.octet_length(payload).alias("n"), F.sha1(payload).alias("a"), F.sha2(payload, 256).alias("b")).alias("_key"),
-    ).where(F.col("_key.n") >= min_bytes)
-    groups = keys.groupBy("_key").agg(F.max("page_id").alias("_best"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    # one row for each page that has an equal one, so that the payloads are joined by page_id
-    return keys.join(groups, "_key").select("page_id", "_best").distinct()
+    keys = pages.select(F.col("page_id").cast("long").alias("page_id"), payload_key("html").alias("_key")).where(F.col("_key.n") >= min_bytes)
+    groups = stored(keys.groupBy("_key").agg(F.max("page_id").alias("_best"), F.count(F.lit(1)).alias("_n")), "payloads")
+    return look_up(keys, groups.where("_n > 1"), ["_key"], count="_n").where("page_id <> _best").select("page_id", "_key", "_best").distinct()
 
 
 def write_warc(pages: DataFrame, path: str, *, min_bytes: int = 0, frame_bytes: int = 1 << 20, bundle_bytes: int = 1 << 28, level: int = 3) -> DataFrame:
@@ -185,13 +186,15 @@ def write_warc(pages: DataFrame, path: str, *, min_bytes: int = 0, frame_bytes:
 
     A null html is an empty payload, a null url is left out. Of equal payloads of at least
     ``min_bytes`` bytes the one with the largest page_id is a response, the others revisit it; rows
-    that repeat that page_id are all responses. A row without page_id is a response with an empty
-    record number. Bundles get new names, and the manifest lists those of tasks that succeeded, so
-    a task that runs twice does no harm. Pages are dealt to bundles by page_id.
+    that repeat that page_id with that payload are all responses. One page_id with several payloads
+    gives a record for each, judged by its own payload. A row without page_id is a response with an
+    empty record number. A very long payload is one record of one frame. An empty table gives an
+    empty manifest; other columns are not read. Bundles get new names, and the manifest lists those
+    of tasks that succeeded, so a task that runs twice does no harm.
     """
-    plan = revisit_plan(pages, min_bytes=min_bytes).where("page_id <> _best")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_of("html").alias("html"))
-    rows = rows.join(plan, "page_id", "left")
+    plan = revisit_plan(pages, min_bytes=min_bytes)
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_of("html").alias("html"), payload_key("html").alias("_key"))
+    rows = rows.join(plan, ["page_id", "_key"], "left").select("page_id", "url", "html", "_best")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, done, size = None, [], 0

@@ -41,6 +41,24 @@ def test_survivors_keep_their_columns(docs):
     assert exact_dedup.dedup_classes(table.limit(0)).count() == 0 and exact_dedup.dedup(table.limit(0)).count() == 0
 
 
+def test_one_of_identical_rows_stays(docs):
+    left = exact_dedup.dedup(docs([(3, "a"), (3, "a"), (4, "a"), (3, "b"), (None, "z"), (None, "z")]).withColumnRenamed("_id", "_drop_id"))
+    assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == [(0, "z"), (3, "a"), (3, "b")]
+
+
+def test_a_text_of_most_rows_meets_in_no_task(spark):
+    from pyspark.sql import functions as F
+
+    table = spark.range(0, 6000, 1, 8).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 > 0, "the same").otherwise(F.concat(F.lit("t"), F.col("id"))).alias("text"))
+    found = exact_dedup.dedup_classes(table)
+    counts = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(counts) == 6000 and max(counts) < 3000 and found.where("kept").count() == 601
+    assert {(r.keep_id, r.group_size) for r in found.where("doc_id % 10 > 0").distinct().collect()} == {(1, 5400)}
+    classes = simhash.near_classes(table)
+    counts = [r["count"] for r in classes.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(counts) < 3000 and {r.component_id for r in classes.where("doc_id % 10 > 0").collect()} == {1}
+
+
 # ---- simhash ------------------------------------------------------------------------------
 
 
@@ -105,6 +123,30 @@ def test_components_of_fingerprints(spark):
     assert {n: got.get(n, n) for n in nodes} == want
 
 
+def test_one_id_with_two_texts_loses_neither(docs):
+    a, b = " ".join(f"a{k}" for k in range(80)), " ".join(f"b{k}" for k in range(80))
+    left = simhash.keep_first(docs([(3, a), (7, a), (7, b)]))
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == [(3, a), (7, b)]
+
+
+@pytest.mark.parametrize("distance", [2, 4])
+def test_divided_buckets_lose_no_link(distance):
+    rnd = random.Random(9)
+    start, length = simhash.segments_of(distance)[1]
+    base, fps = rnd.getrandbits(64), []
+    for _ in range(60):  # alike but for one bit of the segment
+        x = base ^ (rnd.getrandbits(64) & ~(((1 << length) - 1) << start)) ^ (rnd.randint(0, 1) << start)
+        for _ in range(6):
+            fps.append(x)
+            for bit in rnd.sample([k for k in range(64) if not start <= k < start + length], rnd.randint(1, distance)):
+                x ^= 1 << bit
+    fps = list(dict.fromkeys(fps))
+    nodes = np.arange(100, 100 + len(fps))
+    want = union([(nodes[i], nodes[j]) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= distance], nodes.tolist())
+    edges = simhash.bucket_forest(nodes, np.array(fps, dtype=np.uint64), distance, start, length)
+    assert len(fps) > simhash.REFINE and union(edges, nodes.tolist()) == want
+
+
 def test_near_classes_of_documents(docs):
     rnd = random.Random(3)
     words = [f"w{k}" for k in range(400)]

@@ -97,6 +97,10 @@ def test_layouts_are_found_by_their_paths(spark):
         ({"instruction": "do", "output": "a"}, "instruction", [("user", "do"), ("assistant", "a")]),
         ({"question": "q", "answer": None}, "question_answer", [("user", "q"), ("assistant", None)]),
         ({"turns": [{"role": "system", "text": "s"}]}, "turns", [("system", "s")]),
+        ({"id": 7, "messages": [{"role": "user", "content": "q", "name": "n", "x.y": {"role": 1}}], "source": {"a": [1]}}, "messages", [("user", "q")]),
+        ({"instruction": "do", "output": "a", "score": 0.5, "a b": None}, "instruction", [("user", "do"), ("assistant", "a")]),
+        ({"inner": {"prompt": "p", "completion": "c"}}, None, None),
+        ({"messages": [{"role": "user"}]}, None, None),
         ({"other": 1}, None, None),
         (None, None, None),
     ]
@@ -106,10 +110,28 @@ def test_layouts_are_found_by_their_paths(spark):
         own = sorted((r for r in rows if r.conv == k), key=lambda r: r.pos or 0)
         assert {r.layout for r in own} == {layout}
         assert [(r.role, r.text) for r in own] == (turns or [(None, None)])
-    assert chat.format_turns(chat.canonical_turns(df)).count() == 8
+    done = {r.conv: r for r in chat.format_turns(chat.canonical_turns(df.withColumn("_v", F.lit(1)))).collect()}
+    assert len(done) == len(records) and sum(r.n_unmatched for r in done.values()) == 4
+    assert {k for k, r in done.items() if r.formatted is None} == {k for k, (_, layout, _) in enumerate(records) if layout is None}
     with pytest.raises(ValueError, match="no layout"):
         chat.canonical_turns(df.withColumnRenamed("record", "other"))
-    assert len({x.fingerprint for x in chat.LAYOUTS}) == len(chat.LAYOUTS)
+    assert len({tuple(x.needs) for x in chat.LAYOUTS}) == len(chat.LAYOUTS)
+
+
+def test_record_paths_equal_those_of_the_schema(spark):
+    from pyspark.sql import types as T
+
+    text = '{"a": {"b": [{"c": 1, "d": ["x"]}], "e": 2.5}, "f": [[{"g": null}]], "h i": true}'
+    kind = spark.read.json(spark.createDataFrame([(text,)], "v string").rdd.map(lambda r: r[0])).schema
+    got = spark.createDataFrame([(text,)], "v string").select(chat.record_paths(F.parse_json("v"))).first()[0]
+    assert got == chat.paths_of(kind) and isinstance(kind, T.StructType)
+
+
+def test_conversations_of_any_table(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "q" * 200_000, 5), (1, 1, "assistant", "a", 6)], "conv_id long, turn long, role string, text string, conv int").withColumn("_size", F.lit("x"))
+    got = chat.digests(chat.parse_formatted(chat.format_turns(chat.canonical_turns(rows)))).collect()
+    assert [(r.conv_id, r.n_turns, r.loss_chars) for r in got] == [(1, 2, 1)] and got[0].formatted_chars > 200_000
+    assert chat.digests(chat.parse_formatted(chat.format_turns(chat.canonical_turns(rows.limit(0))))).count() == 0
 
 
 # ---- licences -------------------------------------------------------------------------------

@@ -149,7 +149,7 @@ def test_shard_file_has_index_filter_and_text_keys(tmp_path):
 
 
 def test_archives_round_trip(spark):
-    rows = [(1, "http://a/é b\r\nX: y", "same"), (2, None, "same"), (3, "u", None), (4, "u", ""), (5, "u", "x" * 300_000), (6, "u", "é\r\n\r\nWARC/1.1"), (7, "u", "same"), (7, "u", "same"), (None, "u", "same"), (None, "v", "own")]
+    rows = [(1, "http://a/é b\r\nX: y", "same"), (2, None, "same"), (3, "u", None), (4, "u", ""), (5, "u", "x" * 300_000), (6, "u", "é\r\n\r\nWARC/1.1"), (7, "u", "same"), (7, "u", "same"), (None, "u", "same"), (None, "v", "own"), (5, "u", "only here"), (5, "w", "same"), (9, "u", "")] + [(k, "u", "many") for k in range(200, 340)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"_key": F.lit(1), "path": F.lit("p")})
     manifest = warc.write_warc(pages, scratch(spark, "warc"), frame_bytes=1000, bundle_bytes=100_000)
     got = warc.read_warc(manifest).collect()
