@@ -17,18 +17,18 @@ def accepted_counts(matches: DataFrame, collisions: DataFrame, *, by: tuple[str,
 
 def segment_evidence(links: DataFrame, traffic: DataFrame, counts: DataFrame, lookup: DataFrame | None = None, *, keys: tuple[str, ...] = ("count_point_id",), count_keys: tuple[str, ...] = ("segment_id",)) -> DataFrame:
     """One row a link: its columns, traffic and class (left joins), counts (0 without matches),
-    annual_vehicle_km and collision_rate_per_100m_vehicle_km, by segment id."""
+    annual_vehicle_km and collision_rate_per_100m_vehicle_km."""
     rows = links.join(traffic, list(keys), "left")
     rows = rows.join(lookup, list(keys), "left") if lookup is not None else rows.withColumn("urban_rural", F.lit(None).cast("string"))
     rows = rows.join(counts, list(count_keys), "left").fillna(0, ["collision_count", "ksi_count"])
     rows = rows.withColumn("annual_vehicle_km", rates.annual_vehicle_km(F.col("all_motor_vehicles"), F.col("link_length_km")))
-    return rows.withColumn("collision_rate_per_100m_vehicle_km", rates.rate_per(F.col("collision_count"), F.col("annual_vehicle_km"), rates.RATE_SCALE)).orderBy("segment_id")
+    return rows.withColumn("collision_rate_per_100m_vehicle_km", rates.rate_per(F.col("collision_count"), F.col("annual_vehicle_km"), rates.RATE_SCALE))
 
 
-def match_quality(matches: DataFrame) -> DataFrame:
-    """Counts by status and the accepted rate, in one pass."""
+def match_quality(matches: DataFrame, *, by: tuple[str, ...] = ()) -> DataFrame:
+    """Counts by status and the accepted rate, in one pass; of each year, say, by ``by``."""
     n = lambda s: F.count_if(F.col("match_status") == s)
-    return matches.agg(F.count(F.lit(1)).alias("collision_records"), n("accepted").alias("accepted"), n("ambiguous").alias("ambiguous"), n("out_of_range").alias("out_of_range"), F.round(n("accepted") / F.count(F.lit(1)), 4).alias("accepted_match_rate"))
+    return matches.groupBy(*by).agg(F.count(F.lit(1)).alias("collision_records"), n("accepted").alias("accepted"), n("ambiguous").alias("ambiguous"), n("out_of_range").alias("out_of_range"), F.round(n("accepted") / F.count(F.lit(1)), 4).alias("accepted_match_rate"))
 
 
 def method_counts(traffic: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

@@ -13,8 +13,12 @@ class ValidationError(ValueError):
     """A table breaks a rule that the job needs."""
 
 
+def missing_columns(df: DataFrame, columns: Iterable[str]) -> list[str]:
+    return sorted(set(columns) - set(df.columns))
+
+
 def require_columns(df: DataFrame, columns: Iterable[str], what: str = "table") -> None:
-    missing = sorted(set(columns) - set(df.columns))
+    missing = missing_columns(df, columns)
     if missing:
         raise ValidationError(f"{what} is missing columns: {', '.join(missing)}")
 
@@ -81,6 +85,21 @@ def single_year(df: DataFrame, column: str = "collision_year") -> int:
     return years[0]
 
 
+def year_status(df: DataFrame, year: int, column: str = "collision_year") -> DataFrame:
+    """n_years, year (the only one, or null), has_year and is_year_alone, in one pass."""
+    years = df.agg(F.array_sort(F.collect_set(column)).alias("_y"))
+    one = F.size("_y") == 1
+    return years.select(F.size("_y").alias("n_years"), F.when(one, F.col("_y")[0]).alias("year"), F.array_contains("_y", year).alias("has_year"), (one & F.array_contains("_y", year)).alias("is_year_alone"))
+
+
+def require_years(df: DataFrame, years: Iterable[int], column: str = "collision_year") -> None:
+    """Every one of ``years`` has rows; one pass for all of them."""
+    have = set(years_of(df.where(F.col(column).isin(list(years))), column))
+    for year in sorted(years):
+        if year not in have:
+            raise ValidationError(f"The source has no rows for {year}")
+
+
 def require_year(df: DataFrame, year: int, column: str = "collision_year") -> DataFrame:
     found = df.where(F.col(column) == year)
     if found.isEmpty():
@@ -98,6 +117,17 @@ def link_uniqueness(links: DataFrame) -> DataFrame:
     return links.agg(F.count(F.lit(1)).alias("n_links"), F.countDistinct("segment_id").alias("n_segment_ids"), F.countDistinct("count_point_id").alias("n_count_points"))
 
 
+def require_yearly_links(links: DataFrame, years: Iterable[int], column: str = "source_year") -> None:
+    """The rules of :func:`require_links` for each of ``years``, in one pass."""
+    found = {r[column]: r for r in links.where(F.col(column).isin(list(years))).groupBy(column).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("segment_id").alias("ids"), F.countDistinct("count_point_id").alias("points")).collect()}
+    for year in sorted(years):
+        if year not in found:
+            raise ValidationError(f"No road links of {year}")
+        n, ids, points = (found[year][k] for k in ("n", "ids", "points"))
+        if ids != n or points != n:
+            raise ValidationError(f"Segment ids or count points of {year} are not unique: {ids} and {points} of {n}")
+
+
 def require_links(links: DataFrame) -> None:
     n, ids, points = link_uniqueness(links).first()
     if n == 0:
@@ -152,7 +182,7 @@ def require_coverage(df: DataFrame, requested: Iterable[int], *, mode: str = "co
     if row["available_year_min"] is None:
         raise ValidationError("The collision source has no reporting years")
     if not row["valid"]:
-        raise ValidationError(f"Collision years do not contain the requested years {', '.join(map(str, sorted(requested)))}")
+        raise ValidationError(f"Collision years lack {row['missing_years']} of the requested {', '.join(map(str, sorted(requested)))}")
 
 
 def manifest_status(inventory: DataFrame, manifest: DataFrame) -> DataFrame:

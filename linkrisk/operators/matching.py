@@ -6,7 +6,9 @@ in one cell; so an equality join on cells finds all pairs within the distance, e
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import cells_between, clip_range, piece_distance
@@ -26,43 +28,64 @@ def split_pieces(pieces: DataFrame, longest: float) -> DataFrame:
     return cut.withColumns({"x1": at(x1, x2, i), "y1": at(y1, y2, i), "x2": at(x1, x2, i + 1), "y2": at(y1, y2, i + 1)}).drop("_n", "_i")
 
 
-def within_distance(points: DataFrame, pieces: DataFrame, distance: float, *, point_id: str = "collision_index", line_id: str = "segment_id", cell: float = CELL) -> DataFrame:
+def within_distance(points: DataFrame, pieces: DataFrame, distance: float, *, point_id: str = "collision_index", line_id: str = "segment_id", cell: float = CELL, by: tuple[str, ...] = ()) -> DataFrame:
     """All lines at most ``distance`` (inclusive) from a point: point_id, line_id, distance.
 
-    points: point_id, x, y; pieces: line_id, x1, y1, x2, y2. Points without coordinates have none.
+    points: point_id, x, y; pieces: line_id, x1, y1, x2, y2; with ``by`` (a year, say) both have these
+    columns too, and only equal ones meet. Points without coordinates have none.
     """
     size = max(cell, distance)
-    spread = split_pieces(pieces.select(line_id, "x1", "y1", "x2", "y2"), LONGEST * size)
+    spread = split_pieces(pieces.select(*by, line_id, "x1", "y1", "x2", "y2"), LONGEST * size)
     grown = [F.least("x1", "x2") - distance, F.greatest("x1", "x2") + distance, F.least("y1", "y2") - distance, F.greatest("y1", "y2") + distance]
     spread = spread.withColumn("_cx", F.explode(cells_between(grown[0], grown[1], size))).withColumn("_cy", F.explode(cells_between(grown[2], grown[3], size)))
-    at = points.where("x is not null and y is not null").select(point_id, "x", "y", F.floor(F.col("x") / size).cast("long").alias("_cx"), F.floor(F.col("y") / size).cast("long").alias("_cy"))
-    found = at.join(spread, ["_cx", "_cy"]).select(point_id, line_id, piece_distance(*(F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2"))).alias("distance"))
+    at = points.where("x is not null and y is not null").select(*by, point_id, "x", "y", F.floor(F.col("x") / size).cast("long").alias("_cx"), F.floor(F.col("y") / size).cast("long").alias("_cy"))
+    found = at.join(spread, [*by, "_cx", "_cy"]).select(point_id, line_id, piece_distance(*(F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2"))).alias("distance"))
     return found.where(F.col("distance") <= distance).groupBy(point_id, line_id).agg(F.min("distance").alias("distance"))
 
 
-def nearest(points: DataFrame, pieces: DataFrame, *, point_id: str = "collision_index", line_id: str = "segment_id", first: float = MAX_DISTANCE, factor: float = 4.0) -> DataFrame:
-    """The nearest line of every point: point_id, line_id, distance; ties go to the smaller line id.
+def _box_range(prefix: str = "") -> tuple[Column, Column]:
+    """The least and the largest distance of the point (x, y) from anything that fills the box."""
+    low, high = [], []
+    for axis in ("x", "y"):
+        at, a, b = F.col(axis), F.col(f"_{axis}a"), F.col(f"_{axis}b")
+        low.append(F.greatest(a - at, at - b, F.lit(0.0)))
+        high.append(F.greatest(F.abs(at - a), F.abs(at - b)))
+    return F.hypot(*low), F.hypot(*high)
+
+
+def nearest(points: DataFrame, pieces: DataFrame, *, point_id: str = "collision_index", line_id: str = "segment_id", cell: float = CELL, by: tuple[str, ...] = ()) -> DataFrame:
+    """The nearest line of every point with coordinates: point_id, line_id, distance; ties go to the
+    smaller line id. ``by`` as in :func:`within_distance`.
 
-    Rounds of growing radius, each for the points that the one before left. The last radius spans
-    all points and lines, so every point with coordinates is found if there is a line at all.
+    Pieces lie in cells by their middles, each in one; cells of four times the size hold these, up to
+    a few that hold all. From there a point goes down through the boxes around what the cells hold,
+    and leaves out those that begin beyond where the nearest ends. So it meets the pieces of a few
+    cells, however far it is from all of them, and no cell's pieces meet all points.
     """
-    extent = points.agg(F.min("x").alias("a"), F.max("x").alias("b"), F.min("y").alias("c"), F.max("y").alias("d")).unionByName(
-        pieces.agg(F.least(F.min("x1"), F.min("x2")).alias("a"), F.greatest(F.max("x1"), F.max("x2")).alias("b"), F.least(F.min("y1"), F.min("y2")).alias("c"), F.greatest(F.max("y1"), F.max("y2")).alias("d"))
-    ).agg(F.min("a"), F.max("b"), F.min("c"), F.max("d")).first()
-    if None in extent:
-        return within_distance(points, pieces, first, point_id=point_id, line_id=line_id).limit(0)
-    span = abs(extent[1] - extent[0]) + abs(extent[3] - extent[2])
-    left, radius, out = points.select(point_id, "x", "y"), first, None
-    while True:
-        near = within_distance(left, pieces, radius, point_id=point_id, line_id=line_id)
-        near = near.groupBy(point_id).agg(F.min(F.struct("distance", line_id)).alias("_n")).select(point_id, F.col(f"_n.{line_id}").alias(line_id), F.col("_n.distance").alias("distance")).persist()
-        out = near if out is None else out.unionByName(near)
-        if radius >= span:
-            return out
-        left = left.join(near.select(point_id), point_id, "left_anti").where("x is not null and y is not null")
-        if left.isEmpty():
-            return out
-        radius *= factor
+    own = split_pieces(pieces.select(*by, line_id, "x1", "y1", "x2", "y2"), LONGEST * cell)
+    box = {"_xa": F.least("x1", "x2"), "_xb": F.greatest("x1", "x2"), "_ya": F.least("y1", "y2"), "_yb": F.greatest("y1", "y2")}
+    own = own.withColumns({**box, "_cx": F.floor((F.col("x1") + F.col("x2")) / (2 * cell)).cast("long"), "_cy": F.floor((F.col("y1") + F.col("y2")) / (2 * cell)).cast("long")})
+    ends = own.agg(F.min("_cx"), F.max("_cx"), F.min("_cy"), F.max("_cy")).first()
+    levels = 0 if None in ends else max(1, math.ceil(math.log(max(ends[1] - ends[0], ends[3] - ends[2]) + 1, 4)))
+
+    def cells(level: int) -> DataFrame:
+        at = [(F.floor(F.col(c) / 4**level).cast("long").alias(c)) for c in ("_cx", "_cy")]
+        return own.groupBy(*by, *at).agg(F.min("_xa").alias("_xa"), F.max("_xb").alias("_xb"), F.min("_ya").alias("_ya"), F.max("_yb").alias("_yb"))
+
+    left = points.where("x is not null and y is not null").select(*by, point_id, "x", "y")
+    for level in range(levels, -1, -1):
+        inner = cells(level).withColumns({f"_p{c}": F.floor(F.col(f"_c{c}") / 4).cast("long") for c in "xy"})
+        if level == levels:  # at most two cells each way
+            left = left.join(F.broadcast(inner.drop("_px", "_py")), list(by)) if by else left.join(F.broadcast(inner.drop("_px", "_py")))
+        else:
+            left = left.withColumnsRenamed({"_cx": "_px", "_cy": "_py"}).join(inner, [*by, "_px", "_py"]).drop("_px", "_py")
+        least, most = _box_range()
+        left = left.withColumns({"_least": least, "_most": most})
+        left = left.withColumn("_reach", F.min("_most").over(Window.partitionBy(*by, point_id, "x", "y"))).where(F.col("_least") <= F.col("_reach") * (1 + 1e-12) + 1e-9)
+        left = left.select(*by, point_id, "x", "y", "_cx", "_cy")
+    found = left.join(own.drop(*box), [*by, "_cx", "_cy"]).select(point_id, line_id, piece_distance(*(F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2"))).alias("distance"))
+    best = found.groupBy(point_id).agg(F.min(F.struct("distance", line_id)).alias("_n"))
+    return best.select(point_id, F.col(f"_n.{line_id}").alias(line_id), F.col("_n.distance").alias("distance"))
 
 
 def two_nearest(candidates: DataFrame, *, point_id: str = "collision_index", line_id: str = "segment_id") -> DataFrame:
@@ -72,29 +95,30 @@ def two_nearest(candidates: DataFrame, *, point_id: str = "collision_index", lin
     return ranked.where("rank <= 2")
 
 
-def match(points: DataFrame, pieces: DataFrame, *, max_distance: float = MAX_DISTANCE, margin: float = AMBIGUITY_MARGIN, point_id: str = "collision_index", line_id: str = "segment_id", with_nearest: bool = True) -> DataFrame:
+def match(points: DataFrame, pieces: DataFrame, *, max_distance: float = MAX_DISTANCE, margin: float = AMBIGUITY_MARGIN, point_id: str = "collision_index", line_id: str = "segment_id", with_nearest: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
     """One row a point: match_status, line_id (null unless accepted), nearest_<line_id>, distance_m,
     second_distance_m, candidate_count.
 
     A point is out of range without a candidate, ambiguous if the second candidate is at most
     ``margin`` farther than the first (unrounded), else accepted. Distances are rounded to 2
-    places. ``with_nearest`` also finds the nearest line of points out of range.
+    places. ``with_nearest`` also finds the nearest line of points out of range. ``by`` as in
+    :func:`within_distance`; its columns come first in the result.
     """
-    top = two_nearest(within_distance(points, pieces, max_distance, point_id=point_id, line_id=line_id), point_id=point_id, line_id=line_id)
+    top = two_nearest(within_distance(points, pieces, max_distance, point_id=point_id, line_id=line_id, by=by), point_id=point_id, line_id=line_id)
     best = top.groupBy(point_id).agg(
         F.min(F.when(F.col("rank") == 1, F.col(line_id))).alias("_line"), F.min(F.when(F.col("rank") == 1, F.col("distance"))).alias("_d1"),
         F.min(F.when(F.col("rank") == 2, F.col("distance"))).alias("_d2"), F.max("candidate_count").alias("_n"),
     )
-    rows = points.select(point_id, "x", "y").join(best, point_id, "left")
+    rows = points.select(*by, point_id, "x", "y").join(best, point_id, "left")
     if with_nearest:
-        lost = rows.where("_d1 is null").select(point_id, "x", "y")
-        far = nearest(lost, pieces, point_id=point_id, line_id=line_id, first=4 * max_distance).select(point_id, F.col(line_id).alias("_far"), F.col("distance").alias("_far_d"))
+        lost = rows.where("_d1 is null").select(*by, point_id, "x", "y")
+        far = nearest(lost, pieces, point_id=point_id, line_id=line_id, by=by).select(point_id, F.col(line_id).alias("_far"), F.col("distance").alias("_far_d"))
         rows = rows.join(far, point_id, "left")
     else:
         rows = rows.withColumns({"_far": F.lit(None).cast(pieces.schema[line_id].dataType), "_far_d": F.lit(None).cast("double")})
     status = F.when(F.col("_d1").isNull(), "out_of_range").when(F.col("_d2") - F.col("_d1") <= margin, "ambiguous").otherwise("accepted")
     return rows.withColumn("match_status", status).select(
-        point_id, "match_status", F.when(F.col("match_status") == "accepted", F.col("_line")).alias(line_id), F.coalesce("_line", "_far").alias(f"nearest_{line_id}"),
+        *by, point_id, "match_status", F.when(F.col("match_status") == "accepted", F.col("_line")).alias(line_id), F.coalesce("_line", "_far").alias(f"nearest_{line_id}"),
         F.bround(F.coalesce("_d1", "_far_d"), 2).alias("distance_m"), F.bround("_d2", 2).alias("second_distance_m"), F.coalesce("_n", F.lit(0)).alias("candidate_count"),
     )
 

@@ -1,8 +1,8 @@
 """Negative-binomial (NB2) regression with a log exposure offset, fit by distributed Newton steps.
 
 Features are categories, so rows with the same categories share a design vector. Each iteration is
-one aggregate: per combination of categories the weights and scores, and for the dispersion sums of
-closed terms. The driver sees one row a combination and solves a p x p system.
+one aggregate: per combination of categories the weights and scores, added up by level and by pair
+of levels, and for the dispersion sums of closed terms. The driver solves a p x p system.
 """
 
 from __future__ import annotations
@@ -23,7 +23,9 @@ from .panel import Contract, labelled
 FEATURES = ("road_category", "road_type", "urban_rural", "estimation_method")
 MISSING = "__missing__"
 MAX_ITERATIONS = 200
-MAX_COMBINATIONS = 100_000
+MAX_LEVELS = 1_000
+#: Counts up to which the sums of the dispersion are added term by term.
+SUMMED = 1_000
 
 
 @dataclass(frozen=True)
@@ -51,15 +53,22 @@ def _level(column: str) -> Column:
 
 
 def feature_levels(rows: DataFrame, columns: Sequence[str] = FEATURES) -> DataFrame:
-    """feature and its sorted levels, in one pass; null is a level of its own."""
+    """feature and its sorted levels, in one pass; null is a level of its own. Levels are made
+    distinct before they meet, so an array is as long as there are levels."""
     known = [c for c in columns if c in rows.columns]
-    one = rows.agg(*(F.array_sort(F.collect_set(_level(c))).alias(c) for c in known))
-    return one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("levels")) for c in known))).alias("p")).select("p.*")
+    each = rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), _level(c).alias("level")) for c in known))).alias("p")).select("p.*").distinct()
+    return each.groupBy("feature").agg(F.sort_array(F.collect_list("level")).alias("levels"))
 
 
 def feature_specs(rows: DataFrame, columns: Sequence[str] = FEATURES) -> tuple[Spec, ...]:
-    """Features with more than one level."""
-    return tuple(Spec(r["feature"], tuple(r["levels"])) for r in feature_levels(rows, columns).collect() if len(r["levels"]) > 1)
+    """Features with more than one level, in the order of ``columns``. The driver solves a system as
+    wide as there are levels, so more than MAX_LEVELS of a feature are an error."""
+    found = feature_levels(rows, columns)
+    wide = found.where(F.size("levels") > MAX_LEVELS).select("feature").first()
+    if wide is not None:
+        raise ValidationError(f"{wide[0]} has more than {MAX_LEVELS} levels")
+    levels = {r["feature"]: tuple(r["levels"]) for r in found.collect()}
+    return tuple(Spec(c, levels[c]) for c in columns if len(levels.get(c, ())) > 1)
 
 
 def design(rows: DataFrame, specs: Sequence[Spec]) -> DataFrame:
@@ -80,24 +89,48 @@ def mean_of(model: Model, exposure: Column) -> Column:
     return exposure * F.exp(linear_predictor(model.specs, model.beta))
 
 
+def digamma(x: Column) -> Column:
+    """By its asymptotic series, ten steps up."""
+    z = x + 10
+    series = F.log(z) - 1 / (2 * z) - 1 / (12 * z**2) + 1 / (120 * z**4) - 1 / (252 * z**6) + 1 / (240 * z**8)
+    return series - sum((1 / (x + k) for k in range(10)), F.lit(0.0))
+
+
+def trigamma(x: Column) -> Column:
+    z = x + 10
+    series = 1 / z + 1 / (2 * z**2) + 1 / (6 * z**3) - 1 / (30 * z**5) + 1 / (42 * z**7) - 1 / (30 * z**9)
+    return series + sum((1 / (x + k) ** 2 for k in range(10)), F.lit(0.0))
+
+
+def rising(y: Column, t: float) -> tuple[Column, Column]:
+    """The sums over k < y of 1 / (k + t) and of its square; term by term for small counts."""
+    k = F.sequence(F.lit(1), F.least(y, F.lit(SUMMED)).cast("int"))
+    one = F.when(y < 1, 0.0).otherwise(F.aggregate(k, F.lit(0.0), lambda s, i: s + 1 / (i - 1 + F.lit(t))))
+    two = F.when(y < 1, 0.0).otherwise(F.aggregate(k, F.lit(0.0), lambda s, i: s + 1 / (i - 1 + F.lit(t)) ** 2))
+    at = F.lit(t + SUMMED)
+    return F.when(y <= SUMMED, one).otherwise(one + digamma(y + t) - digamma(at)), F.when(y <= SUMMED, two).otherwise(two + trigamma(at) - trigamma(y + t))
+
+
 def fit(rows: DataFrame, specs: Sequence[Spec], *, target: str = "ksi_count", exposure: str = "annual_vehicle_km", tolerance: float = 1e-8) -> Model:
-    """Maximum likelihood of beta and alpha; alpha is 0 where the data are not over-dispersed."""
+    """Maximum likelihood of beta and alpha; alpha is 0 where the data are not over-dispersed.
+
+    The driver gets the sums of the score by level and of the information by pairs of levels, as many
+    as the model has terms squared, whatever the rows or combinations of levels."""
     keys = [f"f{i}" for i in range(len(specs))]
     data = rows.select(*(_level(s.column).alias(k) for s, k in zip(specs, keys, strict=True)), F.col(target).cast("double").alias("y"), F.col(exposure).cast("double").alias("e"))
     data = data.persist()
+    counts = data.groupBy("y").agg(F.count(F.lit(1)).alias("n")).persist()
     try:
-        combos = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y"), F.sum("e").alias("e")).limit(MAX_COMBINATIONS + 1).collect()
-        if len(combos) > MAX_COMBINATIONS:
-            raise ValidationError("The features have too many combinations")
-        n = sum(r["n"] for r in combos)
-        x = {tuple(r[k] for k in keys): np.array([1.0, *(float(r[k] == v) for s, k in zip(specs, keys, strict=True) for v in s.levels[1:])]) for r in combos}
-        width = len(next(iter(x.values())))
+        n, events, whole = data.agg(F.count(F.lit(1)), F.sum("y"), F.sum("e")).first()
+        width = 1 + sum(len(s.levels) - 1 for s in specs)
         local = [Spec(k, s.levels) for s, k in zip(specs, keys, strict=True)]
-        counts = data.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()
-        tail = np.zeros(int(max(r["y"] for r in counts)))
-        for r in counts:
-            tail[: int(r["y"])] += r["n"]
-        steps = np.arange(len(tail))
+        # the places of a row's terms in the design: the intercept, and one for each level but the first
+        places, at = [F.lit(0)], 1
+        for s in local:
+            levels = F.array_position(F.array(*map(F.lit, s.levels)), F.col(s.column)).cast("int")
+            places.append(F.when(levels > 1, levels - 2 + at))
+            at += len(s.levels) - 1
+        terms = F.array_compact(F.array(*places))
 
         def sums(beta: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray, dict[str, float]]:
             mu = F.col("e") * F.exp(linear_predictor(local, beta))
@@ -106,24 +139,31 @@ def fit(rows: DataFrame, specs: Sequence[Spec], *, target: str = "ksi_count", ex
             if alpha > 0:
                 t = 1 / alpha
                 more |= {"a": F.sum(F.log(t + F.col("mu")) + (F.col("y") + t) / (t + F.col("mu"))), "b": F.sum(2 / (t + F.col("mu")) - (F.col("y") + t) / (t + F.col("mu")) ** 2)}
-            found = cols.groupBy(*keys).agg(F.sum((F.col("y") - F.col("mu")) / F.col("w")).alias("g"), F.sum(F.col("mu") / F.col("w")).alias("h"), *(v.alias(k) for k, v in more.items())).collect()
-            gradient, fisher = np.zeros(width), np.zeros((width, width))
+            combos = cols.groupBy(*keys).agg(F.sum((F.col("y") - F.col("mu")) / F.col("w")).alias("g"), F.sum(F.col("mu") / F.col("w")).alias("h"), *(v.alias(k) for k, v in more.items()))
+            pairs = combos.withColumn("i", F.explode(terms)).withColumn("j", F.explode(terms)).where("i <= j")
+            found = pairs.groupBy("i", "j").agg(F.sum(F.when(F.col("i") == F.col("j"), F.col("g"))).alias("g"), F.sum("h").alias("h"), *(F.sum(F.when(F.col("j") == 0, F.col(k))).alias(k) for k in more)).collect()
+            gradient, fisher, total = np.zeros(width), np.zeros((width, width)), {}
             for r in found:
-                v = x[tuple(r[k] for k in keys)]
-                gradient += v * r["g"]
-                fisher += np.outer(v, v) * r["h"]
-            return gradient, fisher, {k: sum(r[k] for r in found) for k in more}
+                i, j = r["i"], r["j"]
+                fisher[i, j] = fisher[j, i] = r["h"]
+                if i == j:
+                    gradient[i] = r["g"]
+                if j == 0:
+                    total = {k: r[k] for k in more}
+            return gradient, fisher, total
 
         beta = np.zeros(width)
-        beta[0] = math.log(max(sum(r["y"] for r in combos), 0.5) / sum(r["e"] for r in combos))
+        beta[0] = math.log(max(events, 0.5) / whole)
         alpha = 0.0
         for k in range(1, MAX_ITERATIONS + 1):
             gradient, fisher, more = sums(beta, alpha)
             drift = 0.0
             if alpha > 0:
                 t = 1 / alpha
-                first = float((tail / (steps + t)).sum()) + n * (math.log(t) + 1) - more["a"]
-                second = -float((tail / (steps + t) ** 2).sum()) + n / t - more["b"]
+                one, two = rising(F.col("y"), t)
+                up, up2 = counts.agg(F.sum(F.col("n") * one), F.sum(F.col("n") * two)).first()
+                first = up + n * (math.log(t) + 1) - more["a"]
+                second = -up2 + n / t - more["b"]
                 u, v = t * first, t * t * second + t * first
                 drift = abs(u)
             if max(np.abs(gradient).max(), drift) < tolerance * n:
@@ -139,6 +179,17 @@ def fit(rows: DataFrame, specs: Sequence[Spec], *, target: str = "ksi_count", ex
         raise ValidationError(f"The fit did not converge in {MAX_ITERATIONS} iterations")
     finally:
         data.unpersist()
+        counts.unpersist()
+
+
+def score(model: Model, rows: DataFrame, *, target: str = "ksi_count", exposure: str = "annual_vehicle_km") -> DataFrame:
+    """term and score: the derivative of the log likelihood by each coefficient, over the rows' number;
+    zero at a maximum."""
+    mu = mean_of(model, F.col(exposure).cast("double"))
+    left = (F.col(target) - mu) / (1 + model.alpha * mu)
+    parts = [F.avg(left).alias("intercept")] + [F.avg(F.when(_level(s.column) == v, left).otherwise(0.0)).alias(f"{s.column}={v}") for s in model.specs for v in s.levels[1:]]
+    one = rows.agg(*parts)
+    return one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("term"), F.col(f"`{c}`").alias("score")) for c in one.columns))).alias("p")).select("p.*")
 
 
 def predict(model: Model, rows: DataFrame, *, exposure: str = "annual_vehicle_km") -> DataFrame:

@@ -35,6 +35,8 @@ class Contract:
             raise ValidationError("Training, validation and test years overlap")
         if not (self.training_years and self.validation_years and self.test_years):
             raise ValidationError("Each split needs a year")
+        if max(self.training_years) >= min(self.validation_years) or max(self.validation_years) >= min(self.test_years):
+            raise ValidationError("Validation must follow training, and test must follow validation")
 
     @property
     def years(self) -> list[int]:
@@ -74,7 +76,7 @@ def union_relaxed(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 def build_panel(frames: Sequence[DataFrame]) -> DataFrame:
-    """Yearly evidence, checked and stacked, by year and segment key."""
+    """Yearly evidence, checked and stacked; whoever stores it orders it."""
     for k, df in enumerate(frames):
         require_columns(df, PANEL_COLUMNS, f"evidence {k}")
     panel = union_relaxed(frames)
@@ -84,7 +86,7 @@ def build_panel(frames: Sequence[DataFrame]) -> DataFrame:
     n = duplicate_rows(panel, "segment_key", "year").first()[0]
     if n:
         raise ValidationError(f"Found {n} duplicate segment-year rows")
-    return panel.orderBy("year", "segment_key")
+    return panel
 
 
 def panel_years(panel: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.naming import unused
+
 
 def ranked(df: DataFrame, order: Sequence[Column], name: str = "rank", *, by: Sequence[str] = ()) -> DataFrame:
     """``df`` with the 1-based rank of each row in ``order``, within groups ``by`` if given.
@@ -21,14 +23,15 @@ def ranked(df: DataFrame, order: Sequence[Column], name: str = "rank", *, by: Se
     block is made again from the same one.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part, first, count, before, own, *groups = unused(df, "_range", "_first", "_n", "_before", "_own", *(f"_group{i}" for i in range(len(by))))
     keys = [F.col(c).asc_nulls_first() for c in by]
-    dealt = df.repartitionByRange(n, *keys, *order).withColumn("_range", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
-    counts = dealt.groupBy("_range", *by).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = df.repartitionByRange(n, *keys, *order).withColumn(part, F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = dealt.groupBy(part, *by).agg(F.count(F.lit(1)).alias(count))
+    earlier = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     # one row for each range (and group in it)
-    starts = counts.select(F.col("_range").alias("_r"), *(F.col(c).alias(f"_g{i}") for i, c in enumerate(by)), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    own = dealt.withColumn("_own", F.row_number().over(Window.partitionBy("_range", *by).orderBy(*order)))
-    same = F.col("_range") == F.col("_r")
-    for i, c in enumerate(by):
-        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
-    return own.join(starts, same).withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).drop("_range", "_r", "_own", "_before", *(f"_g{i}" for i in range(len(by))))
+    starts = counts.select(F.col(part).alias(first), *(F.col(c).alias(g) for c, g in zip(by, groups, strict=True)), F.coalesce(F.sum(count).over(earlier), F.lit(0)).alias(before))
+    rows = dealt.withColumn(own, F.row_number().over(Window.partitionBy(part, *by).orderBy(*order)))
+    same = F.col(part) == F.col(first)
+    for c, g in zip(by, groups, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(g))
+    return rows.join(starts, same).withColumn(name, (F.col(own) + F.col(before)).cast("long")).drop(part, first, own, before, *groups)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +24,7 @@ def build_pilot(collisions: DataFrame, output: str, *, years: Iterable[int] | No
     gates.require_unique(collisions, "collision_index", what="collision ids")
     gates.require_none(collisions, gates.outside_domain(F.col("collision_severity"), (1, 2, 3)), "Found {n} severities outside 1, 2, 3")
     wanted = sorted(years) if years is not None else [gates.single_year(collisions)]
-    for year in wanted:
-        gates.require_year(collisions, year)
+    gates.require_years(collisions, wanted)
     rows = serving.in_box(collisions.where(F.col("collision_year").isin(wanted)), box).select(*PILOT_COLUMNS)
     rows = rows.withColumn("date", rates.try_date(F.col("date")))
     sinks.write_by(rows, f"{output}/collisions", "collision_year", order=("date", "collision_index"))
@@ -113,6 +112,9 @@ def build_spf(rows: DataFrame, contract: panel.Contract, output: str) -> DataFra
         parts = [named(f(df), name) for df, name in both]
         sinks.write_report(parts[0].unionByName(parts[1]), f"{output}/spf-{part}")
     sinks.write_report(nb2.coefficients(found.model, rows), f"{output}/spf-coefficients")
+    split = panel.labelled(rows, contract).groupBy("evaluation_split").agg(F.count(F.lit(1)).alias("n_rows"))
+    features = F.lit(",".join(s.column for s in found.model.specs))
+    sinks.write_report(split.withColumns({"features": features, "alpha": F.lit(found.model.alpha), "iterations": F.lit(found.model.iterations)}).join(files.table_digest(rows).select("digest")), f"{output}/spf-provenance")
     sinks.write_report(found.unseen, f"{output}/unseen-authorities")
     if found.holdout is not None:
         sinks.write_report(found.holdout, f"{output}/authority-holdout")
@@ -121,35 +123,58 @@ def build_spf(rows: DataFrame, contract: panel.Contract, output: str) -> DataFra
     return report
 
 
-def build_contract(spark: SparkSession, collisions: DataFrame, links: DataFrame, traffic: DataFrame, contract: panel.Contract, output: str, *, lookup: DataFrame | None = None) -> DataFrame:
-    """All years of the contract in one plan keyed by year, then the panel and its readiness.
+def build_contract(spark: SparkSession, collisions: DataFrame, links: DataFrame, traffic: DataFrame, contract: panel.Contract, output: str, *, lookup: DataFrame | None = None, box: tuple[float, float, float, float] = PILOT_BOX, inventory: DataFrame | None = None) -> DataFrame:
+    """Pilot, network evidence and features of all years of the contract in one plan keyed by year,
+    then the panel and its readiness; the result is the latter.
 
-    ``links`` has the links of all years with source_year; segment ids differ between years."""
+    ``links`` has the links of all years with source_year; segment ids differ between years. Every
+    gate of the yearly jobs holds for each year. Reports: those of the pilot, counts of matches and
+    coverage by year, how the tables were made (``inventory``, say of file hashes, is stored with it).
+    """
     years = contract.years
-    coverage = gates.source_coverage(collisions, years).first()
-    if not coverage["valid"]:
-        raise gates.ValidationError(f"Collision years lack {coverage['missing_years']}")
+    gates.require_coverage(collisions, years)
+    build_pilot(collisions, output, years=years, box=box)
+    pilot = spark.read.parquet(f"{output}/collisions").where(F.col("collision_year").isin(years))
+    gates.require_years(pilot, years)
     own = links.where(F.col("source_year").isin(years))
+    gates.require_yearly_links(own, years)
+    yearly = traffic.where(F.col("year").isin(years))
+    gates.require_unique(yearly, "count_point_id", "year", what="traffic rows")
+    if lookup is not None:
+        gates.require_unique(lookup, "count_point_id", "year", what="urban/rural rows")
+        gates.require_urban_rural(lookup)
     pieces = grid_pieces(own, "parts", "segment_id", "source_year").persist()
-    points = geo.to_grid(collisions.where(F.col("collision_year").isin(years)).select("collision_index", "collision_year", "collision_severity", "longitude", "latitude"))
-    # a year's grid is moved far from the next one's, so that one join serves all years
-    shift = lambda df, year, *xs: df.withColumns({x: F.col(x) + (F.col(year) - years[0]) * 1e7 for x in xs})
-    matches = matching.match(shift(points, "collision_year", "x"), shift(pieces, "source_year", "x1", "x2"), with_nearest=False)
-    matches = matches.join(points.select("collision_index", F.col("collision_year").alias("source_year")), "collision_index")
-    sinks.write_by(matches, f"{output}/matches", "source_year")
-    stored = spark.read.parquet(f"{output}/matches")
-    counts = evidence.accepted_counts(stored, collisions)
+    points = geo.to_grid(pilot.select("collision_index", F.col("collision_year").alias("source_year"), "collision_severity", "longitude", "latitude"))
+    sinks.write_by(matching.match(points, pieces, by=("source_year",)), f"{output}/matches", "source_year")
+    matches = spark.read.parquet(f"{output}/matches")
+    counts = evidence.accepted_counts(matches, pilot)
     base = own.select("segment_id", "count_point_id", "road_number", "source_year").withColumn("segment_key", rates.segment_key(F.col("count_point_id"))).join(matching.line_length(pieces), "segment_id", "left")
-    yearly = traffic.where(F.col("year").isin(years)).withColumn("source_year", F.col("year"))
+    flows = yearly.withColumn("source_year", F.col("year"))
     classes = lookup.withColumnRenamed("year", "source_year") if lookup is not None else None
-    rows = evidence.segment_evidence(base, yearly, counts, classes, keys=("count_point_id", "source_year"))
+    rows = evidence.segment_evidence(base, flows, counts, classes, keys=("count_point_id", "source_year"))
     sinks.write_by(rows, f"{output}/evidence", "source_year", order=("segment_id",))
     pieces.unpersist()
     found = spark.read.parquet(f"{output}/evidence")
-    sinks.write_report(evidence.network_quality(found, by=("source_year",)), f"{output}/network-report")
+    sinks.write_features(found, own, f"{output}/features")
+    report = evidence.match_quality(matches, by=("source_year",)).join(evidence.network_quality(found, by=("source_year",)), "source_year", "full")
+    sinks.write_report(report, f"{output}/network-report")
+    sinks.write_report(evidence.method_counts(yearly, ("year",)), f"{output}/estimation-methods")
+    sinks.write_report(provenance(spark, {"collisions": collisions, "links": links.drop("parts"), "traffic": traffic}, box=box), f"{output}/sources-report")
+    if inventory is not None:
+        sinks.write_report(inventory, f"{output}/inventory-report")
     return build_panel([found.where("year is not null")], contract, output)
 
 
+def provenance(spark: SparkSession, sources: Mapping[str, DataFrame], *, box: tuple[float, float, float, float] = PILOT_BOX) -> DataFrame:
+    """source, n_rows and digest of each table, with the parameters that the matches depend on."""
+    out = None
+    for name, df in sources.items():
+        row = files.table_digest(df).select(F.lit(name).alias("source"), "n_rows", "digest")
+        out = row if out is None else out.unionByName(row)
+    fixed = {"max_distance_m": matching.MAX_DISTANCE, "ambiguity_margin_m": matching.AMBIGUITY_MARGIN, **dict(zip(("left", "low", "right", "high"), box, strict=True))}
+    return out.withColumns({k: F.lit(v) for k, v in fixed.items()})
+
+
 def build_area_lookup(links: DataFrame, areas: DataFrame, classes: DataFrame, output: str, *, box: tuple[float, float, float, float]) -> DataFrame:
     """The class of every link-year by the area that its part within the grid box lies in; links
     without a class are an error."""

@@ -116,8 +116,8 @@ def row_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(gates.row_validity(rows, F.col("evaluation_split")), "total_exposure", places=2)
 
 
-@query("""SELECT count(*) AS collision_records, min(collision_year) AS available_year_min, max(collision_year) AS available_year_max,
-                 (SELECT string_agg(y, ',' ORDER BY y) FROM (VALUES (1994), (1995), (2031)) v(y) WHERE y NOT IN (SELECT collision_year FROM collision)) AS missing_years, false AS valid FROM collision""", "collision")
+@query("""SELECT *, missing_years = '' AS valid FROM (SELECT count(*) AS collision_records, min(collision_year) AS available_year_min, max(collision_year) AS available_year_max,
+                 coalesce((SELECT string_agg(y, ',' ORDER BY y) FROM (VALUES (1994), (1995), (2031)) v(y) WHERE y NOT IN (SELECT collision_year FROM collision)), '') AS missing_years FROM collision)""", "collision")
 def source_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = gates.source_coverage(view(spark, sf_dir, "collision"), (1994, 1995, 2031))
     return found.withColumn("missing_years", F.array_join(F.col("missing_years").cast("array<string>"), ","))
@@ -155,9 +155,10 @@ def _chained(body: str, *views: str) -> str:
     return sql_with("", *views).rstrip() + body
 
 
-def _accepted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _accepted(spark: SparkSession, sf_dir: str, with_nearest: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Counts of accepted points do not need the nearest lines of the others."""
     points, links = view(spark, sf_dir, "collision"), view(spark, sf_dir, "link")
-    return points, links, matching.match(points, links, with_nearest=False)
+    return points, links, matching.match(points, links, with_nearest=with_nearest)
 
 
 def match_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,11 +166,11 @@ def match_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def match_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.nearest(view(spark, sf_dir, "collision"), view(spark, sf_dir, "link")).select("collision_index", F.round("distance", 4).alias("distance"))
+    return matching.nearest(view(spark, sf_dir, "collision"), view(spark, sf_dir, "link")).select("collision_index", "segment_id", F.round("distance", 4).alias("distance"))
 
 
 def match_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _accepted(spark, sf_dir)[2].select("collision_index", "match_status", "segment_id", "nearest_segment_id", "distance_m", "second_distance_m", "candidate_count")
+    return _accepted(spark, sf_dir, with_nearest=True)[2].select("collision_index", "match_status", "segment_id", "nearest_segment_id", "distance_m", "second_distance_m", "candidate_count")
 
 
 def match_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,9 +191,10 @@ def segment_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 for _f, _sql in (
     (match_candidates, DISTANCES.format(where=CLOSE) + " SELECT collision_index, segment_id, round(d, 6) AS distance FROM near WHERE d <= 50"),
-    (match_nearest, DISTANCES.format(where="") + " SELECT collision_index, round(min(d), 4) AS distance FROM near GROUP BY collision_index"),
-    (match_status, DISTANCES.format(where=CLOSE) + STATUS + """ SELECT collision_index, match_status, CASE WHEN match_status = 'accepted' THEN s END AS segment_id, s AS nearest_segment_id,
-         round_even(d1, 2) AS distance_m, round_even(d2, 2) AS second_distance_m, candidate_count FROM matched"""),
+    (match_nearest, DISTANCES.format(where="") + " SELECT collision_index, arg_min(segment_id, (d, segment_id)) AS segment_id, round(min(d), 4) AS distance FROM near GROUP BY collision_index"),
+    (match_status, DISTANCES.format(where="") + STATUS + """, far AS (SELECT collision_index, arg_min(segment_id, (d, segment_id)) AS f, min(d) AS fd FROM near GROUP BY collision_index)
+         SELECT collision_index, match_status, CASE WHEN match_status = 'accepted' THEN s END AS segment_id, coalesce(s, f) AS nearest_segment_id,
+         round_even(coalesce(d1, fd), 2) AS distance_m, round_even(d2, 2) AS second_distance_m, candidate_count FROM matched LEFT JOIN far USING (collision_index)"""),
     (match_quality, DISTANCES.format(where=CLOSE) + STATUS + """ SELECT count(*) AS collision_records, count_if(match_status = 'accepted') AS accepted, count_if(match_status = 'ambiguous') AS ambiguous,
          count_if(match_status = 'out_of_range') AS out_of_range, round(count_if(match_status = 'accepted') / count(*), 4) AS accepted_match_rate FROM matched"""),
     (segment_evidence, DISTANCES.format(where=CLOSE) + STATUS + """, counts AS (SELECT s, count(*) AS c, count_if(collision_severity IN (1, 2)) AS k FROM matched WHERE match_status = 'accepted' GROUP BY s),
@@ -205,7 +207,7 @@ for _f, _sql in (
     ORACLES[_f.__name__] = _chained(_sql, "collision", "link", *(["traffic"] if _f is segment_evidence else []))
 
 
-@query("""SELECT year, count(*) AS road_segments, count(all_motor_vehicles) AS segments_with_exposure, 1.0::DOUBLE AS exposure_coverage, count(urban_rural) AS segments_with_urban_rural,
+@query("""SELECT year, count(*) AS road_segments, count(all_motor_vehicles) AS segments_with_exposure, round(count(all_motor_vehicles) / count(*), 4) AS exposure_coverage, count(urban_rural) AS segments_with_urban_rural,
                  round(count(urban_rural) / count(*), 4) AS urban_rural_coverage, string_agg(DISTINCT local_authority_code, ',' ORDER BY local_authority_code) AS local_authorities
           FROM panel GROUP BY year""", "panel")
 def network_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -345,15 +347,28 @@ def complete_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel.complete_history(view(spark, sf_dir, "panel"), CONTRACT)
 
 
-@query(f"""SELECT 'blocked' AS status, 'incomplete_subgroup_values' AS blockers, 5.0::DOUBLE / 6 AS readiness_score, '' AS missing_years, '' AS missing_subgroups,
-                  'urban_rural=' || count_if(urban_rural IS NULL) AS incomplete_subgroup_rows, count_if(annual_vehicle_km IS NULL OR annual_vehicle_km <= 0) AS invalid_exposure_rows,
-                  count_if(ksi_count IS NULL OR ksi_count < 0) AS invalid_target_rows, count(DISTINCT local_authority_code) AS geographic_groups,
-                  (SELECT count(*) FROM (SELECT 1 FROM panel WHERE year IN {YEARS} GROUP BY segment_key HAVING count(DISTINCT year) = 6)) AS segments_with_complete_history
-           FROM panel WHERE year IN {YEARS}""", "panel")
+READINESS = f""", c AS (
+      SELECT count_if(urban_rural IS NULL OR trim(urban_rural) = '') AS u, count_if(road_category IS NULL OR trim(road_category) = '') AS r, count_if(local_authority_code IS NULL OR trim(local_authority_code) = '') AS l,
+             count_if(annual_vehicle_km IS NULL OR annual_vehicle_km <= 0) AS invalid_exposure_rows, count_if(ksi_count IS NULL OR ksi_count < 0) AS invalid_target_rows, count(DISTINCT local_authority_code) AS geographic_groups,
+             (SELECT count(*) FROM (SELECT 1 FROM panel WHERE year IN {YEARS} GROUP BY segment_key HAVING count(DISTINCT year) = 6)) AS segments_with_complete_history,
+             (SELECT coalesce(string_agg(y, ',' ORDER BY y), '') FROM (VALUES (1995), (1996), (1997), (1998), (1999), (2000)) v(y) WHERE y NOT IN (SELECT year FROM panel)) AS missing_years
+      FROM panel WHERE year IN {YEARS}),
+    k AS (SELECT *, list_filter([CASE WHEN missing_years <> '' THEN 'missing_contract_years' END, CASE WHEN r + u + l > 0 THEN 'incomplete_subgroup_values' END,
+                     CASE WHEN geographic_groups < 2 THEN 'insufficient_geographic_groups' END, CASE WHEN invalid_exposure_rows > 0 THEN 'invalid_exposure_rows' END,
+                     CASE WHEN invalid_target_rows > 0 THEN 'invalid_target_rows' END], lambda x: x IS NOT NULL) AS b FROM c)
+    SELECT CASE WHEN len(b) = 0 THEN 'ready-for-evaluation' ELSE 'blocked' END AS status, array_to_string(b, ',') AS blockers, (6 - len(b)) / 6.0::DOUBLE AS readiness_score, missing_years, '' AS missing_subgroups,
+           concat_ws(',', CASE WHEN r > 0 THEN 'road_category=' || r END, CASE WHEN u > 0 THEN 'urban_rural=' || u END, CASE WHEN l > 0 THEN 'local_authority=' || l END) AS incomplete_subgroup_rows,
+           invalid_exposure_rows, invalid_target_rows, geographic_groups, segments_with_complete_history FROM k"""
+
+
 def panel_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel.readiness(view(spark, sf_dir, "panel"), CONTRACT)
 
 
+QUERIES["panel_readiness"] = panel_readiness
+ORACLES["panel_readiness"] = _chained(READINESS, "panel")
+
+
 # ---- screening ------------------------------------------------------------------------------
 
 ROLLUP = """, r AS (
@@ -548,4 +563,6 @@ def _counts_as_long(sql: str) -> str:
     return out + sql[at:]
 
 
+from . import stored  # noqa: E402,F401  (adds its queries to the registry)
+
 ORACLES = {k: _counts_as_long(v) for k, v in ORACLES.items()}

@@ -120,9 +120,10 @@ def read_years(spark: SparkSession, template: str, years: Iterable[int], *, hist
 
 
 def file_inventory(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """filename, bytes and SHA-256 of every file below a path, many files at a time."""
+    """filename (from the folder ``path`` on), bytes and SHA-256 of every file below it, many files at a time."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
-    return rows.select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    folder = path.split(":", 1)[-1].strip("/") + "/"
+    return rows.select(F.substring_index("path", folder, -1).alias("filename"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def table_digest(df: DataFrame) -> DataFrame:

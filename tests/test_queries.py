@@ -11,7 +11,7 @@ import __spark_entry__
 from linkrisk.plans import queries
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("orders", "part", "lineitem", "nation")
+TABLES = ("orders", "part", "lineitem", "nation", "region")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 
 

@@ -115,6 +115,17 @@ def test_contract_build_serves_all_years_at_once(spark, inputs):
     assert (row.missing_years, row.segments_with_complete_history, row.blockers) == ("", 2, "insufficient_geographic_groups")
     rows = spark.read.parquet(str(inputs / "all/evidence")).collect()
     assert len(rows) == 6 and {r.collision_count for r in rows} == {1}
+    alone = {}
+    for y in years:
+        jobs.build_network(many.where(F.col("collision_year") == y).where(F.col("longitude").between(-1.75, -1.35)), roads.where(F.col("source_year") == y), flows, str(inputs / f"one{y}"), year=y)
+        alone |= {r.collision_index: (r.match_status, r.nearest_segment_id, r.distance_m) for r in spark.read.parquet(str(inputs / f"one{y}/matches")).collect()}
+    assert alone == {r.collision_index: (r.match_status, r.nearest_segment_id, r.distance_m) for r in spark.read.parquet(str(inputs / "all/matches")).collect()}
+    assert spark.read.text(str(inputs / "all/features")).count() == 6 and {r.source for r in spark.read.json(str(inputs / "all/sources-report")).collect()} == {"collisions", "links", "traffic"}
+    assert len({r[0] for r in alone.values()}) == 2 and None not in {r[1] for r in alone.values()}
+    with pytest.raises(ValidationError, match="not unique"):
+        jobs.build_contract(spark, many, roads.unionByName(roads.limit(1)), flows, panel.Contract((2022,), (2023,), (2024,)), str(inputs / "no"))
+    with pytest.raises(ValidationError, match="follow"):
+        panel.Contract((2024,), (2022,), (2023,))
     with pytest.raises(ValidationError, match="lack"):
         jobs.build_contract(spark, collisions, roads, flows, panel.Contract((2022,), (2023,), (2024,)), str(inputs / "no"))
 

@@ -83,7 +83,7 @@ def test_joins_equal_brute_force(spark):
     got = {(r[0], r[1]): r[2] for r in matching.within_distance(points(spark, at), pieces(spark, lines), 120.0).collect()}
     assert got.keys() == {k for k, d in want.items() if d <= 120.0}
     assert all(abs(d - want[k]) < 1e-6 for k, d in got.items())
-    near = {r[0]: r[2] for r in matching.nearest(points(spark, at), pieces(spark, lines), first=20.0).collect()}
+    near = {r[0]: r[2] for r in matching.nearest(points(spark, at), pieces(spark, lines), cell=20.0).collect()}
     assert len(near) == 200 and all(abs(d - min(want[i, s[0]] for s in lines)) < 1e-6 for i, d in near.items())
 
 
@@ -115,3 +115,21 @@ def test_long_pieces_are_cut_exactly(spark):
     cut = matching.split_pieces(pieces(spark, [("a", 0.0, 0.0, 1000.0, 0.0)]), 300.0).orderBy("x1").collect()
     assert [(r.x1, r.x2) for r in cut][0][0] == 0.0 and cut[-1].x2 == 1000.0 and len(cut) == 4
     assert matching.line_length(pieces(spark)).where(F.col("segment_id") == "17705").first()[1] == pytest.approx(1.3426, abs=1e-4)
+
+
+def test_nearest_of_far_points_and_within_years(spark):
+    rnd = random.Random(8)
+    lines = [(f"s{k}", y, *(rnd.uniform(0, 3000) for _ in range(4))) for k in range(60) for y in (1, 2)]
+    at = [(f"p{k}", 1 + k % 3, rnd.choice([rnd.uniform(0, 3000), 5e6, -7e5]), rnd.uniform(-2000, 4000)) for k in range(80)] + [("q", 1, None, 3.0)]
+    table = spark.createDataFrame(lines, "segment_id string, y int, x1 double, y1 double, x2 double, y2 double")
+    got = {r[0]: r[1:] for r in matching.nearest(spark.createDataFrame(at, "collision_index string, y int, x double, y double".replace("y double", "yy double")).withColumnsRenamed({"y": "year", "yy": "y"}), table.withColumnRenamed("y", "year"), cell=50.0, by=("year",)).collect()}
+
+    def gap(x, y, x1, y1, x2, y2):
+        t = max(0.0, min(1.0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2)))
+        return ((x - x1 - t * (x2 - x1)) ** 2 + (y - y1 - t * (y2 - y1)) ** 2) ** 0.5
+
+    for p, year, x, y in at:
+        want = min(((gap(x, y, *c), s) for s, own, *c in lines if own == year), default=None) if x is not None else None
+        assert (p in got) == (want is not None)
+        if want:
+            assert got[p][0] == want[1] and abs(got[p][1] - want[0]) < 1e-6 * (1 + want[0])
