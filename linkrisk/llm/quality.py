@@ -1,7 +1,7 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule decides on a batch of texts at once. On a sample its cost and the share it rejects are
-measured; rules then run in the order of rejections per second, each only on texts that all rules
+Each rule decides on a batch of texts at once. On a sample, of the texts that come to the cascade, its
+cost and the share it rejects are measured; rules then run in the order of rejections per second, each only on texts that all rules
 before it have passed. The order changes what is computed, never what is kept.
 """
 
@@ -151,27 +151,29 @@ RULES = (
 )
 
 
-def calibrate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col: str = "text", sample_rows: int = 2000, seed: int = 11) -> list[tuple[str, float, float]]:
+def calibrate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col: str = "text", task_rows: int = 64, after: tuple[Rule, ...] = ()) -> list[tuple[str, float, float]]:
     """Name, seconds per text and share rejected of each rule, in the order in which to run them.
 
-    Measured on a sample of about ``sample_rows`` rows; a rule that the sample says nothing about
-    keeps its given place among those of equal worth.
+    Measured on the first ``task_rows`` texts of every partition that no rule of ``after`` rejects,
+    so that no more than the beginning of each partition is read. A rule that the sample says
+    nothing about keeps its given place among those of equal worth.
     """
-    total = docs.count()
-    share = min(1.0, sample_rows / total) if total else 1.0
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, bad, took = 0, [0] * len(rules), [0.0] * len(rules)
         for batch in batches:
-            texts = pa.array(rows_of(batch, "_text")[0], pa.large_string())
+            texts = batch.column(0).cast(pa.large_string()).slice(0, 4 * task_rows)
+            texts = texts.filter(pa.array(run_cascade(texts, after) < 0)).slice(0, task_rows - seen)
             seen += len(texts)
             for k, rule in enumerate(rules):
                 began = time.perf_counter()
                 bad[k] += int(rule.rejects(texts).sum())
                 took[k] += time.perf_counter() - began
+            if seen >= task_rows:
+                break
         yield pa.RecordBatch.from_arrays([pa.array(range(len(rules)), pa.int32()), pa.array([seen] * len(rules), pa.int64()), pa.array(bad, pa.int64()), pa.array(took)], names=["rule", "seen", "bad", "took"])
 
-    rows = docs.sample(share, seed).select(text_of(text_col).alias("_text")).mapInArrow(measure, "rule int, seen long, bad long, took double").groupBy("rule").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad"), F.sum("took").alias("took")).collect()
+    rows = docs.select(text_of(text_col).alias("_text")).mapInArrow(measure, "rule int, seen long, bad long, took double").groupBy("rule").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad"), F.sum("took").alias("took")).collect()
     found = {r["rule"]: (r["took"] / r["seen"], r["bad"] / r["seen"]) for r in rows if r["seen"]}
     order = sorted(range(len(rules)), key=lambda k: (-(found[k][1] / max(found[k][0], 1e-12)) if k in found else 0.0, k))
     return [(rules[k].name, *found.get(k, (0.0, 0.0))) for k in order]
@@ -195,14 +197,14 @@ def run_cascade(texts: pa.Array, rules: tuple[Rule, ...], alive: np.ndarray | No
     return verdict
 
 
-def assess(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 2000) -> DataFrame:
+def assess(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "doc_id", text_col: str = "text", task_rows: int = 64) -> DataFrame:
     """One row per document: its id, STATS, base_failed, kept and failed_rule.
 
     base_failed: fewer than 50 words, or more than half of them in repeated windows of three. The
     cascade then judges only the other texts. A null text has no words, so it fails. An empty table
     gives an empty result; repeated rows get the same verdict each; other columns are not read.
     """
-    cascade = ordered(rules, calibrate(docs, rules, text_col=text_col, sample_rows=sample_rows))
+    cascade = ordered(rules, calibrate(docs, rules, text_col=text_col, task_rows=task_rows, after=BASE_RULES))
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, id_type), *(T.StructField(k, T.LongType()) for k in STATS), T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType()), T.StructField("failed_rule", T.StringType())])
 
@@ -220,9 +222,10 @@ def assess(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "d
     return docs.select(F.col(id_col), text_of(text_col).alias("_text")).mapInArrow(judge, schema)
 
 
-def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + RULES, *, text_col: str = "text", sample_rows: int = 2000) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that no rule rejects."""
-    cascade = ordered(rules, calibrate(docs, rules, text_col=text_col, sample_rows=sample_rows))
+def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + RULES, *, text_col: str = "text", task_rows: int = 64) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that no rule rejects. Nulls and empty texts have
+    no words and go; texts of any length are judged whole; repeated rows are judged alike."""
+    cascade = ordered(rules, calibrate(docs, rules, text_col=text_col, task_rows=task_rows))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -62,7 +62,7 @@ def test_rules_reject_junk_and_keep_prose(docs):
     assert kept == set(range(len(good)))
     left = quality.keep_good(docs(rows))
     assert {r.doc_id for r in left.collect()} == kept and left.columns == docs(rows).columns
-    order = [name for name, *_ in quality.calibrate(docs(rows), sample_rows=1000)]
+    order = [name for name, *_ in quality.calibrate(docs(rows), task_rows=1000, after=quality.BASE_RULES)]
     assert sorted(order) == sorted(r.name for r in quality.RULES)
     assert [n for n, *_ in quality.calibrate(docs(rows).limit(0))] == [r.name for r in quality.RULES]
 
@@ -192,6 +192,78 @@ def test_mixing_meets_its_targets(docs):
     assert out.exceptAll(mixing.mixing_weights(table, targets=targets)).isEmpty()
 
 
+def test_mixing_equals_brute_force(spark):
+    from linkrisk.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    rows = {r.doc_id: r for r in queries.op7_source_mixing(spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    cell, tokens = {}, {}
+    for d in docs:
+        first = (d.text or "").lstrip(" ")[:1].lower()
+        topic = next((t for t, (a, b) in zip(mixing.TOPICS, (("a", "h"), ("i", "p"), ("q", "z")), strict=True) if first and a <= first <= b), mixing.REST)
+        cell[d.doc_id] = (d.source or mixing.REST, d.lang or mixing.REST, topic)
+        tokens[d.doc_id] = len(re.findall(r"[^\x20\x09-\x0D]+", d.text or ""))
+    count = {}
+    for k, c in cell.items():
+        count[c] = count.get(c, 0) + tokens[k]
+    count = {c: n for c, n in count.items() if n}
+    total = sum(count.values())
+    targets = []
+    for axis in range(3):
+        part = {}
+        for c, n in count.items():
+            part[c[axis]] = part.get(c[axis], 0) + n
+        whole = sum(n**0.7 for n in part.values())
+        targets.append({v: n**0.7 / whole for v, n in part.items()})
+
+    def fitted(free, want):
+        w = {c: free[c] / sum(free.values()) for c in free}
+        for _ in range(3000):
+            for axis in range(3):
+                now, goal = {}, sum(want[axis][c] for c in {c[axis] for c in w})
+                for c, x in w.items():
+                    now[c[axis]] = now.get(c[axis], 0) + x
+                w = {c: x * want[axis][c[axis]] / goal / now[c[axis]] if now[c[axis]] else 0.0 for c, x in w.items()}
+        return w
+
+    exact = fitted(count, targets)
+    by_ratio = sorted(count, key=lambda c: -exact[c] / count[c])
+    seen, keep = 0.0, None
+    for c in by_ratio:
+        seen += exact[c]
+        keep = keep or (count[c] / total / exact[c] if seen > 0.01 else None)
+    keep = min(1.0, max(0.5, keep))
+    held: set = set()
+    while True:
+        fixed = {c: count[c] / total / keep for c in held}
+        free = {c: n for c, n in count.items() if c not in held}
+        want = []
+        for axis in range(3):
+            mine, open_ = {}, {c[axis] for c in free}
+            for c, x in fixed.items():
+                mine[c[axis]] = mine.get(c[axis], 0) + x
+            base = sum(targets[axis][v] for v in open_)
+            lost = sum(x for v, x in mine.items() if v not in open_)
+            want.append({v: max(targets[axis][v] / base * (1 - lost) - mine.get(v, 0.0), 0.0) for v in open_})
+        w = {c: x * (1 - sum(fixed.values())) for c, x in fitted(free, want).items()}
+        over = {c for c in free if w[c] > count[c] / total / keep * (1 + 1e-9)}
+        if not over:
+            break
+        held |= over
+    chance = {c: min(1.0, (fixed | w)[c] / (count[c] / total) * keep) for c in count}
+    assert len(rows) == len(docs) and {r.mix_tokens for r in rows.values()} == set(tokens.values())
+    for k, r in rows.items():
+        assert (r.mix_source, r.mix_lang, r.mix_topic, r.mix_tokens) == (*cell[k], tokens[k])
+        assert r.probability == pytest.approx(chance.get(cell[k], 1.0), abs=2e-4)
+
+
+def test_every_source_has_its_own_target(docs):
+    table = docs([(i, "word " * (5 + i % 3)) for i in range(900)]).withColumns({"source": F.concat(F.lit("s"), F.col("doc_id") % 200), "lang": F.lit("en")})
+    got = mixing.mixing_weights(table)
+    assert got.select("mix_source").distinct().count() == 200 and got.where("mix_source = '(rest)'").count() == 0
+
+
 def test_mixing_of_odd_tables(docs):
     table = docs([(1, None), (2, ""), (None, "a b"), (3, "x y z"), (3, "x y z")]).withColumns({"source": F.lit(None).cast("string"), "lang": F.lit("en")})
     got = mixing.mixing_weights(table).collect()
