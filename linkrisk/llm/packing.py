@@ -24,7 +24,7 @@ from .tokens import encoder, ranges, sliced_array
 
 CAPACITY = 2048
 #: Pieces of one length that are ranked together, on average at most.
-WINDOW_ROWS = 1_000
+WINDOW_ROWS = 250
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 Group = tuple[int, list[tuple[int, int]]]  # sequences, and in each how many pieces of which length
 
