@@ -10,7 +10,7 @@ smaller id. The suffixes of all documents are dealt to buckets and sorted a buck
    the same batch of documents are settled there: only the one of the smallest id travels.
 2. In a bucket, suffixes are sorted by their first 8 bytes. Ties are resolved without comparing
    text: the positions of a difference cover modulo 8 (half of all) are ranked beforehand, by
-   doubling, to the depths 40 and 48. Of any two suffixes some shift below 8 leads both to the
+   eights, to the two depths that the span needs (40 and 48 of 50). Of any two suffixes some shift below 8 leads both to the
    cover, where their ranks decide. So a bucket needs the ranks of its cover, never of all suffixes
    to all depths, and memory is bounded by the bucket, whose size is a parameter.
 3. The repeated runs of each document are merged and cut out of its text.
@@ -165,19 +165,24 @@ def _shared(names: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return low[names], high[names]
 
 
-def cover_ranks(words: np.ndarray, at: np.ndarray) -> dict[int, np.ndarray]:
-    """Ranks of positions of the cover to the depths 40 and 48: equal ranks are equal strings.
+def cover_ranks(words: np.ndarray, at: np.ndarray, depths: tuple[int, ...] = (40, 48)) -> dict[int, np.ndarray]:
+    """Ranks of positions of the cover to some depths, multiples of 8: equal ranks are equal strings.
 
     Only positions that a tie can lead to are ranked, eight bytes at a time."""
-    padded = np.concatenate([words, np.zeros(48, dtype=words.dtype)])
-    to_40 = _names(*(padded[at + k] for k in range(0, 40, 8)))
-    return {40: to_40, 48: _names(to_40, padded[at + 40])}
+    padded = np.concatenate([words, np.zeros(max(depths), dtype=words.dtype)])
+    names, out = _names(padded[at]), {}
+    for depth in range(8, max(depths) + 1, 8):
+        names = names if depth == 8 else _names(names, padded[at + depth - 8])
+        if depth in depths:
+            out[depth] = names
+    return out
 
 
 def repeated_suffixes(data: bytes, at: np.ndarray, docs: np.ndarray, span: int) -> np.ndarray:
     """Which of the suffixes at ``at`` begin with ``span`` bytes that a smaller document also has.
 
-    span is 50 to 56, so that the first 8 bytes, a cover rank and the last 8 bytes hold all of it.
+    The first 8 bytes, a cover rank to the largest multiple of 8 that ends within the string, and
+    the last 8 bytes hold all of it.
     """
     words = words_at(data)
     # sort by the first 8 bytes; blocks of one suffix, or of one document, are settled
@@ -195,13 +200,12 @@ def repeated_suffixes(data: bytes, at: np.ndarray, docs: np.ndarray, span: int)
     for shift in range(PERIOD):
         needed[first[COVER[(first + shift) % PERIOD]] + shift] = True
     place = np.cumsum(needed) - 1
-    ranks = cover_ranks(words, np.flatnonzero(needed))
+    deep = [(span - shift) // 8 * 8 for shift in range(PERIOD)]
+    ranks = cover_ranks(words, np.flatnonzero(needed), tuple(set(deep)))
     for shift in range(PERIOD):
-        # shift + depth reaches the last 8 bytes and stays within the string
-        depth = 40 if shift + 40 >= span - 8 else 48
         mine = tied[COVER[(first + shift) % PERIOD]]
         if len(mine):
-            low, _ = _shared(_names(names[mine], ranks[depth][place[at[mine] + shift]]), docs[mine])
+            low, _ = _shared(_names(names[mine], ranks[deep[shift]][place[at[mine] + shift]]), docs[mine])
             hit[mine] |= low < docs[mine]
     return hit
 
@@ -359,7 +363,9 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
     """Runs to remove: doc_id, tie (the hash that tells texts with one id apart), starts and ends
-    (arrays of byte offsets), for texts that have any."""
+    (arrays of byte offsets), for texts that have any. ``span`` is at least ANCHOR bytes."""
+    if span < ANCHOR:
+        raise ValueError(f"span must be at least {ANCHOR} bytes")
     spark = docs.sparkSession
     rows = _texts(docs, id_col, text_col)
     total = docs.agg(F.sum(F.octet_length(text_of(text_col)))).first()[0] or 0
@@ -437,7 +443,8 @@ def cut_out(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     A null text is empty. Strings are judged on the input. A row without id stands after all ids;
     rows with the same id, or without, remove nothing from each other. Texts below ``span`` bytes
-    stay whole. Other columns are not read. The largest long is no id.
+    stay whole; very long texts are cut into blocks of suffixes. An empty table gives an empty
+    result. Other columns are not read. The largest long is no id.
     """
     gone = repeats(docs, id_col=id_col, text_col=text_col, span=span).select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "starts", "ends")
     rows = _texts(docs, id_col, text_col).join(gone, ["_id", "_tie"], "left")

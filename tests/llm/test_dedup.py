@@ -204,6 +204,25 @@ def test_repeats_equal_brute_force(spark, docs, monkeypatch):
         assert hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 and sum(b - a for a, b in zip(r.starts, r.ends, strict=True)) == r.n_removed
 
 
+@pytest.mark.parametrize("span", [16, 20, 57, 64, 200])
+def test_repeats_of_other_spans_equal_brute_force(docs, span):
+    rnd = random.Random(span)
+    passage = "".join(rnd.choices("abcd ", k=2 * span + 9))
+    rows = []
+    for i in range(14):
+        p, k = list(passage), rnd.randrange(len(passage))
+        p[k] = "X"  # alike up to one byte, wherever it lies
+        rows.append((i, "".join(rnd.choices("efgh", k=rnd.randint(0, 40))) + "".join(p)))
+    rows += [(50, passage), (51, passage[: span - 1]), (52, passage[:span]), (53, None)]
+    got = suffix_dedup.cut_out(docs(rows), span=span).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(plain_cut(rows, span))
+
+
+def test_a_span_below_an_anchor_is_an_error(docs):
+    with pytest.raises(ValueError, match="span"):
+        suffix_dedup.cut_out(docs([(1, "a")]), span=15)
+
+
 def test_repeats_of_nothing(docs):
     assert suffix_dedup.cut_out(docs([(1, "a")]).limit(0)).count() == 0
     assert [tuple(r)[1:4] for r in suffix_dedup.cut_out(docs([(1, "a" * 60)])).collect()] == [(60, 0, 0)]
