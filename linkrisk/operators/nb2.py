@@ -121,7 +121,13 @@ def fit(rows: DataFrame, specs: Sequence[Spec], *, target: str = "ksi_count", ex
     data = data.persist()
     counts = data.groupBy("y").agg(F.count(F.lit(1)).alias("n")).persist()
     try:
-        n, events, whole = data.agg(F.count(F.lit(1)), F.sum("y"), F.sum("e")).first()
+        n, events, whole, top = data.agg(F.count(F.lit(1)), F.sum("y"), F.sum("e"), F.max("y")).first()
+        # small counts are as few numbers; others are summed where they are
+        tail = None
+        if top <= SUMMED:
+            tail = np.zeros(int(top))
+            for r in counts.collect():
+                tail[: int(r["y"])] += r["n"]
         width = 1 + sum(len(s.levels) - 1 for s in specs)
         local = [Spec(k, s.levels) for s, k in zip(specs, keys, strict=True)]
         # the places of a row's terms in the design: the intercept, and one for each level but the first
@@ -160,8 +166,12 @@ def fit(rows: DataFrame, specs: Sequence[Spec], *, target: str = "ksi_count", ex
             drift = 0.0
             if alpha > 0:
                 t = 1 / alpha
-                one, two = rising(F.col("y"), t)
-                up, up2 = counts.agg(F.sum(F.col("n") * one), F.sum(F.col("n") * two)).first()
+                if tail is not None:
+                    terms_at = np.arange(len(tail)) + t
+                    up, up2 = float((tail / terms_at).sum()), float((tail / terms_at**2).sum())
+                else:
+                    one, two = rising(F.col("y"), t)
+                    up, up2 = counts.agg(F.sum(F.col("n") * one), F.sum(F.col("n") * two)).first()
                 first = up + n * (math.log(t) + 1) - more["a"]
                 second = -up2 + n / t - more["b"]
                 u, v = t * first, t * t * second + t * first
