@@ -6,13 +6,14 @@ smaller id. The suffixes of all documents are dealt to buckets and sorted a buck
 1. Anchor of a suffix: the least hash of the 16-byte strings in its first ``span`` bytes. Equal
    strings share it, and so do most neighbours, so a run of neighbouring suffixes is one segment of
    text, not one row a suffix. A first pass sends only anchors: what no second document has cannot
-   repeat. Segments with shared anchors are dealt to buckets by anchor. Segments that occur again in
-   the same batch of documents are settled there: only the one of the smallest id travels.
-2. In a bucket, suffixes are sorted by their first 8 bytes. Ties are resolved without comparing
-   text: the positions of a difference cover modulo 8 (half of all) are ranked beforehand, by
-   eights, to the two depths that the span needs (40 and 48 of 50). Of any two suffixes some shift below 8 leads both to the
-   cover, where their ranks decide. So a bucket needs the ranks of its cover, never of all suffixes
-   to all depths, and memory is bounded by the bucket, whose size is a parameter.
+   repeat. Segments with shared anchors are dealt to buckets by anchor. Before the shuffle, of equal
+   segments of one batch of documents only that of the smallest id is sent, as in any partial
+   aggregate; the others are repeats of it.
+2. A bucket is sorted by itself. The positions of a difference cover modulo 8 (half of all) are
+   ranked first, by prefix doubling. Suffixes are sorted by their first 8 bytes; ties that span
+   documents are resolved by the ranks: of any two suffixes some shift below 8 leads both to the
+   cover. Strings of ``span`` bytes repeat where neighbours in this order share so many. Memory is
+   bounded by the bucket, whose size is a parameter.
 3. The repeated runs of each document are merged and cut out of its text.
 
 Everything is exact: hashes only choose buckets and what to leave out of them.
@@ -24,7 +25,6 @@ from collections.abc import Iterator
 
 import hashlib
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -147,66 +147,111 @@ def repeated_here(ids: np.ndarray, pieces: list[bytes]) -> np.ndarray:
 # ---- one bucket -----------------------------------------------------------------------------
 
 
-def _names(*columns: np.ndarray) -> np.ndarray:
-    """Numbers, equal where all columns are equal."""
-    out = pd.factorize(columns[0])[0]
-    for c in columns[1:]:
-        c = pd.factorize(c)[0]
-        out = pd.factorize(out * (int(c.max(initial=0)) + 1) + c)[0]
-    return out
+def _starts(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Where a run of equal rows begins; rows stand in order."""
+    first = np.zeros(len(sorted_columns[0]), dtype=bool)
+    first[:1] = True
+    for c in sorted_columns:
+        first[1:] |= c[1:] != c[:-1]
+    return first
+
+
+def _back(first: np.ndarray) -> np.ndarray:
+    """For each row the place where its run begins."""
+    return np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
 
 
-def _shared(names: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row the smallest and the largest document with its name."""
-    n = int(names.max(initial=-1)) + 1
-    low, high = np.full(n, NO_ID), np.full(n, np.iinfo(np.int64).min)
-    np.minimum.at(low, names, docs)
-    np.maximum.at(high, names, docs)
-    return low[names], high[names]
+def cover_place(at: np.ndarray) -> np.ndarray:
+    """The number of a position of the cover among all of them; eight bytes on is four places on."""
+    return at // PERIOD * COVER.sum() + (np.cumsum(COVER) - 1)[at % PERIOD]
 
 
-def cover_ranks(words: np.ndarray, at: np.ndarray, depths: tuple[int, ...] = (40, 48)) -> dict[int, np.ndarray]:
-    """Ranks of positions of the cover to some depths, multiples of 8: equal ranks are equal strings.
+def cover_ranks(words: np.ndarray) -> np.ndarray:
+    """Ranks of all positions of the cover, in order of place, by the whole text from there on.
+
+    ``words`` are in the order of their bytes. Eight bytes are sorted, then ties by the ranks found
+    so far of what follows, twice as far in each round; no two suffixes are equal in the end.
+    """
+    head = words[np.flatnonzero(COVER[np.arange(len(words)) % PERIOD])]
+    order = np.argsort(head, kind="stable")
+    first = _starts(head[order])
+    rank = np.empty(len(head), dtype=np.int64)
+    rank[order] = _back(first)
+    left, step = order[~(first & np.r_[first[1:], True])], int(COVER.sum())
+    while len(left):
+        ahead = left + step
+        after = np.where(ahead < len(rank), rank[np.minimum(ahead, len(rank) - 1)], len(rank) - 1 - ahead)  # a text that ends first is less
+        by = np.lexsort((after, rank[left]))
+        left, after = left[by], after[by]
+        own = rank[left]
+        group, first = _starts(own), _starts(own, after)
+        rank[left] = own + _back(first) - _back(group)
+        left = left[~(first & np.r_[first[1:], True])]
+        step *= 2
+    return rank
+
+
+def suffix_order(at: np.ndarray, block: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The order of the suffixes at ``at``, whose first 8 bytes ``block`` has in order.
+
+    Suffixes of one residue modulo 8 are sorted by block and the rank at their next place of the
+    cover. The eight lists are merged: of two residues some shift below 8 leads both to the cover.
+    """
 
-    Only positions that a tie can lead to are ranked, eight bytes at a time."""
-    padded = np.concatenate([words, np.zeros(max(depths), dtype=words.dtype)])
-    names, out = _names(padded[at]), {}
-    for depth in range(8, max(depths) + 1, 8):
-        names = names if depth == 8 else _names(names, padded[at + depth - 8])
-        if depth in depths:
-            out[depth] = names
+    def key(rows: np.ndarray, shift: int) -> np.ndarray:
+        return block[rows] * (len(ranks) + 1) + ranks[cover_place(at[rows] + shift)]
+
+    lists = []
+    for r in range(PERIOD):
+        rows = np.flatnonzero(at % PERIOD == r)
+        shift = next(x for x in range(PERIOD) if COVER[(r + x) % PERIOD])
+        lists.append(rows[np.argsort(key(rows, shift), kind="stable")])
+    place = [np.arange(len(x)) for x in lists]
+    for r in range(PERIOD):
+        for q in range(r):
+            shift = next(x for x in range(PERIOD) if COVER[(r + x) % PERIOD] and COVER[(q + x) % PERIOD])
+            mine, other = key(lists[r], shift), key(lists[q], shift)
+            place[r] += np.searchsorted(other, mine)
+            place[q] += np.searchsorted(mine, other)
+    out = np.empty(len(at), dtype=np.int64)
+    for rows, to in zip(lists, place, strict=True):
+        out[to] = rows
     return out
 
 
+def alike(words: np.ndarray, a: np.ndarray, b: np.ndarray, span: int) -> np.ndarray:
+    """Whether the common prefix of the texts at ``a`` and ``b`` has at least ``span`` bytes."""
+    same = words[a] == words[b]
+    for k in [span - 8, *range(8, span - 8, 8)]:
+        on = np.flatnonzero(same)
+        same[on] = words[a[on] + k] == words[b[on] + k]
+    return same
+
+
 def repeated_suffixes(data: bytes, at: np.ndarray, docs: np.ndarray, span: int) -> np.ndarray:
     """Which of the suffixes at ``at`` begin with ``span`` bytes that a smaller document also has.
 
-    The first 8 bytes, a cover rank to the largest multiple of 8 that ends within the string, and
-    the last 8 bytes hold all of it.
+    Suffixes that share their first 8 bytes with no second document are settled by the sort of
+    these; the others are put in order, where equal beginnings are neighbours.
     """
-    words = words_at(data)
-    # sort by the first 8 bytes; blocks of one suffix, or of one document, are settled
-    order = np.argsort(words[at], kind="stable")
-    block = np.empty(len(at), dtype=np.int64)
-    block[order] = np.cumsum(np.r_[0, np.diff(words[at][order]) != 0])
-    names = _names(block, words[at + span - 8])  # the last 8 bytes settle more
-    low, high = _shared(names, docs)
-    tied = np.flatnonzero(low < high)
+    words = words_at(data).byteswap()  # in the order of the bytes
     hit = np.zeros(len(at), dtype=bool)
-    if not len(tied):
+    order = np.argsort(words[at], kind="stable")
+    first = _starts(words[at[order]])
+    if not len(order):
+        return hit
+    begin = np.flatnonzero(first)
+    several = np.minimum.reduceat(docs[order], begin) < np.maximum.reduceat(docs[order], begin)
+    block = np.cumsum(first) - 1
+    tied = several[block]
+    order, block = order[tied], block[tied]
+    if not len(order):
         return hit
-    first = at[tied]
-    needed = np.zeros(len(data) + PERIOD, dtype=bool)
-    for shift in range(PERIOD):
-        needed[first[COVER[(first + shift) % PERIOD]] + shift] = True
-    place = np.cumsum(needed) - 1
-    deep = [(span - shift) // 8 * 8 for shift in range(PERIOD)]
-    ranks = cover_ranks(words, np.flatnonzero(needed), tuple(set(deep)))
-    for shift in range(PERIOD):
-        mine = tied[COVER[(first + shift) % PERIOD]]
-        if len(mine):
-            low, _ = _shared(_names(names[mine], ranks[deep[shift]][place[at[mine] + shift]]), docs[mine])
-            hit[mine] |= low < docs[mine]
+    order = order[suffix_order(at[order], block, cover_ranks(words))]
+    where = at[order]
+    begin = np.flatnonzero(np.r_[True, ~alike(words, where[1:], where[:-1], span)])
+    least = np.minimum.reduceat(docs[order], begin)
+    hit[order] = docs[order] > np.repeat(least, np.diff(np.r_[begin, len(order)]))
     return hit
 
 
@@ -214,21 +259,15 @@ def bucket_repeats(ids: np.ndarray, starts: np.ndarray, counts: np.ndarray, text
     """Of the segments of one bucket that have repeats: place of the segment, start and end."""
     size = counts + span - 1
     begin = np.cumsum(size) - size
-    order = np.argsort(ids, kind="stable")
-    pieces = [text[a : a + n] for a, n in zip(begin[order].tolist(), size[order].tolist(), strict=True)]
-    old = repeated_here(ids[order], pieces)
-    whole, left = order[old], order[~old]
-    text = b"".join([pieces[k] for k in np.flatnonzero(~old).tolist()])
-    begin = np.cumsum(size[left]) - size[left]
-    owner = np.repeat(np.arange(len(left)), counts[left])
-    step = np.arange(len(owner)) - np.repeat(np.cumsum(counts[left]) - counts[left], counts[left])
-    hit = np.flatnonzero(repeated_suffixes(text, begin[owner] + step, ids[left][owner], span)) if len(left) else np.zeros(0, dtype=np.int64)
+    owner = np.repeat(np.arange(len(ids)), counts)
+    step = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    hit = np.flatnonzero(repeated_suffixes(text, begin[owner] + step, ids[owner], span))
     if not len(hit):
-        return whole, starts[whole], starts[whole] + size[whole]
+        return hit, hit, hit
     first = np.flatnonzero(np.r_[True, (hit[1:] != hit[:-1] + 1) | (owner[hit[1:]] != owner[hit[:-1]])])
     last = np.r_[first[1:], len(hit)] - 1
-    who = left[owner[hit[first]]]
-    return np.r_[whole, who], np.r_[starts[whole], starts[who] + step[hit[first]]], np.r_[starts[whole] + size[whole], starts[who] + step[hit[last]] + span]
+    who = owner[hit[first]]
+    return who, starts[who] + step[hit[first]], starts[who] + step[hit[last]] + span
 
 
 # ---- Spark ----------------------------------------------------------------------------------

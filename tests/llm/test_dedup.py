@@ -231,12 +231,24 @@ def test_repeats_of_nothing(docs):
 def test_cover_and_ranks():
     cover = {k for k in range(8) if suffix_dedup.COVER[k]}
     assert {(a - b) % 8 for a in cover for b in cover} == set(range(8))
-    data = bytes(random.Random(1).choices(b"ab", k=600))
-    at = np.array([p for p in range(len(data) - 48) if p % 8 in cover])
-    for depth, names in suffix_dedup.cover_ranks(suffix_dedup.words_at(data), at).items():
-        for i in range(0, len(at), 5):
-            for j in range(0, len(at), 7):
-                assert (names[i] == names[j]) == (data[at[i] : at[i] + depth] == data[at[j] : at[j] + depth])
+    rnd = random.Random(1)
+    for data in [bytes(rnd.choices(b"ab", k=600)), b"a" * 333, b"ab" * 100 + bytes(40), bytes(rnd.choices(b"ab\0", k=77)) * 5, bytes(range(17))]:
+        words = suffix_dedup.words_at(data).byteswap()
+        at = [p for p in range(len(data)) if p % 8 in cover]
+        ranks = suffix_dedup.cover_ranks(words)
+        assert ranks[suffix_dedup.cover_place(np.array(at))].tolist() == [sorted(data[p:] for p in at).index(data[p:]) for p in at]
+        some = np.array(sorted(rnd.sample(range(len(data) - 8), len(data) * 2 // 3 - 8)))
+        order = suffix_dedup.suffix_order(some, np.unique(words[some], return_inverse=True)[1], ranks)
+        assert some[order].tolist() == sorted(some.tolist(), key=lambda p: data[p:])
+
+
+def test_a_passage_of_every_batch_is_found(spark, docs, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BATCH", 300)
+    rnd = random.Random(2)
+    passage = "".join(rnd.choices("abcdef ", k=150))
+    rows = [(i, "".join(rnd.choices("ghij", k=rnd.randint(0, 90))) + passage + "".join(rnd.choices("klmn", k=rnd.randint(0, 90)))) for i in range(60)]
+    got = suffix_dedup.cut_out(docs(rows).repartition(4)).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(plain_cut(rows))
 
 
 def test_packing_of_numbers_round_trips():
