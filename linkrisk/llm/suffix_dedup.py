@@ -161,33 +161,48 @@ def _back(first: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
 
 
+def _several(first: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Rows in whose run stands more than one document."""
+    begin = np.flatnonzero(first)
+    if not len(begin):
+        return first
+    more = np.minimum.reduceat(docs, begin) < np.maximum.reduceat(docs, begin)
+    return more[np.cumsum(first) - 1]
+
+
 def cover_place(at: np.ndarray) -> np.ndarray:
     """The number of a position of the cover among all of them; eight bytes on is four places on."""
     return at // PERIOD * COVER.sum() + (np.cumsum(COVER) - 1)[at % PERIOD]
 
 
-def cover_ranks(words: np.ndarray) -> np.ndarray:
-    """Ranks of all positions of the cover, in order of place, by the whole text from there on.
+def cover_ranks(words: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """Ranks of the positions of the cover, in order of place, by at least ``depth`` bytes from there.
 
-    ``words`` are in the order of their bytes. Eight bytes are sorted, then ties by the ranks found
-    so far of what follows, twice as far in each round; no two suffixes are equal in the end.
+    Only places in the first ``depth`` bytes of the suffixes at ``at`` are ranked; others have 0 and
+    can decide only what lies beyond. ``words`` are in the order of their bytes. Eight bytes are
+    sorted, then ties by the ranks found so far of what follows, twice as far in each round. A text
+    that ends first is less.
     """
-    head = words[np.flatnonzero(COVER[np.arange(len(words)) % PERIOD])]
-    order = np.argsort(head, kind="stable")
+    n = len(words)
+    near = np.cumsum(np.bincount(at, minlength=n + 1) - np.bincount(np.minimum(at + depth, n), minlength=n + 1))[:n] > 0
+    cover = np.flatnonzero(COVER[np.arange(n) % PERIOD])
+    head = words[cover]
+    order = np.flatnonzero(near[cover])
+    order = order[np.argsort(head[order])]
     first = _starts(head[order])
-    rank = np.empty(len(head), dtype=np.int64)
+    rank = np.zeros(len(head), dtype=np.int64)
     rank[order] = _back(first)
-    left, step = order[~(first & np.r_[first[1:], True])], int(COVER.sum())
-    while len(left):
-        ahead = left + step
-        after = np.where(ahead < len(rank), rank[np.minimum(ahead, len(rank) - 1)], len(rank) - 1 - ahead)  # a text that ends first is less
-        by = np.lexsort((after, rank[left]))
+    left, reach, n = order[~(first & np.r_[first[1:], True])], PERIOD, len(head)
+    while len(left) and reach < depth:
+        ahead = left + reach // PERIOD * COVER.sum()
+        after = np.where(ahead < n, rank[np.minimum(ahead, n - 1)], n - 1 - ahead)
+        by = np.argsort(rank[left] * (2 * n + depth) + after)
         left, after = left[by], after[by]
         own = rank[left]
         group, first = _starts(own), _starts(own, after)
         rank[left] = own + _back(first) - _back(group)
         left = left[~(first & np.r_[first[1:], True])]
-        step *= 2
+        reach *= 2
     return rank
 
 
@@ -195,28 +210,26 @@ def suffix_order(at: np.ndarray, block: np.ndarray, ranks: np.ndarray) -> np.nda
     """The order of the suffixes at ``at``, whose first 8 bytes ``block`` has in order.
 
     Suffixes of one residue modulo 8 are sorted by block and the rank at their next place of the
-    cover. The eight lists are merged: of two residues some shift below 8 leads both to the cover.
+    cover. The eight lists are merged by counting: of two residues some shift below 8 leads both to
+    the cover. Suffixes alike to the depth of the ranks stand together, in any order.
     """
 
     def key(rows: np.ndarray, shift: int) -> np.ndarray:
         return block[rows] * (len(ranks) + 1) + ranks[cover_place(at[rows] + shift)]
 
-    lists = []
+    lists, place = [], np.empty(len(at), dtype=np.int64)
     for r in range(PERIOD):
         rows = np.flatnonzero(at % PERIOD == r)
-        shift = next(x for x in range(PERIOD) if COVER[(r + x) % PERIOD])
-        lists.append(rows[np.argsort(key(rows, shift), kind="stable")])
-    place = [np.arange(len(x)) for x in lists]
+        own = key(rows, next(x for x in range(PERIOD) if COVER[(r + x) % PERIOD]))
+        lists.append(rows[np.argsort(own)])
+        place[lists[r]] = np.arange(len(rows))
     for r in range(PERIOD):
         for q in range(r):
             shift = next(x for x in range(PERIOD) if COVER[(r + x) % PERIOD] and COVER[(q + x) % PERIOD])
             mine, other = key(lists[r], shift), key(lists[q], shift)
-            place[r] += np.searchsorted(other, mine)
-            place[q] += np.searchsorted(mine, other)
-    out = np.empty(len(at), dtype=np.int64)
-    for rows, to in zip(lists, place, strict=True):
-        out[to] = rows
-    return out
+            place[lists[r]] += np.searchsorted(np.sort(other), mine)
+            place[lists[q]] += np.searchsorted(np.sort(mine), other)
+    return np.argsort(place)
 
 
 def alike(words: np.ndarray, a: np.ndarray, b: np.ndarray, span: int) -> np.ndarray:
@@ -231,23 +244,20 @@ def alike(words: np.ndarray, a: np.ndarray, b: np.ndarray, span: int) -> np.ndar
 def repeated_suffixes(data: bytes, at: np.ndarray, docs: np.ndarray, span: int) -> np.ndarray:
     """Which of the suffixes at ``at`` begin with ``span`` bytes that a smaller document also has.
 
-    Suffixes that share their first 8 bytes with no second document are settled by the sort of
-    these; the others are put in order, where equal beginnings are neighbours.
+    Suffixes that may are put in order, where equal beginnings are neighbours.
     """
     words = words_at(data).byteswap()  # in the order of the bytes
     hit = np.zeros(len(at), dtype=bool)
-    order = np.argsort(words[at], kind="stable")
-    first = _starts(words[at[order]])
-    if not len(order):
-        return hit
-    begin = np.flatnonzero(first)
-    several = np.minimum.reduceat(docs[order], begin) < np.maximum.reduceat(docs[order], begin)
-    block = np.cumsum(first) - 1
-    tied = several[block]
-    order, block = order[tied], block[tied]
+    # what shares its first and last 8 bytes with no second document cannot repeat
+    ends = _mixed(words[at], words[at + span - 8])
+    order = np.argsort(ends)
+    several = _several(_starts(ends[order]), docs[order])
+    order = order[several]
     if not len(order):
         return hit
-    order = order[suffix_order(at[order], block, cover_ranks(words))]
+    order = order[np.argsort(words[at[order]])]
+    block = np.cumsum(_starts(words[at[order]])) - 1
+    order = order[suffix_order(at[order], block, cover_ranks(words, at[order], span))]
     where = at[order]
     begin = np.flatnonzero(np.r_[True, ~alike(words, where[1:], where[:-1], span)])
     least = np.minimum.reduceat(docs[order], begin)

@@ -235,7 +235,7 @@ def test_cover_and_ranks():
     for data in [bytes(rnd.choices(b"ab", k=600)), b"a" * 333, b"ab" * 100 + bytes(40), bytes(rnd.choices(b"ab\0", k=77)) * 5, bytes(range(17))]:
         words = suffix_dedup.words_at(data).byteswap()
         at = [p for p in range(len(data)) if p % 8 in cover]
-        ranks = suffix_dedup.cover_ranks(words)
+        ranks = suffix_dedup.cover_ranks(words, np.arange(len(data)), len(data))
         assert ranks[suffix_dedup.cover_place(np.array(at))].tolist() == [sorted(data[p:] for p in at).index(data[p:]) for p in at]
         some = np.array(sorted(rnd.sample(range(len(data) - 8), len(data) * 2 // 3 - 8)))
         order = suffix_dedup.suffix_order(some, np.unique(words[some], return_inverse=True)[1], ranks)
