@@ -8,7 +8,7 @@ smaller id. The suffixes of all documents are dealt to buckets and sorted a buck
    text, not one row a suffix. A first pass sends only anchors: what no second document has cannot
    repeat. Segments with shared anchors are dealt to buckets by anchor. Before the shuffle, of equal
    segments of one batch of documents only that of the smallest id is sent, as in any partial
-   aggregate; the others are repeats of it.
+   aggregate; the others are repeats of it. The bucket combines those of several batches alike.
 2. A bucket is sorted by itself. The positions of a difference cover modulo 8 (half of all) are
    ranked first, by prefix doubling. Suffixes are sorted by their first 8 bytes; ties that span
    documents are resolved by the ranks: of any two suffixes some shift below 8 leads both to the
@@ -269,15 +269,19 @@ def bucket_repeats(ids: np.ndarray, starts: np.ndarray, counts: np.ndarray, text
     """Of the segments of one bucket that have repeats: place of the segment, start and end."""
     size = counts + span - 1
     begin = np.cumsum(size) - size
-    owner = np.repeat(np.arange(len(ids)), counts)
-    step = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    hit = np.flatnonzero(repeated_suffixes(text, begin[owner] + step, ids[owner], span))
-    if not len(hit):
-        return hit, hit, hit
-    first = np.flatnonzero(np.r_[True, (hit[1:] != hit[:-1] + 1) | (owner[hit[1:]] != owner[hit[:-1]])])
-    last = np.r_[first[1:], len(hit)] - 1
-    who = owner[hit[first]]
-    return who, starts[who] + step[hit[first]], starts[who] + step[hit[last]] + span
+    order = np.argsort(ids, kind="stable")
+    pieces = [text[a : a + n] for a, n in zip(begin[order].tolist(), size[order].tolist(), strict=True)]
+    old = repeated_here(ids[order], pieces)  # what several batches sent is combined once more
+    whole, left = order[old], order[~old]
+    text = b"".join([pieces[k] for k in np.flatnonzero(~old).tolist()])
+    begin = np.cumsum(size[left]) - size[left]
+    owner = np.repeat(np.arange(len(left)), counts[left])
+    step = np.arange(len(owner)) - np.repeat(np.cumsum(counts[left]) - counts[left], counts[left])
+    hit = np.flatnonzero(repeated_suffixes(text, begin[owner] + step, ids[left][owner], span))
+    first = np.flatnonzero(_starts(hit - np.arange(len(hit)), owner[hit]))
+    last = np.r_[first[1:], len(hit)][: len(first)] - 1
+    who = left[owner[hit[first]]]
+    return np.r_[whole, who], np.r_[starts[whole], starts[who] + step[hit[first]]], np.r_[starts[whole] + size[whole], starts[who] + step[hit[last]] + span]
 
 
 # ---- Spark ----------------------------------------------------------------------------------
