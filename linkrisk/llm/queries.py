@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, licences, mixing, packing, quality, simhash, sstable, suffix_dedup, warc
+from . import chat, exact_dedup, licences, mixing, packing, prefix_trie, quality, simhash, sstable, suffix_dedup, warc
 from .common import scratch, table
 
 
@@ -69,6 +69,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_exact_dedup": op2_exact_dedup,
@@ -80,6 +84,7 @@ QUERIES = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_warc": op10_warc,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 
@@ -195,4 +200,37 @@ ORACLES = {
                CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> best THEN best END AS refers_to
         FROM chars GROUP BY page_id, payload_bytes, best
     """,
+    "op13_prefix_trie": r"""
+        WITH own AS (
+          SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                 row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS j
+          FROM conversations WHERE conv_id IS NOT NULL),
+        convs AS (
+          SELECT conv_id, count(*) AS n, conv_id - conv_id % 5 AS base,
+                 xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: list_concat([CAST(ascii(c) AS BIGINT)], [-1, -1, -1, -1, -1, -1, -1, -1])))),
+                   lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295) % 9 AS h
+          FROM own GROUP BY conv_id),
+        sized AS (SELECT a.conv_id, a.n, a.h, a.base, least(a.h, coalesce(b.n, 0)) AS opening FROM convs a LEFT JOIN convs b ON a.base = b.conv_id),
+        rebuilt AS (
+          SELECT conv_id, j - h + opening AS p, role, text FROM own JOIN sized USING (conv_id) WHERE j >= h
+          UNION ALL SELECT s.conv_id, o.j, o.role, o.text FROM sized s JOIN own o ON o.conv_id = s.base WHERE o.j < s.h),
+        steps AS (
+          SELECT conv_id, p + 1 AS depth, string_agg(sha256(role || chr(10) || sha256(text)), '') OVER (PARTITION BY conv_id ORDER BY p) AS path, strlen(text) AS bytes
+          FROM rebuilt
+          UNION ALL SELECT conv_id, 0, '', 0 FROM convs),
+        ended AS (SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS here FROM steps),
+        nodes AS (
+          SELECT depth, path, left(path, greatest(strlen(path) - 64, 0)) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, min(bytes) AS bytes,
+                 sha256(coalesce(string_agg(CASE WHEN here THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256
+          FROM ended GROUP BY depth, path),
+        kids AS (SELECT depth - 1 AS depth, up AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+        full_nodes AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids USING (depth, path)),
+        pairs AS (  -- every node with every node of its subtree, once
+          SELECT DISTINCT a.depth, a.path, b.depth AS below, b.path AS at FROM steps a JOIN steps b ON a.conv_id = b.conv_id AND b.depth >= a.depth),
+        totals AS (
+          SELECT p.depth, p.path, count_if(n_children = 0) AS n_leaves, CAST(sum((n_convs - 1) * bytes) AS BIGINT) AS saved_tokens
+          FROM pairs p JOIN full_nodes n ON n.depth = p.below AND n.path = p.at GROUP BY ALL)
+        SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, n.ends_sha256
+        FROM full_nodes n JOIN totals t USING (depth, path) LEFT JOIN nodes u ON u.depth = n.depth - 1 AND u.path = n.up
+    """,
 }
