@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, licences, mixing, packing, prefix_trie, quality, simhash, sstable, suffix_dedup, warc
+from . import chat, exact_dedup, fp_tree, licences, mixing, packing, prefix_trie, quality, simhash, sstable, suffix_dedup, warc
 from .common import scratch, table
 
 
@@ -69,6 +69,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fp_tree.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
@@ -84,6 +88,7 @@ QUERIES = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_warc": op10_warc,
+    "op12_ranked_search": op12_ranked_search,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
@@ -200,6 +205,26 @@ ORACLES = {
                CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> best THEN best END AS refers_to
         FROM chars GROUP BY page_id, payload_bytes, best
     """,
+    "op12_ranked_search": r"""
+        WITH found AS (
+          SELECT doc_id, row_number() OVER () AS r,
+                 unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+          FROM documents WHERE text IS NOT NULL),
+        tfs AS (SELECT r, doc_id, term, count(*) AS tf FROM found GROUP BY ALL),
+        docs AS (SELECT r, doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tfs GROUP BY ALL),
+        scale AS (SELECT count(*) AS cnt, CAST(sum(n) AS BIGINT) AS len FROM docs),
+        lengths AS (SELECT r, 10 + (90 * n * cnt) // len AS m FROM docs, scale),
+        weights AS (SELECT term, CAST(floor(1000 * ln((2 * cnt + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM tfs, scale GROUP BY term, cnt),
+        wanted AS (
+          SELECT DISTINCT item_id,
+                 unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+          FROM benchmark WHERE text IS NOT NULL),
+        scored AS (
+          SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+          FROM wanted JOIN weights USING (term) JOIN tfs USING (term) JOIN lengths USING (r) GROUP BY ALL)
+        SELECT item_id, CAST(row_number() OVER best AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
+        WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) QUALIFY rank <= 10
+    """,
     "op13_prefix_trie": r"""
         WITH own AS (
           SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
