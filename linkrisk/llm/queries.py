@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, fp_tree, licences, mixing, packing, prefix_trie, quality, simhash, sstable, suffix_dedup, warc
+from . import chat, exact_dedup, fp_tree, language_id, licences, mixing, packing, prefix_trie, quality, simhash, sstable, suffix_dedup, warc
 from .common import scratch, table
 
 
@@ -69,6 +69,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fp_tree.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -88,6 +92,7 @@ QUERIES = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_warc": op10_warc,
+    "op11_language_id": op11_language_id,
     "op12_ranked_search": op12_ranked_search,
     "op13_prefix_trie": op13_prefix_trie,
 }
