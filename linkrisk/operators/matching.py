@@ -2,6 +2,7 @@
 
 A piece is entered in every cell that its bounding box, grown by the distance, touches; a point is
 in one cell; so an equality join on cells finds all pairs within the distance, each once for a piece.
+Full cells are cut in four like a quadtree's, by counts that are taken first.
 """
 
 from __future__ import annotations
@@ -12,11 +13,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import cells_between, clip_range, piece_distance
+from ..sources.shared import stored, stored_with
 
 MAX_DISTANCE = 50.0
 AMBIGUITY_MARGIN = 10.0
 CELL = 500.0
 LONGEST = 10
+#: A cell with more points and pieces than this, and than a CELLS-th of all, is cut; at most DEPTH times.
+FULL, CELLS, DEPTH = 50_000, 10_000, 4
+#: Rounds of the nearest join: distances in cells.
+ROUNDS = (0.5, 4.0)
 
 
 def split_pieces(pieces: DataFrame, longest: float) -> DataFrame:
@@ -28,19 +34,76 @@ def split_pieces(pieces: DataFrame, longest: float) -> DataFrame:
     return cut.withColumns({"x1": at(x1, x2, i), "y1": at(y1, y2, i), "x2": at(x1, x2, i + 1), "y2": at(y1, y2, i + 1)}).drop("_n", "_i")
 
 
+def _cell(column: str, size: float) -> Column:
+    return F.floor(F.col(column) / size).cast("long")
+
+
+def _meetings(points: DataFrame, pieces: DataFrame, distance: float, size: float, by: tuple[str, ...], point_id: str, line_id: str) -> DataFrame:
+    """Pairs of a point and a piece that share a leaf of the cells' quadtree: by, point_id, x, y, line_id
+    and the piece. A piece may meet a point once for each of its cut parts."""
+    spread = split_pieces(pieces.select(*by, line_id, "x1", "y1", "x2", "y2"), LONGEST * size)
+    spread = spread.withColumns({"_xa": F.least("x1", "x2") - distance, "_xb": F.greatest("x1", "x2") + distance, "_ya": F.least("y1", "y2") - distance, "_yb": F.greatest("y1", "y2") + distance})
+    spread = spread.withColumn("_cx", F.explode(cells_between(F.col("_xa"), F.col("_xb"), size))).withColumn("_cy", F.explode(cells_between(F.col("_ya"), F.col("_yb"), size)))
+    at = points.where("x is not null and y is not null").select(*by, point_id, "x", "y")
+    at = at.withColumns({"_cx": _cell("x", size), "_cy": _cell("y", size)})
+    keys = [*by, "_cx", "_cy"]
+    one, none = F.lit(1).alias("_points"), F.lit(0).alias("_pieces")
+    other = (F.lit(0).alias("_points"), F.lit(1).alias("_pieces"))
+    both = [F.sum("_points").alias("_points"), F.sum("_pieces").alias("_pieces")]
+    whole = F.col("_points") + F.col("_pieces")
+    total, most = at.select(*keys, one, none).unionByName(spread.select(*keys, *other)).groupBy(*keys).agg(*both).agg(F.sum(whole), F.max(whole)).first()
+    bound = max(FULL, (total or 0) // CELLS)
+    if (most or 0) <= bound:
+        return at.join(spread.drop("_xa", "_xb", "_ya", "_yb"), keys).drop("_cx", "_cy")
+    fine = {f"_c{c}": _cell(c, size / 2**DEPTH) for c in "xy"}
+    within = lambda a, b, c: F.greatest(F.col(c) * size, F.least((F.col(c) + 1) * size, (F.col(a) + F.col(b)) / 2))  # noqa: E731  the middle, or what is nearest to it in the cell
+    middles = spread.withColumns({"x": within("x1", "x2", "_cx"), "y": within("y1", "y2", "_cy")})
+    counts = stored(at.withColumns(fine).select(*keys, one, none).unionByName(middles.withColumns(fine).select(*keys, *other)).groupBy(*keys).agg(*both), "cells")
+
+    def full(level: int) -> DataFrame:
+        up = [F.floor(F.col(c) / 2 ** (DEPTH - level)).cast("long").alias(c) for c in ("_cx", "_cy")]
+        return counts.groupBy(*by, *up).agg(*both).where(whole > bound)
+
+    # a full cell is cut in four, down to DEPTH; what stays full is cut by hashes of its points and pieces
+    at, spread = at.withColumn("_level", F.lit(0)), spread.withColumn("_level", F.lit(0))
+    for level in range(DEPTH):
+        marked = F.broadcast(full(level).select(*keys, F.lit(True).alias("_full")))  # CELLS rows at most
+        here = F.col("_full") & (F.col("_level") == level)
+        at = at.join(marked, keys, "left").withColumns({f"_c{c}": F.when(here, _cell(c, size / 2 ** (level + 1))).otherwise(F.col(f"_c{c}")) for c in "xy"})
+        at = at.withColumn("_level", F.when(here, level + 1).otherwise(F.col("_level"))).drop("_full")
+        spread = spread.join(marked, keys, "left")
+        for c in "xy":
+            half = size / 2 ** (level + 1)
+            low = F.greatest(2 * F.col(f"_c{c}"), F.floor(F.col(f"_{c}a") / half).cast("long"))
+            high = F.least(2 * F.col(f"_c{c}") + 1, F.floor(F.col(f"_{c}b") / half).cast("long"))
+            spread = spread.withColumn(f"_n{c}", F.when(here, F.sequence(low, high)).otherwise(F.array(f"_c{c}")))
+        spread = spread.withColumn("_cx", F.explode("_nx")).withColumn("_cy", F.explode("_ny")).withColumn("_level", F.when(here, level + 1).otherwise(F.col("_level"))).drop("_full", "_nx", "_ny")
+    keys = [*keys, "_level"]
+    # exact counts of the leaves, as a piece is also entered beside the cell of its middle
+    leaves = at.select(*keys, one, none).unionByName(spread.select(*keys, *other)).groupBy(*keys).agg(F.sum("_points").alias("_p"), F.sum("_pieces").alias("_l"))
+    deepest = leaves.where(F.greatest("_p", "_l") > bound).select(*keys, F.ceil(F.col("_p") / bound).alias("_p"), F.ceil(F.col("_l") / bound).alias("_l"))
+    parts = {"_p": F.greatest(F.lit(1), F.coalesce("_p", F.lit(1))), "_l": F.greatest(F.lit(1), F.coalesce("_l", F.lit(1)))}
+    at, spread = (df.join(F.broadcast(deepest), keys, "left").withColumns(parts) for df in (at, spread))
+    numbers = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    at = at.withColumn("_i", F.pmod(F.xxhash64(point_id, "x", "y"), "_p")).withColumn("_j", numbers("_l")).drop("_p", "_l")
+    spread = spread.withColumn("_j", F.pmod(F.xxhash64(line_id, "x1", "y1", "x2", "y2"), "_l")).withColumn("_i", numbers("_p")).drop("_p", "_l", "_xa", "_xb", "_ya", "_yb")
+    return at.join(spread, [*keys, "_i", "_j"]).drop("_cx", "_cy", "_level", "_i", "_j")
+
+
+def _gap() -> Column:
+    return piece_distance(*(F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")))
+
+
 def within_distance(points: DataFrame, pieces: DataFrame, distance: float, *, point_id: str = "collision_index", line_id: str = "segment_id", cell: float = CELL, by: tuple[str, ...] = ()) -> DataFrame:
-    """All lines at most ``distance`` (inclusive) from a point: point_id, line_id, distance.
+    """All lines at most ``distance`` (inclusive) from a point: point_id, line_id, distance, by.
 
     points: point_id, x, y; pieces: line_id, x1, y1, x2, y2; with ``by`` (a year, say) both have these
-    columns too, and only equal ones meet. Points without coordinates have none.
+    columns too, and only equal ones meet. Points without coordinates have none. A cell with over FULL
+    points and pieces (or a CELLS-th of all) is cut in four, again and again, so no task gets more of one key.
     """
-    size = max(cell, distance)
-    spread = split_pieces(pieces.select(*by, line_id, "x1", "y1", "x2", "y2"), LONGEST * size)
-    grown = [F.least("x1", "x2") - distance, F.greatest("x1", "x2") + distance, F.least("y1", "y2") - distance, F.greatest("y1", "y2") + distance]
-    spread = spread.withColumn("_cx", F.explode(cells_between(grown[0], grown[1], size))).withColumn("_cy", F.explode(cells_between(grown[2], grown[3], size)))
-    at = points.where("x is not null and y is not null").select(*by, point_id, "x", "y", F.floor(F.col("x") / size).cast("long").alias("_cx"), F.floor(F.col("y") / size).cast("long").alias("_cy"))
-    found = at.join(spread, [*by, "_cx", "_cy"]).select(point_id, line_id, piece_distance(*(F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2"))).alias("distance"))
-    return found.where(F.col("distance") <= distance).groupBy(point_id, line_id).agg(F.min("distance").alias("distance"))
+    found = _meetings(points, pieces, distance, max(cell, distance), by, point_id, line_id)
+    found = found.select(*by, point_id, line_id, _gap().alias("distance")).where(F.col("distance") <= distance)
+    return found.groupBy(*by, point_id, line_id).agg(F.min("distance").alias("distance")).select(point_id, line_id, "distance", *by)
 
 
 def _box_range(prefix: str = "") -> tuple[Column, Column]:
@@ -54,9 +117,32 @@ def _box_range(prefix: str = "") -> tuple[Column, Column]:
 
 
 def nearest(points: DataFrame, pieces: DataFrame, *, point_id: str = "collision_index", line_id: str = "segment_id", cell: float = CELL, by: tuple[str, ...] = ()) -> DataFrame:
-    """The nearest line of every point with coordinates: point_id, line_id, distance; ties go to the
+    """The nearest line of every point with coordinates: point_id, line_id, distance, by; ties go to the
     smaller line id. ``by`` as in :func:`within_distance`.
 
+    Rounds of the distance join with growing distances (ROUNDS) settle the points that have a line so
+    near; only the others go on, and those beyond all rounds go down through boxes (:func:`_far`).
+    """
+    left = points.where("x is not null and y is not null").select(*by, point_id, "x", "y")
+    best, keys = None, [*by, point_id]
+    for part in ROUNDS:
+        radius = part * cell
+        near = _meetings(left, pieces, radius, max(cell, radius), by, point_id, line_id).select(*keys, F.struct(_gap().alias("distance"), line_id).alias("_n"))
+        near = near.where(F.col("_n.distance") <= radius).groupBy(*keys).agg(F.min("_n").alias("_n"))
+        state, seen = stored_with(left.join(near, keys, "left"), "nearest", F.count_if(F.col("_n").isNull()).alias("left"))
+        found = state.where("_n is not null").select(*keys, "_n").distinct()
+        best = found if best is None else best.unionByName(found)
+        left = state.where("_n is null").select(*keys, "x", "y")
+        if not seen["left"]:
+            break
+    else:
+        best = best.unionByName(_far(left, pieces, point_id, line_id, cell, by))
+    return best.groupBy(*keys).agg(F.min("_n").alias("_n")).select(point_id, F.col(f"_n.{line_id}").alias(line_id), F.col("_n.distance").alias("distance"), *by)
+
+
+def _far(points: DataFrame, pieces: DataFrame, point_id: str, line_id: str, cell: float, by: tuple[str, ...]) -> DataFrame:
+    """by, point_id and ``_n``, the distance and id of the nearest line, however far.
+
     Pieces lie in cells by their middles, each in one; cells of four times the size hold these, up to
     a few that hold all. From there a point goes down through the boxes around what the cells hold,
     and leaves out those that begin beyond where the nearest ends. So it meets the pieces of a few
@@ -65,32 +151,31 @@ def nearest(points: DataFrame, pieces: DataFrame, *, point_id: str = "collision_
     own = split_pieces(pieces.select(*by, line_id, "x1", "y1", "x2", "y2"), LONGEST * cell)
     box = {"_xa": F.least("x1", "x2"), "_xb": F.greatest("x1", "x2"), "_ya": F.least("y1", "y2"), "_yb": F.greatest("y1", "y2")}
     own = own.withColumns({**box, "_cx": F.floor((F.col("x1") + F.col("x2")) / (2 * cell)).cast("long"), "_cy": F.floor((F.col("y1") + F.col("y2")) / (2 * cell)).cast("long")})
-    ends = own.agg(F.min("_cx"), F.max("_cx"), F.min("_cy"), F.max("_cy")).first()
-    levels = 0 if None in ends else max(1, math.ceil(math.log(max(ends[1] - ends[0], ends[3] - ends[2]) + 1, 4)))
-
-    def cells(level: int) -> DataFrame:
-        at = [(F.floor(F.col(c) / 4**level).cast("long").alias(c)) for c in ("_cx", "_cy")]
-        return own.groupBy(*by, *at).agg(F.min("_xa").alias("_xa"), F.max("_xb").alias("_xb"), F.min("_ya").alias("_ya"), F.max("_yb").alias("_yb"))
-
-    left = points.where("x is not null and y is not null").select(*by, point_id, "x", "y")
-    for level in range(levels, -1, -1):
-        inner = cells(level).withColumns({f"_p{c}": F.floor(F.col(f"_c{c}") / 4).cast("long") for c in "xy"})
-        if level == levels:  # at most two cells each way
-            left = left.join(F.broadcast(inner.drop("_px", "_py")), list(by)) if by else left.join(F.broadcast(inner.drop("_px", "_py")))
+    joined = lambda at: at.groupBy(*by, "_cx", "_cy").agg(F.min("_xa").alias("_xa"), F.max("_xb").alias("_xb"), F.min("_ya").alias("_ya"), F.max("_yb").alias("_yb"))
+    least, most = F.array(F.min("_cx"), F.min("_cy")), F.array(F.max("_cx"), F.max("_cy"))
+    cells, seen = stored_with(joined(own), "boxes", least.alias("least"), most.alias("most"))
+    steps = [cells]
+    span = max((b - a for a, b in zip(seen["least"], seen["most"], strict=True) if a is not None), default=0) + 1
+    for _ in range(max(1, math.ceil(math.log(span, 4)))):  # each level from the one below
+        steps.append(stored(joined(steps[-1].withColumns({c: F.floor(F.col(c) / 4).cast("long") for c in ("_cx", "_cy")})), "boxes"))
+    left = points
+    for level, inner in reversed(list(enumerate(steps))):
+        if level == len(steps) - 1:  # at most two cells each way
+            left = left.join(F.broadcast(inner), list(by)) if by else left.join(F.broadcast(inner))
         else:
+            inner = inner.withColumns({f"_p{c}": F.floor(F.col(f"_c{c}") / 4).cast("long") for c in "xy"})
             left = left.withColumnsRenamed({"_cx": "_px", "_cy": "_py"}).join(inner, [*by, "_px", "_py"]).drop("_px", "_py")
-        least, most = _box_range()
-        left = left.withColumns({"_least": least, "_most": most})
+        near, far = _box_range()
+        left = left.withColumns({"_least": near, "_most": far})
         left = left.withColumn("_reach", F.min("_most").over(Window.partitionBy(*by, point_id, "x", "y"))).where(F.col("_least") <= F.col("_reach") * (1 + 1e-12) + 1e-9)
         left = left.select(*by, point_id, "x", "y", "_cx", "_cy")
-    found = left.join(own.drop(*box), [*by, "_cx", "_cy"]).select(point_id, line_id, piece_distance(*(F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2"))).alias("distance"))
-    best = found.groupBy(point_id).agg(F.min(F.struct("distance", line_id)).alias("_n"))
-    return best.select(point_id, F.col(f"_n.{line_id}").alias(line_id), F.col("_n.distance").alias("distance"))
+    found = left.join(own.drop(*box), [*by, "_cx", "_cy"]).select(*by, point_id, F.struct(_gap().alias("distance"), line_id).alias("_n"))
+    return found.groupBy(*by, point_id).agg(F.min("_n").alias("_n"))
 
 
-def two_nearest(candidates: DataFrame, *, point_id: str = "collision_index", line_id: str = "segment_id") -> DataFrame:
+def two_nearest(candidates: DataFrame, *, point_id: str = "collision_index", line_id: str = "segment_id", by: tuple[str, ...] = ()) -> DataFrame:
     """The two nearest candidates of a point with ``rank`` and ``candidate_count``."""
-    own = Window.partitionBy(point_id)
+    own = Window.partitionBy(*by, point_id)
     ranked = candidates.withColumn("candidate_count", F.count(F.lit(1)).over(own)).withColumn("rank", F.row_number().over(own.orderBy("distance", line_id)))
     return ranked.where("rank <= 2")
 
@@ -104,16 +189,18 @@ def match(points: DataFrame, pieces: DataFrame, *, max_distance: float = MAX_DIS
     places. ``with_nearest`` also finds the nearest line of points out of range. ``by`` as in
     :func:`within_distance`; its columns come first in the result.
     """
-    top = two_nearest(within_distance(points, pieces, max_distance, point_id=point_id, line_id=line_id, by=by), point_id=point_id, line_id=line_id)
-    best = top.groupBy(point_id).agg(
+    keys = [*by, point_id]
+    top = two_nearest(within_distance(points, pieces, max_distance, point_id=point_id, line_id=line_id, by=by), point_id=point_id, line_id=line_id, by=by)
+    best = top.groupBy(*keys).agg(
         F.min(F.when(F.col("rank") == 1, F.col(line_id))).alias("_line"), F.min(F.when(F.col("rank") == 1, F.col("distance"))).alias("_d1"),
         F.min(F.when(F.col("rank") == 2, F.col("distance"))).alias("_d2"), F.max("candidate_count").alias("_n"),
     )
-    rows = points.select(*by, point_id, "x", "y").join(best, point_id, "left")
+    rows = points.select(*keys, "x", "y").join(best, keys, "left")
     if with_nearest:
-        lost = rows.where("_d1 is null").select(*by, point_id, "x", "y")
-        far = nearest(lost, pieces, point_id=point_id, line_id=line_id, by=by).select(point_id, F.col(line_id).alias("_far"), F.col("distance").alias("_far_d"))
-        rows = rows.join(far, point_id, "left")
+        rows = stored(rows, "matched")  # the distance join serves both what it found and what it lost
+        lost = rows.where("_d1 is null").select(*keys, "x", "y")
+        far = nearest(lost, pieces, point_id=point_id, line_id=line_id, by=by).select(*keys, F.col(line_id).alias("_far"), F.col("distance").alias("_far_d"))
+        rows = rows.join(far, keys, "left")
     else:
         rows = rows.withColumns({"_far": F.lit(None).cast(pieces.schema[line_id].dataType), "_far_d": F.lit(None).cast("double")})
     status = F.when(F.col("_d1").isNull(), "out_of_range").when(F.col("_d2") - F.col("_d1") <= margin, "ambiguous").otherwise("accepted")

@@ -1,4 +1,4 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and tables stored in it."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,3 +27,17 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, label: str) -> str:
     """A new, not yet existing path in the shared folder."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: its lineage ends there, and a lost
+    executor costs no recomputation of what stands before."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_with(df: DataFrame, label: str, *metrics: Column) -> tuple[DataFrame, dict]:
+    """:func:`stored`, and aggregates of all its rows that are taken while it is written."""
+    seen = Observation()
+    return stored(df.observe(seen, *metrics), label), seen.get

@@ -133,3 +133,49 @@ def test_nearest_of_far_points_and_within_years(spark):
         assert (p in got) == (want is not None)
         if want:
             assert got[p][0] == want[1] and abs(got[p][1] - want[0]) < 1e-6 * (1 + want[0])
+
+
+def test_one_id_in_two_years_stays_apart(spark):
+    table = spark.createDataFrame([("a", 1995, 0.0, 0.0, 10.0, 0.0), ("b", 1996, 0.0, 5.0, 10.0, 5.0)], "segment_id string, year int, x1 double, y1 double, x2 double, y2 double")
+    at = spark.createDataFrame([("p", 1995, 5.0, 5.0), ("p", 1996, 5.0, 5.0), ("q", 1995, 5.0, 900.0), ("q", 1996, 5.0, 900.0)], "collision_index string, year int, x double, y double")
+    got = {(r.collision_index, r.year): (r.match_status, r.segment_id, r.nearest_segment_id, r.distance_m, r.candidate_count) for r in matching.match(at, table, by=("year",)).collect()}
+    assert got == {
+        ("p", 1995): ("accepted", "a", "a", 5.0, 1), ("p", 1996): ("accepted", "b", "b", 0.0, 1),
+        ("q", 1995): ("out_of_range", None, "a", 900.0, 0), ("q", 1996): ("out_of_range", None, "b", 895.0, 0),
+    }
+
+
+@pytest.mark.parametrize("spread", [400.0, 0.0])
+def test_full_cells_are_cut_and_change_nothing(spark, monkeypatch, spread):
+    rnd = random.Random(9)
+    # nine of ten points and lines in one cell, with ``spread`` 0 even in one place
+    at = [(f"p{k}", 100 + rnd.uniform(0, spread), 100 + rnd.uniform(0, spread)) if k % 10 else (f"p{k}", rnd.uniform(-3000, 3000), rnd.uniform(-3000, 3000)) for k in range(600)]
+    lines = []
+    for k in range(300):
+        x, y = (100 + rnd.uniform(0, spread), 100 + rnd.uniform(0, spread)) if k % 10 else (rnd.uniform(-3000, 3000), rnd.uniform(-3000, 3000))
+        lines.append((f"s{k}", x, y, x + rnd.uniform(-40, 40), y + rnd.uniform(-40, 40)))
+    plain = {(r[0], r[1]): r[2] for r in matching.within_distance(points(spark, at), pieces(spark, lines), 30.0).collect()}
+    monkeypatch.setattr(matching, "FULL", 40)
+    found = matching._meetings(points(spark, at), pieces(spark, lines), 30.0, 500.0, (), "collision_index", "segment_id")
+    cut = {(r[0], r[1]): r[2] for r in matching.within_distance(points(spark, at), pieces(spark, lines), 30.0).collect()}
+    assert cut == plain and len(plain) > 500
+    if spread:  # fewer pairs meet than in the whole cell
+        assert found.count() < 540 * 270 / 4
+    # the join's keys: no side has more than the bound of one key
+    sides = [n for n in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join Inner" in n]
+    assert any("_i" in n and "_j" in n for n in sides)
+
+
+def test_dense_points_are_bounded_by_key(spark, monkeypatch):
+    monkeypatch.setattr(matching, "FULL", 50)
+    taken = []
+    join = type(pieces(spark)).join
+    monkeypatch.setattr(type(pieces(spark)), "join", lambda self, other, on=None, how=None: taken.append((self, other, on)) or join(self, other, on, how))
+    at = [(f"p{k}", 250.0, 250.0) for k in range(900)] + [(f"q{k}", float(k), 3000.0) for k in range(100)]
+    lines = [(f"s{k}", 240.0, 240.0, 260.0, 260.0) for k in range(120)]
+    matching._meetings(points(spark, at), pieces(spark, lines), 30.0, 500.0, (), "collision_index", "segment_id")
+    left, right, keys = taken[-1]
+    assert "_i" in keys and "_j" in keys
+    for side in (left, right):
+        assert side.groupBy(*keys).count().agg(F.max("count")).first()[0] <= 100  # twice the bound, as hashes deal
+    assert left.select("collision_index").distinct().count() == 1000
