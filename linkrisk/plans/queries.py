@@ -294,7 +294,21 @@ def area_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("count_point_id", F.lit(1996).alias("year"), "urban_rural").distinct().orderBy("year", "count_point_id")
 
 
-QUERIES |= {"area_class": area_class, "area_lookup": area_lookup}
+def area_unclassified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the areas have no class; points in them have none, though others lie within the distance."""
+    areas = view(spark, sf_dir, "area").select("area_id", F.when(F.col("area_id").cast("int") % 3 != 1, F.col("urban_rural")).alias("urban_rural"))
+    return polygons.classify(view(spark, sf_dir, "collision"), view(spark, sf_dir, "edge"), areas, point_id="collision_index", max_distance=2000.0)
+
+
+QUERIES |= {"area_class": area_class, "area_lookup": area_lookup, "area_unclassified": area_unclassified}
+ORACLES["area_unclassified"] = _chained(
+    """, d AS (
+      SELECT collision_index, area_id, CASE WHEN cast(area_id AS int) % 3 <> 1 THEN urban_rural ELSE '-' END AS class, abs(x - cx) * 1500 + abs(y - cy) * 3500 <= 3500 * 1500 AS inside, abs(x - cx) AS ux, abs(y - cy) AS uy,
+             greatest(0.0, least(1.0, ((3500 - abs(x - cx)) * 3500 + abs(y - cy) * 1500) / (3500.0 * 3500 + 1500.0 * 1500))) AS t FROM collision, area),
+    e AS (SELECT *, CASE WHEN inside THEN 0 ELSE sqrt((ux - 3500 * (1 - t)) * (ux - 3500 * (1 - t)) + (uy - 1500 * t) * (uy - 1500 * t)) END AS dist FROM d)
+    SELECT collision_index, nullif(arg_min(class, (dist, area_id)) FILTER (dist <= 2000), '-') AS urban_rural FROM e GROUP BY collision_index""",
+    "collision", "area",
+)
 ORACLES["area_class"] = _chained(AREA_CLASS.format(id="collision_index", x="x", y="y", points="collision") + " SELECT id AS collision_index, coalesce(own, near) AS urban_rural FROM c", "collision", "area")
 _A, _B, _C, _D = GRID_BOX
 ORACLES["area_lookup"] = _chained(

@@ -179,3 +179,32 @@ def test_dense_points_are_bounded_by_key(spark, monkeypatch):
     for side in (left, right):
         assert side.groupBy(*keys).count().agg(F.max("count")).first()[0] <= 100  # twice the bound, as hashes deal
     assert left.select("collision_index").distinct().count() == 1000
+
+
+def test_a_point_in_an_unclassified_area_has_no_class(spark):
+    box = lambda k, x: [(k, x, 0.0, x + 1000.0, 0.0), (k, x + 1000.0, 0.0, x + 1000.0, 1000.0), (k, x + 1000.0, 1000.0, x, 1000.0), (k, x, 1000.0, x, 0.0)]
+    edges = spark.createDataFrame([*box("a", 0.0), *box("b", 1000.0), *box("c", 3000.0)], "area_id string, x1 double, y1 double, x2 double, y2 double")
+    at = points(spark, [("in a", 500.0, 500.0), ("in b", 1100.0, 500.0), ("border", 1000.0, 500.0), ("near b", 2100.0, 500.0), ("near c", 2900.0, 500.0), ("none", None, 1.0)])
+    classes = spark.createDataFrame([("a", "urban"), ("b", None), ("c", "rural")], "area_id string, urban_rural string")
+    got = dict(polygons.classify(at, edges, classes, point_id="collision_index").collect())
+    assert got == {"in a": "urban", "in b": None, "border": "urban", "near b": None, "near c": "rural", "none": None}
+
+
+def test_slabs_equal_brute_force_and_bound_what_meets(spark):
+    rnd, edges = random.Random(4), []
+    for k, n in enumerate((400, 7, 3)):
+        radii = [rnd.uniform(600, 1500) for _ in range(n)]
+        ring = [(1000 * k + round(r * math.cos(6.283185307 * i / n), 0), round(r * math.sin(6.283185307 * i / n), 0)) for i, r in enumerate(radii)]
+        edges += [(f"a{k}", *ring[i], *ring[(i + 1) % n]) for i in range(n)]
+    edges += [("flat", 0.0, 5.0, 100.0, 5.0), ("flat", 100.0, 5.0, 0.0, 5.0)]
+    at = [(str(i), float(rnd.randint(-1600, 3600)), float(rnd.randint(-1600, 1600))) for i in range(400)] + [(f"v{i}", e[1], e[2]) for i, e in enumerate(edges[::9])] + [("flat", 50.0, 5.0)]
+
+    def inside(x, y, ring):
+        if any(_distance(x, y, *e[1:]) <= 1e-9 for e in ring):
+            return True
+        return sum((y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 for _, x1, y1, x2, y2 in ring) % 2 == 1
+
+    rings = {k: [e for e in edges if e[0] == k] for k in {e[0] for e in edges}}
+    want = {(i, k) for i, x, y in at for k, ring in rings.items() if inside(x, y, ring)}
+    table = spark.createDataFrame(edges, "area_id string, x1 double, y1 double, x2 double, y2 double")
+    assert {tuple(r) for r in polygons.in_area(points(spark, at), table, point_id="collision_index").collect()} == want
