@@ -5,9 +5,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..sources.shared import seen_by
+
+#: Offending values that a message spells out.
+NAMED = 1000
+
 
 class ValidationError(ValueError):
     """A table breaks a rule that the job needs."""
@@ -46,6 +51,13 @@ def require_unique(df: DataFrame, *keys: str, what: str = "rows") -> None:
         raise ValidationError(f"Found {n} duplicate {what}")
 
 
+def measured(df: DataFrame, *keys: str, **metrics: Column) -> tuple[int, dict]:
+    """The rows of groups with equal ``keys``, and aggregates of all rows, in one read of ``df``."""
+    seen = Observation()
+    n = duplicate_rows(df.observe(seen, *(c.alias(k) for k, c in metrics.items())), *keys).first()[0]
+    return n, seen_by(seen) or dict.fromkeys(metrics, 0)
+
+
 def outside_domain(column: Column, values: Iterable) -> Column:
     """Not in the domain; null passes."""
     return F.coalesce(~column.isin(*values), F.lit(False))
@@ -139,9 +151,12 @@ def require_links(links: DataFrame) -> None:
 
 
 def require_urban_rural(lookup: DataFrame, column: str = "urban_rural") -> None:
-    bad = lookup.where(outside_domain(F.col(column), ("urban", "rural"))).select(column).distinct().orderBy(column).limit(20).collect()
-    if bad:
-        raise ValidationError(f"Unknown urban_rural values: {', '.join(r[0] for r in bad)}")
+    """All values outside the domain are named; the message has the first NAMED and how many more there are."""
+    bad = lookup.where(outside_domain(F.col(column), ("urban", "rural"))).select(column).distinct()
+    named = [r[0] for r in bad.orderBy(column).limit(NAMED).collect()]
+    if named:
+        more = bad.count() - len(named) if len(named) == NAMED else 0
+        raise ValidationError(f"Unknown urban_rural values: {', '.join(named)}" + (f" and {more} more" if more else ""))
 
 
 def row_validity(df: DataFrame, split: Column, *, exposure: str = "annual_vehicle_km", target: str = "ksi_count") -> DataFrame:

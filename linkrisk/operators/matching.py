@@ -133,7 +133,7 @@ def nearest(points: DataFrame, pieces: DataFrame, *, point_id: str = "collision_
         found = state.where("_n is not null").select(*keys, "_n").distinct()
         best = found if best is None else best.unionByName(found)
         left = state.where("_n is null").select(*keys, "x", "y")
-        if not seen["left"]:
+        if not seen.get("left"):
             break
     else:
         best = best.unionByName(_far(left, pieces, point_id, line_id, cell, by))
@@ -155,7 +155,7 @@ def _far(points: DataFrame, pieces: DataFrame, point_id: str, line_id: str, cell
     least, most = F.array(F.min("_cx"), F.min("_cy")), F.array(F.max("_cx"), F.max("_cy"))
     cells, seen = stored_with(joined(own), "boxes", least.alias("least"), most.alias("most"))
     steps = [cells]
-    span = max((b - a for a, b in zip(seen["least"], seen["most"], strict=True) if a is not None), default=0) + 1
+    span = max((b - a for a, b in zip(seen.get("least", [None]), seen.get("most", [None]), strict=True) if a is not None), default=0) + 1
     for _ in range(max(1, math.ceil(math.log(span, 4)))):  # each level from the one below
         steps.append(stored(joined(steps[-1].withColumns({c: F.floor(F.col(c) / 4).cast("long") for c in ("_cx", "_cy")})), "boxes"))
     left = points

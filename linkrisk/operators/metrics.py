@@ -1,4 +1,4 @@
-"""Metrics of predictions, by any groups, in one aggregate after a ranking."""
+"""Metrics of predictions, by any groups, in one aggregate after the top share is known."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rates import poisson_deviance_term
-from .ranking import ranked
+from .selection import flag_first
 
 TOP_SHARE = 0.1
 SUBGROUPS = ("road_category", "urban_rural", "estimation_method")
@@ -19,15 +19,13 @@ def error_metrics(predictions: DataFrame, by: str = "evaluation_split") -> DataF
 
 def flag_top(predictions: DataFrame, by: tuple[str, ...], *, share: float = TOP_SHARE, ties: tuple[str, ...] = ("segment_key", "year")) -> DataFrame:
     """``in_top``: among the first max(1, ceil(share * n)) of its group by prediction; n is group_rows."""
-    rows = ranked(predictions, [F.desc("expected_ksi"), *(F.asc(c) for c in ties)], "_rank", by=by)
-    sizes = predictions.groupBy(*by).agg(F.count(F.lit(1)).alias("group_rows"))
-    rows = rows.join(sizes, list(by))
-    return rows.withColumn("in_top", F.col("_rank") <= F.greatest(F.lit(1), F.ceil(F.col("group_rows") * F.lit(share)))).drop("_rank")
+    return flag_first(predictions, by, "expected_ksi", F.greatest(F.lit(1), F.ceil(F.col("group_rows") * F.lit(share))), ties)
 
 
 def detailed_metrics(predictions: DataFrame, by: tuple[str, ...] = ("evaluation_split",), *, share: float = TOP_SHARE) -> DataFrame:
     actual, mu = F.col("ksi_count").cast("double"), F.greatest(F.col("expected_ksi"), F.lit(1e-12))
-    rows = flag_top(predictions, by, share=share).groupBy(*by).agg(
+    needed = predictions.select(*by, "segment_key", "year", "ksi_count", "expected_ksi")
+    rows = flag_top(needed, by, share=share).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_rows"), F.avg(F.abs(actual - mu)).alias("mae"), F.sqrt(F.avg((actual - mu) * (actual - mu))).alias("rmse"),
         (2 * F.sum(poisson_deviance_term(actual, F.col("expected_ksi")))).alias("poisson_deviance"), F.avg(actual).alias("mean_actual"), F.avg(mu).alias("mean_predicted"),
         F.sum(actual).alias("_actual"), F.sum(mu).alias("_mu"), F.sum(F.when(F.col("in_top"), actual).otherwise(0.0)).alias("_top"), F.count_if("in_top").alias("_k"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, rates
 from ..operators import baseline, evidence, gates, matching, metrics, nb2, panel, polygons, screening, serving
 from ..sources import files, sinks
+from ..sources.shared import stored_with
 
 #: Longitudes and latitudes of the pilot area: left, low, right, high.
 PILOT_BOX = (-1.75, 53.72, -1.35, 53.90)
@@ -17,22 +18,44 @@ PILOT_COLUMNS = tuple(sorted(files.COLLISION_TYPES))
 
 
 def build_pilot(collisions: DataFrame, output: str, *, years: Iterable[int] | None = None, box: tuple[float, float, float, float] = PILOT_BOX) -> DataFrame:
-    """Checked collisions of the pilot box, stored by year; returns counts by year and severity.
+    """Checked collisions of the pilot box, stored by ``source_year``; returns counts by year and severity.
 
-    Without ``years`` the source must have one reporting year."""
+    Without ``years`` the source must have one reporting year; its rows without a year are then kept with it.
+    The source is read twice: once for the gates and the quality report, once to be stored. Years that
+    earlier builds stored stay as they are.
+    """
     gates.require_columns(collisions, files.COLLISION_TYPES, "collision source")
-    gates.require_unique(collisions, "collision_index", what="collision ids")
-    gates.require_none(collisions, gates.outside_domain(F.col("collision_severity"), (1, 2, 3)), "Found {n} severities outside 1, 2, 3")
-    wanted = sorted(years) if years is not None else [gates.single_year(collisions)]
-    gates.require_years(collisions, wanted)
-    rows = serving.in_box(collisions.where(F.col("collision_year").isin(wanted)), box).select(*PILOT_COLUMNS)
-    rows = rows.withColumn("date", rates.try_date(F.col("date")))
-    sinks.write_by(rows, f"{output}/collisions", "collision_year", order=("date", "collision_index"))
-    stored = collisions.sparkSession.read.parquet(f"{output}/collisions")
-    report = serving.severity_counts(stored, ("collision_year",))
-    sinks.write_report(serving.pilot_quality(collisions, box, year=wanted[0] if len(wanted) == 1 else None), f"{output}/data-quality-report")
-    sinks.write_report(report, f"{output}/severity-report")
-    return report
+    year, chosen = F.col("collision_year"), sorted(set(years)) if years is not None else []
+    inside = F.col("longitude").between(box[0], box[2]) & F.col("latitude").between(box[1], box[3])
+    by_year = {f"{name}_{y}": F.count_if((year == y) & also) for y in chosen for name, also in (("selected", F.lit(True)), ("pilot", inside))}
+    duplicates, seen = gates.measured(
+        collisions, "collision_index", n=F.count(F.lit(1)), outside=F.count_if(gates.outside_domain(F.col("collision_severity"), (1, 2, 3))), first=F.min(year), last=F.max(year), inside=F.count_if(inside),
+        lost=F.count_if(F.col("longitude").isNull() | F.col("latitude").isNull()), digest=F.sum(files.row_hash(collisions)), **by_year,
+    )
+    if duplicates:
+        raise gates.ValidationError(f"Found {duplicates} duplicate collision ids")
+    if seen["outside"]:
+        raise gates.ValidationError(f"Found {seen['outside']} severities outside 1, 2, 3")
+    if years is None:
+        if seen["first"] is None or seen["first"] != seen["last"]:
+            raise gates.ValidationError(f"Expected exactly one reporting year, found {gates.years_of(collisions, 'collision_year')}")
+        chosen = [seen["first"]]
+        counts = {seen["first"]: (seen["n"], seen["inside"])}
+        rows = collisions.withColumn("source_year", F.lit(chosen[0]))
+    else:
+        counts = {y: (seen[f"selected_{y}"], seen[f"pilot_{y}"]) for y in chosen}
+        for y in chosen:
+            if not counts[y][0]:
+                raise gates.ValidationError(f"The source has no rows for {y}")
+        rows = collisions.where(year.isin(chosen)).withColumn("source_year", year)
+    rows = serving.in_box(rows, box).select(*PILOT_COLUMNS, "source_year").withColumn("date", rates.try_date(F.col("date")))
+    sinks.write_years(rows, f"{output}/collisions", "source_year", chosen, order=("date", "collision_index"))
+    report = serving.severity_counts(sinks.read_years(rows, f"{output}/collisions", "source_year", chosen), ("source_year", "collision_year"))
+    quality = [(y, seen["n"], *counts[y], seen["lost"], str(seen["digest"] or 0), *map(float, box)) for y in chosen]
+    names = "source_year int, source_records long, selected_source_records long, pilot_records long, missing_source_coordinates long, source_digest string, left double, low double, right double, high double"
+    sinks.write_report(collisions.sparkSession.createDataFrame(quality, names), f"{output}/data-quality-report", years=chosen)
+    sinks.write_report(report, f"{output}/severity-report", years=chosen)
+    return report.drop("source_year")
 
 
 def grid_pieces(links: DataFrame, parts: str = "parts", *ids: str) -> DataFrame:
@@ -43,7 +66,8 @@ def grid_pieces(links: DataFrame, parts: str = "parts", *ids: str) -> DataFrame:
 
 
 def build_network(collisions: DataFrame, links: DataFrame, traffic: DataFrame, output: str, *, year: int, lookup: DataFrame | None = None) -> DataFrame:
-    """Matches, evidence and GeoJSON features of one network year; returns the match report."""
+    """Matches, evidence and GeoJSON features of one network year, beside those of other years; returns
+    the match report."""
     gates.require_years_equal(collisions, year)
     gates.require_links(links)
     gates.require_unique(traffic, "count_point_id", "year", what="traffic rows")
@@ -51,32 +75,43 @@ def build_network(collisions: DataFrame, links: DataFrame, traffic: DataFrame, o
         gates.require_unique(lookup, "count_point_id", "year", what="urban/rural rows")
         gates.require_urban_rural(lookup)
     spark = collisions.sparkSession
-    pieces = grid_pieces(links).persist()
+    pieces = grid_pieces(links).persist()  # read by the rounds of the matching; released below
     points = geo.to_grid(collisions.select("collision_index", "collision_severity", "longitude", "latitude"))
     matches = matching.match(points, pieces).withColumn("source_year", F.lit(year))
-    sinks.write_by(matches, f"{output}/matches", "source_year")
-    matches = spark.read.parquet(f"{output}/matches").where(F.col("source_year") == year)
+    sinks.write_years(matches, f"{output}/matches", "source_year", [year])
+    matches = sinks.read_years(matches, f"{output}/matches", "source_year", [year])
     base = links.select("segment_id", "count_point_id", "road_number", F.lit(year).alias("source_year")).withColumn("segment_key", rates.segment_key(F.col("count_point_id"))).join(matching.line_length(pieces), "segment_id", "left")
     one = lambda df: df.where(F.col("year") == year)
     rows = evidence.segment_evidence(base, one(traffic), evidence.accepted_counts(matches, collisions), one(lookup).drop("year") if lookup is not None else None)
-    sinks.write_by(rows, f"{output}/evidence", "source_year", order=("segment_id",))
-    stored = spark.read.parquet(f"{output}/evidence").where(F.col("source_year") == year)
-    sinks.write_features(stored, links, f"{output}/features")
+    sinks.write_years(rows, f"{output}/evidence", "source_year", [year], order=("segment_id",))
+    stored = sinks.read_years(rows, f"{output}/evidence", "source_year", [year])
+    sinks.write_features(stored, links, f"{output}/features", years=[year])
     report = evidence.match_quality(matches).join(evidence.network_quality(stored))
-    sinks.write_report(report, f"{output}/network-report")
-    sinks.write_report(evidence.method_counts(one(traffic)), f"{output}/estimation-methods")
+    sinks.write_report(report.withColumn("source_year", F.lit(year)), f"{output}/network-report", years=[year])
+    sinks.write_report(evidence.method_counts(one(traffic), ("year",)), f"{output}/estimation-methods", years=[year], column="year")
+    sinks.write_report(provenance(spark, {"collisions": collisions, "links": links.drop("parts"), "traffic": traffic}).withColumn("source_year", F.lit(year)), f"{output}/sources-report", years=[year])
     pieces.unpersist()
     return report
 
 
 def build_panel(frames: list[DataFrame], contract: panel.Contract, output: str) -> DataFrame:
-    """The checked panel, stored by year, and its readiness."""
-    rows = panel.build_panel(frames)
+    """The checked panel, stored by year, and its readiness.
+
+    Link-years without traffic have no year; they are no part of the panel, and ``rows_without_year`` of the
+    readiness report counts them. That report also has the contract and its hash, and records in all and by
+    year; the inputs report has rows and digest of each table given."""
+    spark = frames[0].sparkSession if frames else None
+    rows = panel.build_panel([df.where("year is not null") for df in frames])
     sinks.write_by(rows, f"{output}/panel", "year", order=("segment_key",))
-    stored = rows.sparkSession.read.parquet(f"{output}/panel")
+    stored = spark.read.parquet(f"{output}/panel")
     report = panel.readiness(stored, contract)
-    sinks.write_report(report, f"{output}/readiness-report")
-    sinks.write_report(panel.panel_years(stored), f"{output}/years-report")
+    years = panel.panel_years(stored)
+    totals = years.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("records"), F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("year", "n_rows"))))).alias("records_by_year"))
+    lost = panel.union_relaxed([df.select("year") for df in frames]).agg(F.count_if(F.col("year").isNull()).alias("rows_without_year"))
+    fixed = {k: F.lit(v) for k, v in contract.described().items()}
+    sinks.write_report(report.join(totals).join(lost).withColumns(fixed), f"{output}/readiness-report")
+    sinks.write_report(years, f"{output}/years-report")
+    sinks.write_report(provenance(spark, {f"evidence {k}": df for k, df in enumerate(frames)}), f"{output}/inputs-report")
     return report
 
 
@@ -134,7 +169,7 @@ def build_contract(spark: SparkSession, collisions: DataFrame, links: DataFrame,
     years = contract.years
     gates.require_coverage(collisions, years)
     build_pilot(collisions, output, years=years, box=box)
-    pilot = spark.read.parquet(f"{output}/collisions").where(F.col("collision_year").isin(years))
+    pilot = spark.read.parquet(f"{output}/collisions").where(F.col("source_year").isin(years))
     gates.require_years(pilot, years)
     own = links.where(F.col("source_year").isin(years))
     gates.require_yearly_links(own, years)
@@ -145,24 +180,25 @@ def build_contract(spark: SparkSession, collisions: DataFrame, links: DataFrame,
         gates.require_urban_rural(lookup)
     pieces = grid_pieces(own, "parts", "segment_id", "source_year").persist()
     points = geo.to_grid(pilot.select("collision_index", F.col("collision_year").alias("source_year"), "collision_severity", "longitude", "latitude"))
-    sinks.write_by(matching.match(points, pieces, by=("source_year",)), f"{output}/matches", "source_year")
-    matches = spark.read.parquet(f"{output}/matches")
+    matches = matching.match(points, pieces, by=("source_year",))
+    sinks.write_years(matches, f"{output}/matches", "source_year", years)
+    matches = sinks.read_years(matches, f"{output}/matches", "source_year", years)
     counts = evidence.accepted_counts(matches, pilot)
     base = own.select("segment_id", "count_point_id", "road_number", "source_year").withColumn("segment_key", rates.segment_key(F.col("count_point_id"))).join(matching.line_length(pieces), "segment_id", "left")
     flows = yearly.withColumn("source_year", F.col("year"))
     classes = lookup.withColumnRenamed("year", "source_year") if lookup is not None else None
     rows = evidence.segment_evidence(base, flows, counts, classes, keys=("count_point_id", "source_year"))
-    sinks.write_by(rows, f"{output}/evidence", "source_year", order=("segment_id",))
+    sinks.write_years(rows, f"{output}/evidence", "source_year", years, order=("segment_id",))
     pieces.unpersist()
-    found = spark.read.parquet(f"{output}/evidence")
-    sinks.write_features(found, own, f"{output}/features")
+    found = sinks.read_years(rows, f"{output}/evidence", "source_year", years)
+    sinks.write_features(found, own, f"{output}/features", years=years)
     report = evidence.match_quality(matches, by=("source_year",)).join(evidence.network_quality(found, by=("source_year",)), "source_year", "full")
-    sinks.write_report(report, f"{output}/network-report")
-    sinks.write_report(evidence.method_counts(yearly, ("year",)), f"{output}/estimation-methods")
+    sinks.write_report(report, f"{output}/network-report", years=years)
+    sinks.write_report(evidence.method_counts(yearly, ("year",)), f"{output}/estimation-methods", years=years, column="year")
     sinks.write_report(provenance(spark, {"collisions": collisions, "links": links.drop("parts"), "traffic": traffic}, box=box), f"{output}/sources-report")
     if inventory is not None:
         sinks.write_report(inventory, f"{output}/inventory-report")
-    return build_panel([found.where("year is not null")], contract, output)
+    return build_panel([found], contract, output)
 
 
 def provenance(spark: SparkSession, sources: Mapping[str, DataFrame], *, box: tuple[float, float, float, float] = PILOT_BOX) -> DataFrame:
@@ -183,9 +219,9 @@ def build_area_lookup(links: DataFrame, areas: DataFrame, classes: DataFrame, ou
     points = matching.clipped_point(pieces, box)
     found = polygons.classify(points, edges, classes, point_id="segment_id")
     rows = links.select("segment_id", "count_point_id", F.col("source_year").alias("year")).join(found, "segment_id", "left").select("count_point_id", "year", "urban_rural").distinct()
-    lost = rows.agg(F.count_if(F.col("urban_rural").isNull())).first()[0]
-    if lost:
-        raise gates.ValidationError(f"{lost} link-years have no area class")
+    rows, seen = stored_with(rows, "lookup", F.count_if(F.col("urban_rural").isNull()).alias("lost"))
+    if seen.get("lost"):
+        raise gates.ValidationError(f"{seen['lost']} link-years have no area class")
     out = rows.orderBy("year", "count_point_id")
-    out.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{output}/urban-rural")
+    out.write.mode("overwrite").option("header", True).csv(f"{output}/urban-rural")  # files in order, as many as there are ranges
     return out

@@ -370,7 +370,10 @@ READINESS = f""", c AS (
     k AS (SELECT *, list_filter([CASE WHEN missing_years <> '' THEN 'missing_contract_years' END, CASE WHEN r + u + l > 0 THEN 'incomplete_subgroup_values' END,
                      CASE WHEN geographic_groups < 2 THEN 'insufficient_geographic_groups' END, CASE WHEN invalid_exposure_rows > 0 THEN 'invalid_exposure_rows' END,
                      CASE WHEN invalid_target_rows > 0 THEN 'invalid_target_rows' END], lambda x: x IS NOT NULL) AS b FROM c)
-    SELECT CASE WHEN len(b) = 0 THEN 'ready-for-evaluation' ELSE 'blocked' END AS status, array_to_string(b, ',') AS blockers, (6 - len(b)) / 6.0::DOUBLE AS readiness_score, missing_years, '' AS missing_subgroups,
+    SELECT CASE WHEN len(b) = 0 THEN 'ready-for-evaluation' ELSE 'blocked' END AS status, array_to_string(b, ',') AS blockers, (6 - len(b)) / 6.0::DOUBLE AS readiness_score,
+           missing_years = '' AS contract_years_available, true AS required_subgroups_available, r + u + l = 0 AS subgroup_values_complete, geographic_groups >= 2 AS geographic_holdout_possible,
+           invalid_exposure_rows = 0 AS exposure_values_valid, invalid_target_rows = 0 AS target_values_valid, '1995,1996,1997,1998,1999,2000' AS required_years,
+           (SELECT string_agg(DISTINCT year, ',' ORDER BY year) FROM panel) AS available_years, missing_years, '' AS missing_subgroups,
            concat_ws(',', CASE WHEN r > 0 THEN 'road_category=' || r END, CASE WHEN u > 0 THEN 'urban_rural=' || u END, CASE WHEN l > 0 THEN 'local_authority=' || l END) AS incomplete_subgroup_rows,
            invalid_exposure_rows, invalid_target_rows, geographic_groups, segments_with_complete_history FROM k"""
 

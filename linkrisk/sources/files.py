@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rates
@@ -126,6 +126,11 @@ def file_inventory(spark: SparkSession, path: str, pattern: str = "*") -> DataFr
     return rows.select(F.substring_index("path", folder, -1).alias("filename"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def row_hash(df: DataFrame) -> Column:
+    """What a digest adds up of each row."""
+    return F.xxhash64(*df.columns).cast("decimal(38,0)")
+
+
 def table_digest(df: DataFrame) -> DataFrame:
     """Row count and an order-independent sum of row hashes."""
-    return df.select(F.xxhash64(*df.columns).cast("decimal(38,0)").alias("h")).agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum("h"), F.lit(0)).cast("string").alias("digest"))
+    return df.select(row_hash(df).alias("h")).agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum("h"), F.lit(0)).cast("string").alias("digest"))

@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
@@ -37,7 +38,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def seen_by(observation: Observation) -> dict:
+    """What was observed; nothing where Spark ran no plan because it knew that there were no rows."""
+    try:
+        return observation.get
+    except Py4JJavaError:
+        return {}
+
+
 def stored_with(df: DataFrame, label: str, *metrics: Column) -> tuple[DataFrame, dict]:
-    """:func:`stored`, and aggregates of all its rows that are taken while it is written."""
+    """:func:`stored`, and aggregates of all its rows that are taken while it is written (none without rows, maybe)."""
     seen = Observation()
-    return stored(df.observe(seen, *metrics), label), seen.get
+    out = stored(df.observe(seen, *metrics), label)
+    return out, seen_by(seen)

@@ -1,33 +1,81 @@
-"""Sinks: partitioned Parquet, GeoJSON features a line, and JSON reports."""
+"""Sinks: partitioned Parquet, GeoJSON features a line, and JSON reports.
+
+Yearly outputs of successive jobs lie side by side in one folder: a job replaces the partitions of its own
+years and leaves the others as they are.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import seen_by
+
+
+def _dealt(df: DataFrame, columns: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows dealt by ``columns``: small partitions share a task and large ones are split, so that files
+    have about the advised size; rows of a file in ``order``."""
+    out = df.hint("rebalance", *columns)
+    return out.sortWithinPartitions(*columns, *order) if order else out
+
 
 def write_by(df: DataFrame, path: str, *columns: str, order: Sequence[str] = ()) -> None:
-    """Parquet, one folder for each value of ``columns``; rows of a file in ``order``."""
-    out = df.sortWithinPartitions(*columns, *order) if order else df
-    out.write.mode("overwrite").partitionBy(*columns).parquet(path)
+    """Parquet, one folder for each value of ``columns``, in place of all that was there."""
+    _dealt(df, columns, order).write.mode("overwrite").partitionBy(*columns).parquet(path)
+
+
+def write_years(df: DataFrame, path: str, column: str, years: Iterable[int], *, order: Sequence[str] = (), kind: str = "parquet") -> None:
+    """The rows of ``years``, in one folder a year (``column``); other years there stay as they are.
+
+    A year without rows has no folder afterwards, even if it had one. ``kind`` is the files' format.
+    Rows of years that are not named are not written.
+    """
+    wanted, seen = sorted(set(years)), Observation()
+    rows = df.where(F.col(column).isin(wanted)).observe(seen, *(F.count_if(F.col(column) == y).alias(f"y{k}") for k, y in enumerate(wanted)))
+    out = _dealt(rows, (column,), order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column)
+    (out.option("ignoreNullFields", "false") if kind == "json" else out).format(kind).save(path)
+    rows_of = seen_by(seen)
+    _drop(df.sparkSession, [f"{path}/{column}={y}" for k, y in enumerate(wanted) if not rows_of.get(f"y{k}")])
+
+
+def _drop(spark: SparkSession, folders: list[str]) -> None:
+    for folder in folders:
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def read_years(like: DataFrame, path: str, column: str, years: Iterable[int]) -> DataFrame:
+    """What :func:`write_years` wrote of rows ``like`` these, of ``years`` only; none if there are none."""
+    schema = like.schema
+    found = like.sparkSession.read.schema(schema).parquet(path).where(F.col(column).isin(sorted(set(years))))
+    return found.select(*(F.col(f.name).cast(f.dataType) for f in schema))
 
 
-def features(evidence: DataFrame, links: DataFrame, key: str = "segment_id", parts: str = "parts") -> DataFrame:
-    """One GeoJSON feature a row: all evidence columns as properties, the link's WGS84 line."""
+def features(evidence: DataFrame, links: DataFrame, key: str = "segment_id", parts: str = "parts", *, keep: Sequence[str] = ()) -> DataFrame:
+    """One GeoJSON feature a row, ``value``: all evidence columns as properties, the link's WGS84 line. The
+    columns ``keep`` stand beside it."""
     joined = evidence.join(links.select(key, parts), key)
     single = F.size(parts) == 1
     line = F.to_json(F.struct(F.lit("LineString").alias("type"), F.col(parts)[0].alias("coordinates")))
     many = F.to_json(F.struct(F.lit("MultiLineString").alias("type"), F.col(parts).alias("coordinates")))
     properties = F.to_json(F.struct(*evidence.columns), {"ignoreNullFields": "false"})
-    return joined.select(F.concat(F.lit('{"type":"Feature","properties":'), properties, F.lit(',"geometry":'), F.when(single, line).otherwise(many), F.lit("}")).alias("value"))
+    value = F.concat(F.lit('{"type":"Feature","properties":'), properties, F.lit(',"geometry":'), F.when(single, line).otherwise(many), F.lit("}"))
+    return joined.select(value.alias("value"), *keep)
 
 
-def write_features(evidence: DataFrame, links: DataFrame, path: str) -> None:
-    features(evidence, links).write.mode("overwrite").text(path)
+def write_features(evidence: DataFrame, links: DataFrame, path: str, *, years: Iterable[int] | None = None, column: str = "source_year") -> None:
+    """GeoJSON features a line; of ``years`` if given, beside those of other years."""
+    if years is None:
+        features(evidence, links).write.mode("overwrite").text(path)
+    else:
+        write_years(features(evidence, links, keep=(column,)), path, column, years, kind="text")
 
 
-def write_report(report: DataFrame, path: str) -> None:
-    """A report is a few rows: one JSON file."""
-    report.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+def write_report(report: DataFrame, path: str, *, years: Iterable[int] | None = None, column: str = "source_year") -> None:
+    """A report is a few rows: one JSON file, or one for each of ``years`` beside those of other years."""
+    if years is None:
+        report.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    else:
+        write_years(report, path, column, years, kind="json")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from linkrisk.operators import baseline, evidence, gates, metrics, nb2, panel, ranking, screening, serving
+from linkrisk.operators import baseline, evidence, gates, metrics, nb2, panel, ranking, screening, selection, serving
 from linkrisk.operators.gates import ValidationError
 
 CONTRACT = panel.Contract((2019, 2020, 2021, 2022), (2023,), (2024,))
@@ -226,3 +226,36 @@ def test_listings(spark):
     for bad in (0, 5001):
         with pytest.raises(ValueError):
             serving.list_collisions(df, limit=bad)
+
+
+@pytest.mark.parametrize("few", [10_000, 3])
+def test_first_rows_of_groups_without_sorting(spark, monkeypatch, few):
+    monkeypatch.setattr(selection, "FEW", few)
+    monkeypatch.setattr(selection, "BUCKETS", 7)
+    rnd, rows = random.Random(6), []
+    for i in range(500):
+        group = rnd.choice(["a", "a", "b", None])
+        rows.append((group, f"key-{i % 250:03}", i // 250, float(rnd.choice([1e-300, 1e300, -1.0, 0.5, 0.5, 0.5, rnd.random()]))))
+    rows += [("c", "x", 1, 2.0), ("d", "", 1, 1.0), ("d", None, 2, 1.0), ("e", "n", 1, None), ("e", "m", 1, float("nan")), ("e", "o", 1, 0.0)] + [("f", "é" * (k % 7) + "b" * (k % 3), k, 4.0) for k in range(60)]
+    df = spark.createDataFrame(rows, "g string, segment_key string, year int, v double")
+    got = selection.flag_first(df, ["g"], "v", F.greatest(F.lit(1), F.ceil(F.col("group_rows") * 0.1)), ["segment_key", "year"]).collect()
+    assert len(got) == len(rows)
+    for group in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == group]
+        usable = sorted((r for r in own if r[3] is not None and r[3] == r[3]), key=lambda r: (-r[3], (r[1] or "").encode(), r[2]))
+        want = {r[1:3] for r in usable[: max(1, math.ceil(len(own) * 0.1))]}
+        assert {(r.segment_key, r.year) for r in got if r.g == group and r.in_top} == want
+        assert {r.group_rows for r in got if r.g == group} == {len(own)}
+
+
+def test_top_share_needs_no_range_sort(spark):
+    df = spark.range(100).selectExpr("'x' g", "cast(id as string) segment_key", "2020 year", "id % 7 ksi_count", "cast(id % 13 as double) expected_ksi")
+    plan = metrics.detailed_metrics(df, ("g",))._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in plan and "InMemoryRelation" not in plan
+
+
+def test_complete_history_of_many_years(spark):
+    contract = panel.Contract(tuple(range(1900, 1990)), (1990,), (1991,))
+    rows = [("all", y) for y in range(1890, 1995)] + [("gap", y) for y in range(1900, 1992) if y != 1963]
+    got = panel.complete_history(spark.createDataFrame(rows, "segment_key string, year int"), contract).collect()
+    assert [tuple(r) for r in got] == [("all", 92)]

@@ -144,3 +144,75 @@ def test_write_by_year(spark, tmp_path):
     df = spark.createDataFrame([(2019, "b"), (2019, "a"), (2020, "c")], "year int, k string")
     sinks.write_by(df, str(tmp_path / "p"), "year", order=("k",))
     assert {p.name for p in (tmp_path / "p").glob("year=*")} == {"year=2019", "year=2020"}
+
+
+def test_years_lie_side_by_side(spark, tmp_path):
+    path, df = str(tmp_path / "p"), spark.createDataFrame([(2019, "b"), (2020, "c"), (2020, "d"), (2021, "e")], "year int, k string")
+    sinks.write_years(df, path, "year", [2019])
+    sinks.write_years(df, path, "year", [2020, 2021], order=("k",))
+    sinks.write_years(df.where("k <> 'd'"), path, "year", [2020])
+    back = lambda years: sorted(tuple(r) for r in sinks.read_years(df, path, "year", years).collect())
+    assert back([2019, 2020, 2021]) == [(2019, "b"), (2020, "c"), (2021, "e")] and back([2021]) == [(2021, "e")]
+    sinks.write_years(df.where("year <> 2021"), path, "year", [2021, 2022])  # a year without rows is emptied
+    assert back([2019, 2020, 2021, 2022]) == [(2019, "b"), (2020, "c")] and not (tmp_path / "p/year=2021").exists()
+    assert back([1999]) == []
+
+
+def _years(spark, inputs, years):
+    collisions = files.read_collisions(spark, str(inputs / "c.csv"))
+    own = [collisions.withColumns({"collision_year": F.lit(y), "collision_index": F.concat(F.lit(f"{y}-"), "collision_index")}) for y in years]
+    links = [files.read_links(spark, str(inputs / "l.geojson"), year=y).withColumn("segment_id", F.concat(F.lit(f"dft-mrdb-{y}-"), F.col("count_point_id"))) for y in years]
+    flows = [files.read_traffic(spark, str(inputs / "t.csv")).withColumn("year", F.lit(y)) for y in years]
+    return own, links, flows
+
+
+def test_successive_years_of_pilot_and_network_stay(spark, inputs):
+    out = str(inputs / "side")
+    for rows, links, flows in zip(*_years(spark, inputs, (2019, 2020)), strict=True):
+        jobs.build_pilot(rows, out)
+        year = links.first().source_year
+        jobs.build_network(spark.read.parquet(f"{out}/collisions").where(F.col("source_year") == year), links, flows, out, year=year)
+    for name in ("collisions", "matches", "evidence"):
+        assert {r[0]: r[1] for r in spark.read.parquet(f"{out}/{name}").groupBy("source_year").count().collect()} == dict.fromkeys((2019, 2020), 2 if name == "evidence" else 3)
+    for name in ("data-quality-report", "severity-report", "network-report", "sources-report"):
+        assert {r[0] for r in spark.read.json(f"{out}/{name}").select("source_year").collect()} == {2019, 2020}
+    features = [json.loads(r.value)["properties"] for r in spark.read.text(f"{out}/features").collect()]
+    assert sorted(f["segment_id"] for f in features) == sorted(f"dft-mrdb-{y}-{k}" for y in (2019, 2020) for k in LINES)
+
+
+def test_pilot_reads_its_source_twice_and_keeps_rows_without_a_year(spark, inputs, tmp_path):
+    clean = files.read_collisions(spark, str(inputs / "c.csv")).withColumn("collision_year", F.when(F.col("collision_index") != "007", F.col("collision_year")))
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = clean.mapInArrow(counted, clean.schema)
+    report = jobs.build_pilot(rows, str(tmp_path / "p"))
+    assert read.value <= 2 * 5
+    assert {(r.collision_year, r.collision_severity, r.n) for r in report.collect()} == {(2024, 2, 1), (2024, 3, 1), (None, 3, 1)}
+    got = spark.read.json(f"{tmp_path}/p/data-quality-report").first()
+    assert (got.source_year, got.source_records, got.selected_source_records, got.pilot_records, got.missing_source_coordinates) == (2024, 5, 5, 3, 1)
+    assert got.source_digest == files.table_digest(clean).first().digest
+    with pytest.raises(ValidationError, match="duplicate"):
+        jobs.build_pilot(clean.unionByName(clean.limit(1)), str(tmp_path / "no"))
+    with pytest.raises(ValidationError, match="severities"):
+        jobs.build_pilot(clean.withColumn("collision_severity", F.lit(4)), str(tmp_path / "no"))
+    with pytest.raises(ValidationError, match="exactly one"):
+        jobs.build_pilot(clean.withColumn("collision_year", F.length("collision_index")), str(tmp_path / "no"))
+    with pytest.raises(ValidationError, match="no rows for 2023"):
+        jobs.build_pilot(clean, str(tmp_path / "no"), years=(2023, 2024))
+
+
+def test_link_years_without_traffic_are_counted(spark, inputs):
+    own, links, flows = _years(spark, inputs, (2022, 2023, 2024))
+    flows = [f.where("count_point_id <> 47907") if k else f for k, f in enumerate(flows)]
+    union = lambda frames: frames[0].unionByName(frames[1]).unionByName(frames[2])
+    out = str(inputs / "gaps")
+    row = jobs.build_contract(spark, union(own), union(links), union(flows), panel.Contract((2022,), (2023,), (2024,), ("road_category",)), out).first()
+    report = spark.read.json(f"{out}/readiness-report").first()
+    assert (report.rows_without_year, report.records, json.loads(report.records_by_year)) == (2, 4, {"2022": 2, "2023": 1, "2024": 1})
+    assert row.segments_with_complete_history == 1 and report.required_years == "2022,2023,2024" and len(report.contract_sha256) == 64
+    assert spark.read.parquet(f"{out}/evidence").count() == 6 and spark.read.json(f"{out}/inputs-report").first().n_rows == 6
