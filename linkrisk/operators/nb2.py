@@ -2,19 +2,25 @@
 
 Features are categories, so rows with the same categories share a design vector. Each iteration is
 one aggregate: per combination of categories the weights and scores, added up by level and by pair
-of levels, and for the dispersion sums of closed terms. The driver solves a p x p system.
+of levels, and for the dispersion sums of closed terms. The driver solves a p x p system up to DENSE
+terms. Wider models are fit without any matrix: the combinations of an iteration are stored, conjugate gradients
+take products with the information as aggregates of them, and coefficients are joined as a table by
+level. The driver then holds vectors as long as the model has terms.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.naming import unused
+from ..sources.shared import stored, stored_with
 from .baseline import predict_from, training_rate
 from .gates import ValidationError, not_finite, require_model_rows, require_none
 from .metrics import detailed_metrics
@@ -23,7 +29,10 @@ from .panel import Contract, labelled
 FEATURES = ("road_category", "road_type", "urban_rural", "estimation_method")
 MISSING = "__missing__"
 MAX_ITERATIONS = 200
-MAX_LEVELS = 1_000
+#: Terms up to which the driver gets sums by pairs of levels and predictions are one expression.
+DENSE = 1_000
+#: Of conjugate gradients: where a step is exact enough, and products at most.
+CLOSE, MAX_PRODUCTS = 1e-9, 500
 #: Counts up to which the sums of the dispersion are added term by term.
 SUMMED = 1_000
 
@@ -61,13 +70,8 @@ def feature_levels(rows: DataFrame, columns: Sequence[str] = FEATURES) -> DataFr
 
 
 def feature_specs(rows: DataFrame, columns: Sequence[str] = FEATURES) -> tuple[Spec, ...]:
-    """Features with more than one level, in the order of ``columns``. The driver solves a system as
-    wide as there are levels, so more than MAX_LEVELS of a feature are an error."""
-    found = feature_levels(rows, columns)
-    wide = found.where(F.size("levels") > MAX_LEVELS).select("feature").first()
-    if wide is not None:
-        raise ValidationError(f"{wide[0]} has more than {MAX_LEVELS} levels")
-    levels = {r["feature"]: tuple(r["levels"]) for r in found.collect()}
+    """Features with more than one level, in the order of ``columns``; the driver holds the levels."""
+    levels = {r["feature"]: tuple(r["levels"]) for r in feature_levels(rows, columns).collect()}
     return tuple(Spec(c, levels[c]) for c in columns if len(levels.get(c, ())) > 1)
 
 
@@ -89,6 +93,61 @@ def mean_of(model: Model, exposure: Column) -> Column:
     return exposure * F.exp(linear_predictor(model.specs, model.beta))
 
 
+def with_mean(rows: DataFrame, model: Model, exposure: str, name: str) -> DataFrame:
+    """``rows`` with the mean by the model; the coefficients of a wide one are joined by level."""
+    if len(model.beta) <= DENSE:
+        return rows.withColumn(name, mean_of(model, F.col(exposure)))
+    eta, at, added = F.lit(float(model.beta[0])), 1, []
+    for s in model.specs:
+        n = len(s.levels) - 1
+        level, b = unused(rows, "_level", "_b")
+        table = rows.sparkSession.createDataFrame(pa.table({level: list(s.levels[1:]), b: list(map(float, model.beta[at : at + n]))}))
+        rows, eta, at = rows.join(table, _level(s.column) == F.col(level), "left").drop(level), eta + F.coalesce(b, F.lit(0.0)), at + n
+        added.append(b)
+    return rows.withColumn(name, F.col(exposure) * F.exp(eta)).drop(*added)
+
+
+def _joined(rows: DataFrame, keys: Sequence[str], values: np.ndarray) -> tuple[DataFrame, Column]:
+    """``rows`` with what ``values`` has at the places ``keys`` (0: nothing), and its sum with ``values[0]``."""
+    out = F.lit(float(values[0]))
+    for c in keys:
+        table = rows.sparkSession.createDataFrame(pa.table({f"_p{c}": np.arange(1, len(values)), f"_v{c}": np.asarray(values[1:], dtype=float)}))
+        rows, out = rows.join(table, F.col(c) == F.col(f"_p{c}"), "left").drop(f"_p{c}"), out + F.coalesce(f"_v{c}", F.lit(0.0))
+    return rows, out
+
+
+def _by_place(rows: DataFrame, keys: Sequence[str], width: int, *names: str) -> list[np.ndarray]:
+    """Sums of the columns ``names`` by the places of the intercept (all rows) and of each level."""
+    places = [F.lit(0).cast("long"), *(F.when(F.col(c) > 0, F.col(c)) for c in keys)]
+    each = rows.select(F.inline(F.array(*(F.struct(p.alias("_place"), *names) for p in places)))).where("_place is not null")
+    found = each.groupBy("_place").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
+    out = []
+    for n in names:
+        x = np.zeros(width)
+        x[np.asarray(found["_place"])] = np.asarray(found[n])
+        out.append(x)
+    return out
+
+
+def conjugate_gradients(product: Callable[[np.ndarray], np.ndarray], right: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+    """The x whose ``product`` is ``right``, for a positive product whose ``diagonal`` scales it."""
+    scale = np.where(diagonal > 0, diagonal, 1.0)
+    x, left = np.zeros_like(right), right.copy()
+    near = left / scale
+    way, size = near.copy(), float(left @ near)
+    first = size
+    for _ in range(MAX_PRODUCTS):
+        if size <= CLOSE**2 * first or size == 0:
+            break
+        pushed = product(way)
+        length = size / float(way @ pushed)
+        x, left = x + length * way, left - length * pushed
+        near = left / scale
+        size, before = float(left @ near), size
+        way = near + size / before * way
+    return x
+
+
 def digamma(x: Column) -> Column:
     """By its asymptotic series, ten steps up."""
     z = x + 10
@@ -114,10 +173,18 @@ def rising(y: Column, t: float) -> tuple[Column, Column]:
 def fit(rows: DataFrame, specs: Sequence[Spec], *, target: str = "ksi_count", exposure: str = "annual_vehicle_km", tolerance: float = 1e-8) -> Model:
     """Maximum likelihood of beta and alpha; alpha is 0 where the data are not over-dispersed.
 
-    The driver gets the sums of the score by level and of the information by pairs of levels, as many
-    as the model has terms squared, whatever the rows or combinations of levels."""
+    The driver gets the sums of the score by level and, up to DENSE terms, of the information by pairs
+    of levels, whatever the rows or combinations of levels. Wider models: ``conjugate_gradients``."""
     keys = [f"f{i}" for i in range(len(specs))]
+    width = 1 + sum(len(s.levels) - 1 for s in specs)
     data = rows.select(*(_level(s.column).alias(k) for s, k in zip(specs, keys, strict=True)), F.col(target).cast("double").alias("y"), F.col(exposure).cast("double").alias("e"))
+    if width > DENSE:  # levels become their places in the design, 0 for the first
+        at = 1
+        for s, k in zip(specs, keys, strict=True):
+            table = rows.sparkSession.createDataFrame(pa.table({"_level": list(s.levels[1:]), "_place": np.arange(at, at + len(s.levels) - 1)}))
+            data = data.join(table, F.col(k) == F.col("_level"), "left").withColumn(k, F.coalesce("_place", F.lit(0).cast("long"))).drop("_level", "_place")
+            at += len(s.levels) - 1
+        data = stored(data, "design")
     data = data.persist()
     counts = data.groupBy("y").agg(F.count(F.lit(1)).alias("n")).persist()
     try:
@@ -128,24 +195,33 @@ def fit(rows: DataFrame, specs: Sequence[Spec], *, target: str = "ksi_count", ex
             tail = np.zeros(int(top))
             for r in counts.collect():
                 tail[: int(r["y"])] += r["n"]
-        width = 1 + sum(len(s.levels) - 1 for s in specs)
         local = [Spec(k, s.levels) for s, k in zip(specs, keys, strict=True)]
         # the places of a row's terms in the design: the intercept, and one for each level but the first
         places, at = [F.lit(0)], 1
-        for s in local:
+        for s in local if width <= DENSE else ():
             levels = F.array_position(F.array(*map(F.lit, s.levels)), F.col(s.column)).cast("int")
             places.append(F.when(levels > 1, levels - 2 + at))
             at += len(s.levels) - 1
         terms = F.array_compact(F.array(*places))
 
-        def sums(beta: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray, dict[str, float]]:
-            mu = F.col("e") * F.exp(linear_predictor(local, beta))
-            cols = data.withColumn("mu", mu).withColumn("w", 1 + alpha * F.col("mu"))
+        def sums(beta: np.ndarray, alpha: float) -> tuple[np.ndarray, Callable[[], np.ndarray], dict[str, float]]:
+            """The gradient, what solves for the step, and the sums that the dispersion needs."""
+            cols, eta = (data, linear_predictor(local, beta)) if width <= DENSE else _joined(data, keys, beta)
+            cols = cols.withColumn("mu", F.col("e") * F.exp(eta)).withColumn("w", 1 + alpha * F.col("mu"))
             more = {"s": F.sum((F.col("y") - F.col("mu")) ** 2 - F.col("y")) / 2, "m2": F.sum(F.col("mu") ** 2)}
             if alpha > 0:
                 t = 1 / alpha
                 more |= {"a": F.sum(F.log(t + F.col("mu")) + (F.col("y") + t) / (t + F.col("mu"))), "b": F.sum(2 / (t + F.col("mu")) - (F.col("y") + t) / (t + F.col("mu")) ** 2)}
             combos = cols.groupBy(*keys).agg(F.sum((F.col("y") - F.col("mu")) / F.col("w")).alias("g"), F.sum(F.col("mu") / F.col("w")).alias("h"), *(v.alias(k) for k, v in more.items()))
+            if width > DENSE:
+                combos, total = stored_with(combos, "combinations", *(F.sum(k).alias(k) for k in more))
+                gradient, diagonal = _by_place(combos, keys, width, "g", "h")
+
+                def product(v: np.ndarray) -> np.ndarray:
+                    met, along = _joined(combos.select(*keys, "h"), keys, v)
+                    return _by_place(met.withColumn("hv", F.col("h") * along), keys, width, "hv")[0]
+
+                return gradient, lambda: conjugate_gradients(product, gradient, diagonal), total
             pairs = combos.withColumn("i", F.explode(terms)).withColumn("j", F.explode(terms)).where("i <= j")
             found = pairs.groupBy("i", "j").agg(F.sum(F.when(F.col("i") == F.col("j"), F.col("g"))).alias("g"), F.sum("h").alias("h"), *(F.sum(F.when(F.col("j") == 0, F.col(k))).alias(k) for k in more)).collect()
             gradient, fisher, total = np.zeros(width), np.zeros((width, width)), {}
@@ -156,13 +232,13 @@ def fit(rows: DataFrame, specs: Sequence[Spec], *, target: str = "ksi_count", ex
                     gradient[i] = r["g"]
                 if j == 0:
                     total = {k: r[k] for k in more}
-            return gradient, fisher, total
+            return gradient, lambda: np.linalg.lstsq(fisher, gradient, rcond=None)[0], total
 
         beta = np.zeros(width)
         beta[0] = math.log(max(events, 0.5) / whole)
         alpha = 0.0
         for k in range(1, MAX_ITERATIONS + 1):
-            gradient, fisher, more = sums(beta, alpha)
+            gradient, solve, more = sums(beta, alpha)
             drift = 0.0
             if alpha > 0:
                 t = 1 / alpha
@@ -181,7 +257,7 @@ def fit(rows: DataFrame, specs: Sequence[Spec], *, target: str = "ksi_count", ex
                     return Model(tuple(specs), tuple(beta.tolist()), alpha, k)
                 alpha = 2 * more["s"] / more["m2"]  # the Poisson fit stands; go on with dispersion
                 continue
-            step = np.linalg.lstsq(fisher, gradient, rcond=None)[0]
+            step = solve()
             beta = beta + step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-300))
             if alpha > 0:
                 move = max(-1.0, min(1.0, -u / v)) if v < 0 else math.copysign(0.5, u)
@@ -194,17 +270,26 @@ def fit(rows: DataFrame, specs: Sequence[Spec], *, target: str = "ksi_count", ex
 
 def score(model: Model, rows: DataFrame, *, target: str = "ksi_count", exposure: str = "annual_vehicle_km") -> DataFrame:
     """term and score: the derivative of the log likelihood by each coefficient, over the rows' number;
-    zero at a maximum."""
-    mu = mean_of(model, F.col(exposure).cast("double"))
-    left = (F.col(target) - mu) / (1 + model.alpha * mu)
-    parts = [F.avg(left).alias("intercept")] + [F.avg(F.when(_level(s.column) == v, left).otherwise(0.0)).alias(f"{s.column}={v}") for s in model.specs for v in s.levels[1:]]
-    one = rows.agg(*parts)
-    return one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("term"), F.col(f"`{c}`").alias("score")) for c in one.columns))).alias("p")).select("p.*")
+    zero at a maximum. Of alpha, where it is above 0, the derivative by its logarithm."""
+    rows = with_mean(rows, model, exposure, "_mu")
+    mu, y = F.col("_mu"), F.col(target).cast("double")
+    rows = rows.withColumn("_left", (y - mu) / (1 + model.alpha * mu))
+    parts = [F.struct(F.lit("intercept").alias("term"), F.col("_left").alias("_s"))]
+    parts += [F.struct(F.concat(F.lit(f"{s.column}="), _level(s.column)).alias("term"), F.col("_left").alias("_s")) for s in model.specs]
+    if model.alpha > 0:
+        # of the dispersion, through its logarithm: with t = 1 / alpha
+        t = 1 / model.alpha
+        up = rising(y, t)[0] + math.log(t) + 1 - F.log(t + mu) - (y + t) / (t + mu)
+        parts.append(F.struct(F.lit("alpha").alias("term"), (-t * up).alias("_s")))
+    terms = rows.sparkSession.createDataFrame(pa.table({"term": [*model.names, "alpha"][: len(model.names) + (model.alpha > 0)]}))
+    found = rows.select(F.inline(F.array(*parts))).groupBy("term").agg(F.sum("_s").alias("_s"))
+    n = rows.agg(F.count(F.lit(1)).alias("_n"))
+    return terms.join(found, "term", "left").join(n).select("term", (F.coalesce("_s", F.lit(0.0)) / F.col("_n")).alias("score"))
 
 
 def predict(model: Model, rows: DataFrame, *, exposure: str = "annual_vehicle_km") -> DataFrame:
     """``rows`` with expected_ksi, its standard deviation and 95 % band (the lower end at least 0)."""
-    out = rows.withColumn("expected_ksi", mean_of(model, F.col(exposure)))
+    out = with_mean(rows, model, exposure, "expected_ksi")
     out = out.withColumn("expected_ksi_std", F.sqrt(F.col("expected_ksi") + model.alpha * F.col("expected_ksi") ** 2))
     return out.withColumns({
         "expected_ksi_lower_95": F.greatest(F.lit(0.0), F.col("expected_ksi") - 1.96 * F.col("expected_ksi_std")),

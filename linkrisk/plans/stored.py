@@ -313,7 +313,7 @@ def nb2_fixed_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(nb2.predict(FIXED, view(spark, sf_dir, "panel").where("year in (1999, 2000)")), *names).select("segment_key", "year", *names)
 
 
-@query("""SELECT 'intercept' AS term, 0.0::DOUBLE AS score UNION ALL
+@query("""SELECT 'intercept' AS term, 0.0::DOUBLE AS score UNION ALL SELECT 'alpha', 0.0 UNION ALL
           SELECT feature || '=' || v, 0.0 FROM (SELECT DISTINCT feature, v, min(v) OVER (PARTITION BY feature) AS low FROM (
             SELECT 'road_category' AS feature, road_category AS v FROM panel WHERE year BETWEEN 1995 AND 1998 UNION ALL SELECT 'road_type', road_type FROM panel WHERE year BETWEEN 1995 AND 1998
             UNION ALL SELECT 'urban_rural', coalesce(urban_rural, '__missing__') FROM panel WHERE year BETWEEN 1995 AND 1998 UNION ALL SELECT 'estimation_method', estimation_method FROM panel WHERE year BETWEEN 1995 AND 1998))

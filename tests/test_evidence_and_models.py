@@ -259,3 +259,45 @@ def test_complete_history_of_many_years(spark):
     rows = [("all", y) for y in range(1890, 1995)] + [("gap", y) for y in range(1900, 1992) if y != 1963]
     got = panel.complete_history(spark.createDataFrame(rows, "segment_key string, year int"), contract).collect()
     assert [tuple(r) for r in got] == [("all", 92)]
+
+
+def wide_rows(n, levels, seed):
+    rng = np.random.default_rng(seed)
+    a, b = rng.integers(0, levels, n), rng.integers(0, 3, n)
+    effect = np.random.default_rng(1).normal(0, 0.5, levels)
+    e = rng.uniform(1e5, 1e6, n)
+    mu = e * np.exp(-12 + effect[a] + 0.3 * b)
+    y = rng.poisson(mu * rng.gamma(2.0, 0.5, n))
+    return [(f"c{i:05}", f"t{j}", float(x), int(k)) for i, j, x, k in zip(a, b, e, y, strict=True)]
+
+
+def test_wide_models_need_no_matrix_and_fit_alike(spark, monkeypatch):
+    df = spark.createDataFrame(wide_rows(3000, 12, 3), "road_category string, road_type string, annual_vehicle_km double, ksi_count long").repartition(3)
+    specs = nb2.feature_specs(df)
+    plain = nb2.fit(df, specs)
+    expected = {(r.road_category, r.road_type, r.annual_vehicle_km): r.expected_ksi for r in nb2.predict(plain, df).collect()}
+    monkeypatch.setattr(nb2, "DENSE", 5)
+    wide = nb2.fit(df, specs)
+    assert plain.alpha > 0.1 and np.allclose(wide.beta, plain.beta, atol=1e-5) and abs(wide.alpha - plain.alpha) < 1e-5
+    clash = df.withColumns({"_b": F.lit(1), "_level": F.lit("x")})
+    got = nb2.predict(wide, clash)
+    assert got.columns == [*clash.columns, "expected_ksi", "expected_ksi_std", "expected_ksi_lower_95", "expected_ksi_upper_95"]
+    assert all(abs(r.expected_ksi - expected[r.road_category, r.road_type, r.annual_vehicle_km]) < 1e-4 * (1 + r.expected_ksi) for r in got.collect())
+    assert max(abs(r.score) for r in nb2.score(wide, df).collect()) < 1e-6
+    unseen = spark.createDataFrame([("other", "t0", 1e6)], "road_category string, road_type string, annual_vehicle_km double")
+    assert nb2.predict(wide, unseen).first().expected_ksi == pytest.approx(1e6 * math.exp(wide.beta[0]))
+
+
+def test_thousands_of_levels(spark):
+    df = spark.createDataFrame(wide_rows(12_000, 3000, 4), "road_category string, road_type string, annual_vehicle_km double, ksi_count long")
+    model = nb2.fit(df, nb2.feature_specs(df), tolerance=1e-6)
+    assert len(model.beta) > 2900
+    scores = {r.term: r.score for r in nb2.score(model, df).collect()}
+    assert len(scores) == len(model.beta) + 1 and max(map(abs, scores.values())) < 1e-4
+
+
+def test_conjugate_gradients_solve():
+    rng = np.random.default_rng(2)
+    m = rng.normal(size=(40, 30))
+    matrix, right = m.T @ m + np.eye(30), rng.normal(size=30)
+    assert np.allclose(nb2.conjugate_gradients(lambda v: matrix @ v, right, np.diag(matrix)), np.linalg.solve(matrix, right), atol=1e-7)
