@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +94,25 @@ def geojson_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.vertices_to_pieces(found, "parts", "segment_id", "count_point_id", "road_number", "source_year").drop("part", "seq")
 
 
+def _wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The features of a task as one collection."""
+    yield pa.RecordBatch.from_pydict({"value": ['{"type": "FeatureCollection", "name": "a \\"[{ name", "features": [']})
+    before = ""
+    for batch in batches:
+        yield pa.RecordBatch.from_pydict({"value": [(before if k == 0 else ",") + x for k, x in enumerate(batch.column("value").to_pylist())]})
+        before = "," if batch.num_rows else before
+    yield pa.RecordBatch.from_pydict({"value": ["]}"]})
+
+
+@query("SELECT segment_id, count_point_id, road_number, cast(1996 AS int) AS source_year, x1 AS a1, y1 AS b1, x2 AS a2, y2 AS b2 FROM link", "link")
+def geojson_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of four collections, each read by several tasks."""
+    rows, path = view(spark, sf_dir, "link").withColumn("parts", _line(*map(F.col, ("x1", "y1", "x2", "y2")))), scratch(spark, "links")
+    sinks.features(rows.select("segment_id", "count_point_id", "road_number", F.lit(1990).alias("source_year")), rows).repartition(4).mapInArrow(_wrapped, "value string").write.text(path)
+    found = files.read_links(spark, path, year=1996, range_bytes=1 << 14)
+    return files.vertices_to_pieces(found, "parts", "segment_id", "count_point_id", "road_number", "source_year").drop("part", "seq")
+
+
 @query("""SELECT p.segment_id, p.collision_count, round(p.annual_vehicle_km, 3) AS annual_vehicle_km, 'LineString' AS kind, x2 AS last_x
           FROM panel p JOIN link USING (count_point_id) WHERE p.year = 1996""", "panel", "link")
 def geojson_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,6 +154,18 @@ def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(report.schema).json(path)
 
 
+@query("""SELECT 'n_nationkey=' || n_nationkey AS folder, strlen(n_name) + 1 AS bytes, sha256(n_name || chr(10)) AS sha256 FROM nation
+          UNION ALL SELECT 'all', (SELECT sum(strlen(o_orderpriority) + 1) FROM orders), (SELECT sha256(string_agg(o_orderpriority || chr(10), '' ORDER BY o_orderkey)) FROM orders)""")
+def file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small files as values and a large one by pieces."""
+    path = scratch(spark, "digests")
+    spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name").repartition("n_nationkey").write.partitionBy("n_nationkey").text(path)
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderpriority")
+    orders.coalesce(1).sortWithinPartitions("o_orderkey").select("o_orderpriority").write.text(f"{path}/all")  # one file is what is asked for
+    found = files.file_inventory(spark, path, "part-*", whole=1000)
+    return found.select(F.substring_index("filename", "/", 1).alias("folder"), "bytes", "sha256")
+
+
 @query("""SELECT sha256(r_name || chr(10)) AS sha256, strlen(r_name) + 1 AS bytes, CASE WHEN strlen(r_name) % 2 = 1 THEN 'changed' ELSE 'ok' END AS status FROM region
           UNION ALL SELECT NULL, NULL, 'missing'""")
 def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import rates
 from ..operators.gates import require_columns
+from . import ranges
+
+#: Bytes up to which a file may be one value.
+WHOLE = 64 << 20
 
 COLLISION_TYPES: Mapping[str, str] = {
     "collision_index": "string", "collision_year": "int", "longitude": "double", "latitude": "double", "collision_severity": "int",
@@ -70,17 +74,21 @@ def read_urban_rural(spark: SparkSession, paths: str | list[str], *, year: int |
     return out.where(F.col("year") == year) if year is not None else out
 
 
-def _features(spark: SparkSession, path: str, feature: str, lines: bool) -> DataFrame:
-    """Features of one collection, or one feature a line, which splits over many tasks."""
+def _features(spark: SparkSession, path: str, feature: str, lines: bool, range_bytes: int) -> DataFrame:
+    """Features of collections, or one feature a line, which splits over many tasks. A collection of more
+    than ``range_bytes`` is read by such ranges, a smaller one by one task."""
     if lines:
         return spark.read.schema(feature).json(path)
-    rows = spark.read.option("multiLine", True).schema(f"features array<struct<{feature.replace(' ', ':', 1).replace(', geometry ', ',geometry:')}>>").json(path)
-    return rows.select(F.explode("features").alias("f")).select("f.*")
+    if ranges.files_of(spark, path).where(F.col("length") > range_bytes).isEmpty():
+        rows = spark.read.option("multiLine", True).schema(f"features array<struct<{feature.replace(' ', ':', 1).replace(', geometry ', ',geometry:')}>>").json(path)
+        return rows.select(F.explode("features").alias("f")).select("f.*")
+    rows = ranges.collection_features(spark, path, size=range_bytes)
+    return rows.where(F.get_json_object("value", "$.type") == "Feature").select(F.from_json("value", feature).alias("f")).select("f.*")
 
 
-def read_links(spark: SparkSession, path: str, *, year: int | None = None, lines: bool = False) -> DataFrame:
+def read_links(spark: SparkSession, path: str, *, year: int | None = None, lines: bool = False, range_bytes: int = ranges.RANGE) -> DataFrame:
     """Links with ``parts``, an array of arrays of (lon, lat) vertices: LineString and MultiLineString."""
-    rows = _features(spark, path, LINK_SCHEMA, lines)
+    rows = _features(spark, path, LINK_SCHEMA, lines, range_bytes)
     single = F.from_json("geometry.coordinates", "array<array<double>>")
     multi = F.from_json("geometry.coordinates", "array<array<array<double>>>")
     parts = F.when(F.col("geometry.type") == "MultiLineString", multi).otherwise(F.array(single))
@@ -88,9 +96,9 @@ def read_links(spark: SparkSession, path: str, *, year: int | None = None, lines
     return out.withColumn("source_year", F.lit(year)) if year is not None else out
 
 
-def read_areas(spark: SparkSession, path: str, code: str = "OA11CD", *, lines: bool = False) -> DataFrame:
+def read_areas(spark: SparkSession, path: str, code: str = "OA11CD", *, lines: bool = False, range_bytes: int = ranges.RANGE) -> DataFrame:
     """Areas with ``rings``: area_id and arrays of (lon, lat) vertices of Polygon and MultiPolygon."""
-    rows = _features(spark, path, f"properties struct<{code}:string>, geometry struct<type:string,coordinates:string>", lines)
+    rows = _features(spark, path, f"properties struct<{code}:string>, geometry struct<type:string,coordinates:string>", lines, range_bytes)
     single = F.from_json("geometry.coordinates", "array<array<array<double>>>")
     multi = F.flatten(F.from_json("geometry.coordinates", "array<array<array<array<double>>>>"))
     return rows.select(F.col(f"properties.{code}").alias("area_id"), F.when(F.col("geometry.type") == "MultiPolygon", multi).otherwise(single).alias("rings"))
@@ -119,11 +127,16 @@ def read_years(spark: SparkSession, template: str, years: Iterable[int], *, hist
     return out.where(F.col("collision_year").isin(wanted))
 
 
-def file_inventory(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """filename (from the folder ``path`` on), bytes and SHA-256 of every file below it, many files at a time."""
+def file_inventory(spark: SparkSession, path: str, pattern: str = "*", *, whole: int = WHOLE) -> DataFrame:
+    """filename (from the folder ``path`` on), bytes and SHA-256 of every file below it, many files at a time.
+
+    Files of up to ``whole`` bytes are values of a row; larger ones are read through in pieces, each in one task.
+    Empty files have no row, as Spark lists none."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+    small = rows.where(F.col("length") <= whole).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    large = ranges.streamed_digests(ranges.files_of(spark, path, pattern).where(F.col("length") > whole))
     folder = path.split(":", 1)[-1].strip("/") + "/"
-    return rows.select(F.substring_index("path", folder, -1).alias("filename"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return small.unionByName(large).select(F.substring_index("path", folder, -1).alias("filename"), F.col("length").alias("bytes"), "sha256")
 
 
 def row_hash(df: DataFrame) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from linkrisk.operators import panel
 from linkrisk.operators.gates import ValidationError
 from linkrisk.plans import jobs
-from linkrisk.sources import files, sinks
+from linkrisk.sources import files, ranges, sinks
 
 HEADER = "collision_index,collision_year,longitude,latitude,collision_severity,number_of_vehicles,number_of_casualties,date,time,speed_limit,local_authority_highway_current,extra"
 COLLISIONS = """2024131435296,2024,-1.73085,53.80833,3,1,1,24/04/2024,15:00,30,E08000032,x
@@ -216,3 +216,33 @@ def test_link_years_without_traffic_are_counted(spark, inputs):
     assert (report.rows_without_year, report.records, json.loads(report.records_by_year)) == (2, 4, {"2022": 2, "2023": 1, "2024": 1})
     assert row.segments_with_complete_history == 1 and report.required_years == "2022,2023,2024" and len(report.contract_sha256) == 64
     assert spark.read.parquet(f"{out}/evidence").count() == 6 and spark.read.json(f"{out}/inputs-report").first().n_rows == 6
+
+
+def test_one_collection_is_read_by_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ranges, "CHUNK", 37)
+    names = ["plain", 'a "quoted" one', "back\\\\slash\\", "brackets ]}{[", "é日本", "", "\\" * 9 + '"']
+    features = [{"type": "Feature", "properties": {"segment_id": f"{k}-{names[k % 7]}", "count_point_id": k, "road_number": "A1", "source_year": 2024, "more": {"type": "x", "deep": [{"a": [1]}]}}, "geometry": {"type": "LineString", "coordinates": [[k, 1.5], [k, 2.5]]}} for k in range(60)]
+    whole = {"name": "{[\\\"", "crs": {"type": "name", "properties": {"name": "x"}}, "other": [{"type": "no feature"}], "features": features, "after": [1, {"a": "b"}]}
+    for indent in (None, 1):
+        text = json.dumps(whole, indent=indent, ensure_ascii=indent is None)
+        (tmp_path / f"c{indent}.geojson").write_text(text)
+        want = sorted(files.read_links(spark, str(tmp_path / f"c{indent}.geojson")).collect())
+        assert len(want) == 60
+        for size in (1, 50, 333, 100_000) if indent is None else (211,):
+            if size == 1:  # every state at the beginning of a range
+                path, out = str(tmp_path / f"c{indent}.geojson"), []
+                state = (False, 0)
+                for at in range(len(text.encode())):
+                    out += ranges._features(path, at, at + 1, *state)
+                    odd, outside, inside = ranges._summary(path, at, at + 1)
+                    state = (state[0] ^ odd, state[1] + (inside if state[0] else outside))
+                assert state == (False, 0) and [json.loads(x) for x in out if json.loads(x).get("type") == "Feature"] == features
+                continue
+            assert sorted(files.read_links(spark, str(tmp_path / f"c{indent}.geojson"), range_bytes=size).collect()) == want
+
+
+def test_large_files_are_digested_in_pieces(spark, tmp_path, monkeypatch):
+    (tmp_path / "large.bin").write_bytes(bytes(range(256)) * 20_000)
+    (tmp_path / "small.bin").write_bytes(b"x")
+    got = {r.filename: (r.bytes, r.sha256) for r in files.file_inventory(spark, str(tmp_path), "*.bin", whole=1000).collect()}
+    assert got == {p.name: (p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in tmp_path.glob("*.bin")}
