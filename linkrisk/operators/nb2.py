@@ -23,7 +23,7 @@ from ..functions.naming import unused
 from ..sources.shared import stored, stored_with
 from .baseline import predict_from, training_rate
 from .gates import ValidationError, not_finite, require_model_rows, require_none
-from .metrics import detailed_metrics
+from .metrics import detailed_metrics, error_metrics
 from .panel import Contract, labelled
 
 FEATURES = ("road_category", "road_type", "urban_rural", "estimation_method")
@@ -311,20 +311,27 @@ def unseen_authorities(panel: DataFrame, contract: Contract) -> DataFrame:
     return scored.join(other, "local_authority_code", "left_anti").select("evaluation_split", "local_authority_code")
 
 
-def authority_holdout(training: DataFrame) -> DataFrame | None:
-    """Metrics of a model and a baseline fit without the last authority, on that authority: model,
-    held_out_authority, training_rows, n_rows and the metrics. None without two authorities."""
+def holdout_unavailable(training: DataFrame) -> str | None:
+    """Why no authority can be held out, or None if one can."""
     if "local_authority_code" not in training.columns:
+        return "missing_local_authority_code"
+    n = training.agg(F.countDistinct(F.col("local_authority_code").cast("string"))).first()[0]
+    return "fewer_than_two_training_authorities" if n < 2 else None
+
+
+def authority_holdout(training: DataFrame, *, model: Model | None = None) -> DataFrame | None:
+    """Metrics of a model and a baseline fit without the last authority, on that authority: model,
+    held_out_authority, training_rows, n_rows and the metrics. None without two authorities (see
+    :func:`holdout_unavailable`). A ``model`` that is given is not fit anew."""
+    if holdout_unavailable(training) is not None:
         return None
     code = F.col("local_authority_code").cast("string")
-    last, n = training.agg(F.max(code), F.countDistinct(code)).first()
-    if n < 2:
-        return None
+    last = training.agg(F.max(code)).first()[0]
     fitted, held = training.where(code != last), training.where(code == last).withColumn("evaluation_split", F.lit("authority_holdout"))
     size = fitted.count()
     require_model_rows(fitted, F.lit("training"), ("training",))
     require_model_rows(held, F.lit("authority_holdout"), ("authority_holdout",))
-    model = fit(fitted, feature_specs(fitted))
+    model = model or fit(fitted, feature_specs(fitted))
     both = predict(model, held).select("segment_key", "year", "ksi_count", "expected_ksi", F.lit("spf").alias("model")).unionByName(
         predict_from(training_rate(fitted), held).select("segment_key", "year", "ksi_count", "expected_ksi", F.lit("exposure_rate_baseline").alias("model"))
     )
@@ -338,6 +345,7 @@ class SpfResult:
     baseline: DataFrame
     unseen: DataFrame
     holdout: DataFrame | None
+    holdout_reason: str | None = None
 
 
 def safety_performance(panel: DataFrame, contract: Contract) -> SpfResult:
@@ -348,24 +356,28 @@ def safety_performance(panel: DataFrame, contract: Contract) -> SpfResult:
     model = fit(training, feature_specs(training))
     predictions = predict(model, scoring)
     require_predictions(predictions)
-    return SpfResult(model, predictions, predict_from(training_rate(training), scoring), unseen_authorities(panel, contract), authority_holdout(training))
+    return SpfResult(model, predictions, predict_from(training_rate(training), scoring), unseen_authorities(panel, contract), authority_holdout(training), holdout_unavailable(training))
 
 
 def promotion(result: SpfResult) -> DataFrame:
-    """One row: promotion_blockers in fixed order, and model_promoted (no blocker)."""
-    spark = result.predictions.sparkSession
-    mae = {m: {r["evaluation_split"]: r["mae"] for r in detailed_metrics(p).collect()} for m, p in (("spf", result.predictions), ("base", result.baseline))}
-    held = {r["model"]: r["mae"] for r in result.holdout.collect()} if result.holdout is not None else None
-    blockers = []
-    if result.unseen.isEmpty():
-        blockers.append("no_future_unseen_authorities")
-    if held is None:
-        blockers.append("authority_holdout_unavailable")
-    if mae["spf"].get("test", math.inf) >= mae["base"].get("test", math.inf):
-        blockers.append("no_future_test_mae_improvement")
-    if held is not None and held["spf"] >= held["exposure_rate_baseline"]:
-        blockers.append("authority_holdout_does_not_beat_baseline")
-    return spark.createDataFrame([(",".join(blockers), not blockers)], "promotion_blockers string, model_promoted boolean")
+    """One row: promotion_blockers in fixed order, model_promoted (no blocker), and what decided: the mean
+    absolute errors of model and baseline in the test years and on the held-out authority (or why there
+    is none), and how many authorities the scoring years have that no other year has."""
+    test = lambda df, name: error_metrics(df).where("evaluation_split = 'test'").agg(F.max("mae").alias(name))
+    one = test(result.predictions, "test_mae").join(test(result.baseline, "baseline_test_mae")).join(result.unseen.agg(F.count(F.lit(1)).alias("unseen_authorities")))  # single rows
+    errors = {"holdout_mae": "spf", "baseline_holdout_mae": "exposure_rate_baseline"}
+    if result.holdout is None:
+        one = one.withColumns({name: F.lit(None).cast("double") for name in errors})
+    else:
+        one = one.join(result.holdout.agg(*(F.max(F.when(F.col("model") == model, F.col("mae"))).alias(name) for name, model in errors.items())))
+    worst, held = F.lit(math.inf), F.lit(result.holdout is not None)
+    blockers = {
+        "no_future_unseen_authorities": F.col("unseen_authorities") == 0, "authority_holdout_unavailable": ~held,
+        "no_future_test_mae_improvement": F.coalesce("test_mae", worst) >= F.coalesce("baseline_test_mae", worst),
+        "authority_holdout_does_not_beat_baseline": held & (F.coalesce("holdout_mae", worst) >= F.coalesce("baseline_holdout_mae", worst)),
+    }
+    found = F.array_compact(F.array(*(F.when(bad, F.lit(k)) for k, bad in blockers.items())))
+    return one.select(F.array_join(found, ",").alias("promotion_blockers"), (F.size(found) == 0).alias("model_promoted"), "test_mae", "baseline_test_mae", *errors, F.lit(result.holdout_reason).cast("string").alias("holdout_unavailable_reason"), "unseen_authorities")
 
 
 def coefficients(model: Model, like: DataFrame) -> DataFrame:

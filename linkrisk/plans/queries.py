@@ -530,7 +530,7 @@ def authority_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nb2.promotion(nb2.safety_performance(view(spark, sf_dir, "panel"), CONTRACT))
+    return rounded(nb2.promotion(nb2.safety_performance(view(spark, sf_dir, "panel"), CONTRACT)), "test_mae", "baseline_test_mae", "holdout_mae", "baseline_holdout_mae")
 
 
 # ---- listings -------------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import gates, matching, nb2, panel
+from ..operators import baseline, gates, matching, nb2, panel
 from ..sources import files, sinks
 from ..sources.shared import scratch
 from . import jobs
@@ -298,13 +298,22 @@ q.QUERIES |= {"panel_job": panel_job, "screening_job": screening_job, "baseline_
 q.ORACLES |= {"panel_job": q.ORACLES["panel_readiness"], "screening_job": q.ORACLES["segment_screening"], "baseline_job": q.ORACLES["baseline_metrics"]}
 
 
-@query(f"SELECT {SPLIT} AS evaluation_split, count(*) AS n_rows, cast(sum(ksi_count) AS bigint) AS ksi, 0 AS out_of_band FROM panel WHERE year IN (1999, 2000) GROUP BY 1", "panel")
+@query(f"SELECT {SPLIT} AS evaluation_split, count(*) AS n_rows, cast(sum(ksi_count) AS bigint) AS ksi, 0 AS out_of_band, 0 AS off_formula, 0 AS coefficients_off FROM panel WHERE year IN (1999, 2000) GROUP BY 1", "panel")
 def spf_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark, "spf")
-    jobs.build_spf(view(spark, sf_dir, "panel"), CONTRACT, path)
-    rows = spark.read.parquet(f"{path}/spf-predictions")
+    """Stored predictions that are not what the stored coefficients give, and coefficients at which the likelihood
+    of the training years is not level, are counted: none."""
+    path, rows = scratch(spark, "spf"), view(spark, sf_dir, "panel")
+    jobs.build_spf(rows, CONTRACT, path)
+    training = panel.labelled(rows, CONTRACT).where("evaluation_split = 'training'")
+    told = {r.term: r.estimate for r in spark.read.json(f"{path}/spf-coefficients").collect()}
+    specs = nb2.feature_specs(training)
+    model = nb2.Model(specs, tuple(told[t] for t in nb2.Model(specs, (), 0.0, 0).names), told["alpha"], 0)
+    level = nb2.score(model, training).agg(F.count_if(F.abs("score") > 1e-6).cast("int").alias("coefficients_off"))
+    found = nb2.with_mean(spark.read.parquet(f"{path}/spf-predictions"), model, "annual_vehicle_km", "again")
     outside = ~F.col("expected_ksi").between(F.col("expected_ksi_lower_95"), F.col("expected_ksi_upper_95")) | (F.col("expected_ksi_lower_95") < 0)
-    return rows.groupBy("evaluation_split").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("ksi_count").alias("ksi"), F.count_if(outside).cast("int").alias("out_of_band"))
+    off = F.abs(F.col("again") - F.col("expected_ksi")) > 1e-9 * (1 + F.col("again"))
+    found = found.groupBy("evaluation_split").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("ksi_count").alias("ksi"), F.count_if(outside).cast("int").alias("out_of_band"), F.count_if(off).cast("int").alias("off_formula"))
+    return found.join(level)  # a single row
 
 
 def area_job(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -371,3 +380,38 @@ def holdout_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 q.QUERIES["holdout_baseline"] = holdout_baseline
 q.ORACLES["holdout_baseline"] = "SELECT m.*, code AS held_out_authority, training_rows FROM (" + q._chained(HELD + q._metrics_sql("pred", "model"), "panel") + ") m, (" + q._chained(HELD + " SELECT code, training_rows FROM last, rate", "panel") + ")"
+
+
+# Model and baseline by fixed coefficients through holdout and promotion.
+MU = """annual_vehicle_km * exp(-15.0 + CASE road_type WHEN 'type-1' THEN 0.25 WHEN 'type-2' THEN -0.5 ELSE 0 END
+        + CASE coalesce(urban_rural, '__missing__') WHEN 'rural' THEN 0.125 WHEN 'urban' THEN 0.75 ELSE 0 END)"""
+
+
+def holdout_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    training = panel.labelled(view(spark, sf_dir, "panel"), CONTRACT).where("evaluation_split = 'training'")
+    return q._round_metrics(nb2.authority_holdout(training, model=FIXED))
+
+
+def promotion_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = panel.labelled(view(spark, sf_dir, "panel"), CONTRACT)
+    training, scoring = rows.where("evaluation_split = 'training'"), rows.where("evaluation_split <> 'training'")
+    base = baseline.predict_from(baseline.training_rate(training), scoring)
+    found = nb2.SpfResult(FIXED, nb2.predict(FIXED, scoring), base, nb2.unseen_authorities(view(spark, sf_dir, "panel"), CONTRACT), nb2.authority_holdout(training, model=FIXED))
+    return rounded(nb2.promotion(found), "test_mae", "baseline_test_mae", "holdout_mae", "baseline_holdout_mae").drop("holdout_unavailable_reason")
+
+
+q.QUERIES |= {"holdout_fixed": holdout_fixed, "promotion_fixed": promotion_fixed}
+_BOTH = HELD.replace("pred AS", "base AS") + f", pred AS (SELECT * FROM base UNION ALL SELECT t.*, 'spf' AS model, {MU} AS expected_ksi FROM t, last WHERE local_authority_code = code)"
+q.ORACLES["holdout_fixed"] = "SELECT m.*, code AS held_out_authority, training_rows FROM (" + q._chained(_BOTH + q._metrics_sql("pred", "model"), "panel") + ") m, (" + q._chained(HELD + " SELECT code, training_rows FROM last, rate", "panel") + ")"
+q.ORACLES["promotion_fixed"] = q._chained(
+    _BOTH + f""", whole AS (SELECT sum(ksi_count) / sum(annual_vehicle_km) AS r FROM t),
+    tested AS (SELECT avg(abs(ksi_count - {MU})) AS test_mae, avg(abs(ksi_count - whole.r * annual_vehicle_km)) AS baseline_test_mae FROM panel, whole WHERE year = 2000),
+    held AS (SELECT avg(abs(ksi_count - expected_ksi)) FILTER (model = 'spf') AS holdout_mae, avg(abs(ksi_count - expected_ksi)) FILTER (model <> 'spf') AS baseline_holdout_mae FROM pred),
+    fresh AS (SELECT count(*) AS unseen_authorities FROM (SELECT DISTINCT year, local_authority_code FROM panel WHERE year IN (1999, 2000) AND local_authority_code IS NOT NULL
+              AND local_authority_code NOT IN (SELECT local_authority_code FROM panel WHERE year NOT IN (1999, 2000) AND local_authority_code IS NOT NULL))),
+    b AS (SELECT *, list_filter([CASE WHEN unseen_authorities = 0 THEN 'no_future_unseen_authorities' END, CASE WHEN test_mae >= baseline_test_mae THEN 'no_future_test_mae_improvement' END,
+          CASE WHEN holdout_mae >= baseline_holdout_mae THEN 'authority_holdout_does_not_beat_baseline' END], lambda x: x IS NOT NULL) AS l FROM tested, held, fresh)
+    SELECT array_to_string(l, ',') AS promotion_blockers, len(l) = 0 AS model_promoted, round(test_mae, 6) AS test_mae, round(baseline_test_mae, 6) AS baseline_test_mae, round(holdout_mae, 6) AS holdout_mae,
+           round(baseline_holdout_mae, 6) AS baseline_holdout_mae, unseen_authorities FROM b""",
+    "panel",
+)
