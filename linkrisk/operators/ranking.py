@@ -8,24 +8,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.naming import unused
+from ..sources.shared import stored
 
 
 def ranked(df: DataFrame, order: Sequence[Column], name: str = "rank", *, by: Sequence[str] = ()) -> DataFrame:
     """``df`` with the 1-based rank of each row in ``order``, within groups ``by`` if given.
 
-    ``order`` must name columns and be total to be deterministic. The dealt rows are persisted:
-    ranges are drawn from a sample, so counts and ranks must come from one dealing, and a lost
-    block is made again from the same one.
+    ``order`` must name columns and be total to be deterministic. The dealt rows are stored: ranges
+    are drawn from a sample, so counts and ranks must come from one dealing.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part, first, count, before, own, *groups = unused(df, "_range", "_first", "_n", "_before", "_own", *(f"_group{i}" for i in range(len(by))))
     keys = [F.col(c).asc_nulls_first() for c in by]
-    dealt = df.repartitionByRange(n, *keys, *order).withColumn(part, F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    dealt = df.repartitionByRange(n, *keys, *order).withColumn(part, F.spark_partition_id())
+    dealt = stored(dealt, "ranked")
     counts = dealt.groupBy(part, *by).agg(F.count(F.lit(1)).alias(count))
     earlier = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     # one row for each range (and group in it)

@@ -250,16 +250,18 @@ def _yearly_inputs(spark: SparkSession, sf_dir: str, years: tuple[int, ...]) ->
     return _kept(collisions, "collisions"), links.drop("urban_rural"), _kept(traffic, "traffic"), classes
 
 
-def _by_year_sql(years: str, group: str) -> str:
+def _by_year_sql(years: str, group: str, more: str = "") -> str:
     pairs = q.DISTANCES.format(where=q.CLOSE).replace("FROM collision, link", "FROM moved collision, moved_link link")
     return f""", moved AS (SELECT * REPLACE (x + {DX} AS x, y + {DY} AS y) FROM collision WHERE collision_year IN {years}),
       moved_link AS (SELECT * REPLACE (x1 + {DX} AS x1, y1 + {DY} AS y1, x2 + {DX} AS x2, y2 + {DY} AS y2) FROM link)""" + pairs + q.STATUS.replace("FROM collision c", "FROM moved c") + f""",
       points AS (SELECT collision_year AS source_year, count(*) AS collision_records, count_if(match_status = 'accepted') AS accepted, count_if(match_status = 'ambiguous') AS ambiguous,
-                        count_if(match_status = 'out_of_range') AS out_of_range, round(count_if(match_status = 'accepted') / count(*), 4) AS accepted_match_rate FROM matched GROUP BY 1),
+                        count_if(match_status = 'out_of_range') AS out_of_range, round(count_if(match_status = 'accepted') / count(*), 4) AS accepted_match_rate,
+                        count_if(match_status = 'accepted' AND collision_severity IN (1, 2)) AS accepted_ksi FROM matched GROUP BY 1),
       lines AS (SELECT y AS source_year, count(*) AS road_segments, count(t.all_motor_vehicles) AS segments_with_exposure, round(count(t.all_motor_vehicles) / count(*), 4) AS exposure_coverage,
-                       count(urban_rural) AS segments_with_urban_rural, round(count(urban_rural) / count(*), 4) AS urban_rural_coverage
+                       count(urban_rural) AS segments_with_urban_rural, round(count(urban_rural) / count(*), 4) AS urban_rural_coverage,
+                       round(sum(t.all_motor_vehicles * 365 * t.link_length_km), 1) AS km
                 FROM link CROSS JOIN (SELECT unnest([{years[1:-1].rstrip(",")}]) AS y) LEFT JOIN traffic t ON t.count_point_id = link.count_point_id AND t.year = y GROUP BY 1)
-      SELECT {group}collision_records, accepted, ambiguous, out_of_range, accepted_match_rate, road_segments, segments_with_exposure, exposure_coverage, segments_with_urban_rural, urban_rural_coverage
+      SELECT {group}collision_records, accepted, ambiguous, out_of_range, accepted_match_rate, road_segments, segments_with_exposure, exposure_coverage, segments_with_urban_rural, urban_rural_coverage{more}
       FROM points JOIN lines USING (source_year)"""
 
 
@@ -273,12 +275,15 @@ def contract_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "contract")
     collisions, links, traffic, classes = _yearly_inputs(spark, sf_dir, tuple(CONTRACT.years))
     jobs.build_contract(spark, collisions, links, traffic, CONTRACT, path, lookup=classes, box=WIDE)
-    return spark.read.json(f"{path}/network-report").drop("local_authorities").withColumn("source_year", F.col("source_year").cast("int"))
+    report = spark.read.json(f"{path}/network-report").drop("local_authorities").withColumn("source_year", F.col("source_year").cast("int"))
+    found = spark.read.parquet(f"{path}/evidence").groupBy("source_year").agg(F.sum("collision_count").alias("evidence_collisions"), F.sum("ksi_count").alias("evidence_ksi"), F.round(F.sum("annual_vehicle_km"), 1).alias("evidence_km"))
+    rows = spark.read.parquet(f"{path}/panel").groupBy(F.col("year").alias("source_year")).agg(F.count(F.lit(1)).alias("panel_rows"), F.round(F.sum("annual_vehicle_km"), 1).alias("panel_km"))
+    return report.join(found, "source_year").join(rows, "source_year")
 
 
 q.QUERIES |= {"network_job": network_job, "contract_job": contract_job}
 q.ORACLES["network_job"] = q._chained(_by_year_sql("(1996)", ""), "collision", "link", "traffic")
-q.ORACLES["contract_job"] = q._chained(_by_year_sql(YEARS, "source_year, "), "collision", "link", "traffic")
+q.ORACLES["contract_job"] = q._chained(_by_year_sql(YEARS, "source_year, ", ", accepted AS evidence_collisions, accepted_ksi AS evidence_ksi, km AS evidence_km, segments_with_exposure AS panel_rows, km AS panel_km"), "collision", "link", "traffic")
 
 
 def panel_job(spark: SparkSession, sf_dir: str) -> DataFrame:
