@@ -425,7 +425,8 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     buckets = max(parallelism(spark), 4 * total // BUCKET)
     targets = max(parallelism(spark), total // BUCKET)
     shared = shared_anchors(rows, span, buckets, targets)
-    marked = rows.join(shared, ["_id", "_tie"]).select("_id", "_tie", "_text", "_shared")
+    # in order, as slices are numbered by it: a task that runs again after a join may get its rows in another
+    marked = rows.join(shared, ["_id", "_tie"]).select("_id", "_tie", "_text", "_shared").sortWithinPartitions("_id", "_tie")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, held in _sliced(batches):

@@ -255,3 +255,9 @@ def test_packing_of_numbers_round_trips():
     columns = [np.array([5, 3, -(1 << 62), 1 << 62]), np.array([0, 0, 1, 2])]
     got, text = suffix_dedup.unpacked(suffix_dedup.packed(*columns, text=b"abc"))
     assert text == b"abc" and all((a == b).all() for a, b in zip(got, columns, strict=True))
+
+
+def test_slices_are_numbered_from_ordered_rows(docs):
+    plan = suffix_dedup.repeats(docs([(1, "a" * 200), (2, "a" * 200)]))._jdf.queryExecution().optimizedPlan().toString()
+    dealt = plan[: plan.index("Join Inner")]
+    assert "Sort [_id" in dealt and "_tie" in dealt[dealt.index("Sort [_id") :].split("]")[0]
