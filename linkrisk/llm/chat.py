@@ -1,10 +1,11 @@
 """Chat formatting by schema fingerprints, in DataFrame functions alone.
 
-The nested field paths of a record (or of a whole table's schema) are hashed, each path for itself;
-the set of hashes is the schema's fingerprint. It selects a declarative mapping that turns the layout
-into canonical turns: the one that needs most of the paths and whose paths are all there. Fields that
-no mapping needs change nothing. Turns are rendered with a template, one row per turn, and only then
-put together, so nothing in the work grows faster than the text.
+The nested field paths of a record, or of a table's schema, are hashed, and the hash of the sorted
+hashes is the fingerprint. Every row looks its mapping up by its fingerprint, in a table that has one
+row for each fingerprint there is. That of a layout's own paths names the layout; for any other one
+the paths are compared once, and the mapping is the one that needs most of them and whose paths are all there. Fields
+that no mapping needs change nothing. Turns are rendered with a template, one row per turn, and only
+then put together, so nothing in the work grows faster than the text.
 
 Rendered turn: ``### <role>: <text> </turn>`` and a line end. Within roles and texts the characters
 that begin a control string are replaced, so no control string can occur there: ``\\`` by ``\\b``,
@@ -20,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import look_up, stored, unused
+
 HEAD, AFTER_ROLE, TURN_END = "### ", ": ", " </turn>\n"
 ESCAPES = (("\\", "\\b"), ("<", "\\l"), ("#", "\\h"), (":", "\\c"))
 TURNS = "array<struct<role:string,text:string>>"
@@ -73,16 +76,55 @@ def hashed(paths: Column) -> Column:
     return F.transform(paths, lambda x: F.xxhash64(x))
 
 
+def literal(paths: list[str]) -> Column:
+    return F.array(*map(F.lit, paths)).cast("array<string>")
+
+
+def fingerprint(paths: Column) -> Column:
+    """One number for a set of paths, in any order."""
+    return F.xxhash64(F.array_sort(hashed(paths)))
+
+
 # ---- layouts --------------------------------------------------------------------------------
 
 
+@dataclass(frozen=True)
+class Reader:
+    """How a mapping reads a record: a field as text, and a list of structs as roles and texts."""
+
+    text: Callable[[str], Column]
+    items: Callable[[str, str, str], Column]
+
+
+def _items(elements: Column, role: str, text: str) -> Column:
+    return F.transform(elements, lambda x: F.struct(x[role].cast("string").alias("role"), x[text].cast("string").alias("text")))
+
+
+def of_variant(v: Column) -> Reader:
+    """Reads a record that is one variant."""
+    return Reader(
+        lambda name: F.try_variant_get(v, f"$.{name}", "string"),
+        lambda name, role, text: _items(F.try_variant_get(v, f"$.{name}", f"array<struct<{role}:string,{text}:string>>"), role, text),
+    )
+
+
+#: Reads a record that is a row, its fields being columns.
+OF_COLUMNS = Reader(lambda name: F.col(name).cast("string"), lambda name, role, text: _items(F.col(name), role, text))
+
+
 @dataclass(frozen=True)
 class Layout:
-    """A record layout: its schema, and the turns of a record as an expression of its variant."""
+    """A record layout: its schema, and the turns of a record as an expression of what a reader gives.
+
+    ``conv`` names the column of the conversation in a table; ``pos`` that of the turn, where a
+    record is a single turn.
+    """
 
     name: str
     schema: T.StructType
-    turns: Callable[[Column], Column]
+    turns: Callable[[Reader], Column]
+    conv: str = "id"
+    pos: str | None = None
 
     @property
     def needs(self) -> list[str]:
@@ -97,38 +139,33 @@ def _list_of(name: str, *names: str) -> T.StructType:
     return T.StructType([T.StructField(name, T.ArrayType(_texts(*names)))])
 
 
-def _get(path: str, kind: str = "string") -> Callable[[Column], Column]:
-    return lambda v: F.try_variant_get(v, path, kind)
+def _turn(role: Column, text: Column) -> Column:
+    return F.struct(role.alias("role"), text.alias("text"))
 
 
-def _turn(role: str, text: Column) -> Column:
-    return F.struct(F.lit(role).alias("role"), text.alias("text"))
+def _list(name: str, role: str, text: str) -> Callable[[Reader], Column]:
+    return lambda r: r.items(name, role, text)
 
 
-def _list(path: str, role: str, text: str) -> Callable[[Column], Column]:
-    kind = f"array<struct<{role}:string,{text}:string>>"
-    return lambda v: F.transform(F.try_variant_get(v, path, kind), lambda x: F.struct(x[role].alias("role"), x[text].alias("text")))
+def _pair(user: str, assistant: str) -> Callable[[Reader], Column]:
+    return lambda r: F.array(_turn(F.lit("user"), r.text(user)), _turn(F.lit("assistant"), r.text(assistant)))
 
 
-def _pair(user: str, assistant: str) -> Callable[[Column], Column]:
-    return lambda v: F.array(_turn("user", _get(f"$.{user}")(v)), _turn("assistant", _get(f"$.{assistant}")(v)))
-
-
-def _instruction(with_input: bool) -> Callable[[Column], Column]:
-    def turns(v: Column) -> Column:
-        asked = _get("$.instruction")(v)
+def _instruction(with_input: bool) -> Callable[[Reader], Column]:
+    def turns(r: Reader) -> Column:
+        asked = r.text("instruction")
         if with_input:
-            more = _get("$.input")(v)
+            more = r.text("input")
             asked = F.when(F.coalesce(more, F.lit("")) == "", asked).otherwise(F.concat_ws("\n\n", asked, more))
-        return F.array(_turn("user", asked), _turn("assistant", _get("$.output")(v)))
+        return F.array(_turn(F.lit("user"), asked), _turn(F.lit("assistant"), r.text("output")))
 
     return turns
 
 
 LAYOUTS = (
-    Layout("messages", _list_of("messages", "role", "content"), _list("$.messages", "role", "content")),
-    Layout("conversations", _list_of("conversations", "from", "value"), _list("$.conversations", "from", "value")),
-    Layout("turns", _list_of("turns", "role", "text"), _list("$.turns", "role", "text")),
+    Layout("messages", _list_of("messages", "role", "content"), _list("messages", "role", "content")),
+    Layout("conversations", _list_of("conversations", "from", "value"), _list("conversations", "from", "value")),
+    Layout("turns", _list_of("turns", "role", "text"), _list("turns", "role", "text")),
     Layout("prompt_completion", _texts("prompt", "completion"), _pair("prompt", "completion")),
     Layout("prompt_response", _texts("prompt", "response"), _pair("prompt", "response")),
     Layout("question_answer", _texts("question", "answer"), _pair("question", "answer")),
@@ -136,6 +173,9 @@ LAYOUTS = (
     Layout("instruction_input", _texts("instruction", "input", "output"), _instruction(True)),
 )
 
+#: A table with one row per turn; roles stand as they are.
+TURN_ROWS = Layout("turn_rows", _texts("conv_id", "turn", "role", "text"), lambda r: F.array(_turn(r.text("role"), r.text("text"))), conv="conv_id", pos="turn")
+
 #: Other names of roles, as they are found in public layouts.
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
@@ -152,47 +192,86 @@ def chosen(layouts) -> list[Layout]:
     return sorted(layouts, key=lambda x: -len(x.needs))
 
 
-def turns_of_records(records: DataFrame, *, id_col: str = "id", record_col: str = "record", layouts=LAYOUTS) -> DataFrame:
-    """Canonical turns (conv, pos, role, text, layout) of JSON records of mixed layouts.
+def mappings(found: DataFrame, layouts) -> DataFrame:
+    """The layout (null for none) of each fingerprint; ``found`` has one row per fingerprint: fingerprint, paths, n."""
+    own = F.array(*(F.struct(fingerprint(literal(x.needs)).alias("fingerprint"), F.lit(x.name).alias("_known")) for x in layouts))
+    known = found.sparkSession.range(1).select(F.inline(own))  # one row a layout
+    new = F.lit(None).cast("string")
+    for x in reversed(chosen(layouts)):
+        new = F.when(F.size(F.array_except(hashed(literal(x.needs)), hashed(F.col("paths")))) == 0, x.name).otherwise(new)
+    return found.join(F.broadcast(known), "fingerprint", "left").select("fingerprint", "n", F.coalesce("_known", new).alias("layout"))
 
-    Of the layouts whose paths a record has, the one that needs most turns it into turns; other
-    fields are not read. A record that no layout takes, or that is no JSON, or null, or has no
-    turns, gives one row with a null ``pos`` and, if no layout took it, a null ``layout``:
-    :func:`format_turns` counts it. An empty table gives an empty result.
-    """
-    rows = records.select(F.col(id_col).alias("conv"), F.try_parse_json(F.col(record_col)).alias("_v"))
-    rows = rows.withColumn("_paths", F.explode_outer(F.array(hashed(record_paths(F.col("_v"))))))  # a barrier: read once
-    turns, name = F.lit(None).cast(TURNS), F.lit(None).cast("string")
-    for layout in reversed(chosen(layouts)):
-        hit = F.size(F.array_except(hashed(F.array(*map(F.lit, layout.needs))), F.col("_paths"))) == 0
-        turns = F.when(hit, layout.turns(F.col("_v")).cast(TURNS)).otherwise(turns)
-        name = F.when(hit, layout.name).otherwise(name)
-    rows = rows.select("conv", name.alias("layout"), turns.alias("_turns"))
-    return rows.select("conv", "layout", F.posexplode_outer("_turns").alias("pos", "_t")).select(
-        "conv", F.col("pos").cast("long").alias("pos"), canonical_role(F.col("_t.role")).alias("role"), F.col("_t.text").alias("text"), "layout"
-    )
+
+def _mapped(layouts, value: Callable[[Layout], Column]) -> Column:
+    """The value of the row's layout, null without one."""
+    out = None
+    for x in layouts:
+        hit = F.col("_layout") == x.name
+        out = F.when(hit, value(x)) if out is None else out.when(hit, value(x))
+    return out
 
 
-def turns_of_rows(rows: DataFrame, *, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """Canonical turns of a table with one row per turn; further columns are not read."""
-    return rows.select(
-        F.col(id_col).alias("conv"), F.col(turn_col).cast("long").alias("pos"), F.col(role_col).alias("role"), F.col(text_col).alias("text"),
-        F.lit("turn_rows").alias("layout"),
-    )
+def _exploded(rows: DataFrame) -> DataFrame:
+    """Turns of rows (conv, layout, _pos, _turns)."""
+    out = rows.select("conv", "layout", "_pos", F.posexplode_outer("_turns").alias("_k", "_t"))
+    single = F.col("layout") == TURN_ROWS.name
+    role = F.when(single, F.col("_t.role")).otherwise(canonical_role(F.col("_t.role")))
+    return out.select("conv", F.when(single, F.col("_pos")).otherwise(F.col("_k").cast("long")).alias("pos"), role.alias("role"), F.col("_t.text").alias("text"), "layout")
 
 
-#: Mappings of whole tables by the columns that they need.
-TABLES = ((_texts("conv_id", "turn", "role", "text"), turns_of_rows), (_texts("id", "record"), turns_of_records))
+def turns_of_records(records: DataFrame, *, id_col: str = "id", record_col: str = "record", layouts=LAYOUTS) -> DataFrame:
+    """Canonical turns (conv, pos, role, text, layout) of JSON records of mixed layouts.
+
+    Each record looks its layout up by the fingerprint of its own paths; the table of fingerprints
+    is made of all records and stored. A fingerprint that most records have is a hot key: it is
+    broadcast, and the records stay where they are. Of the layouts whose paths a record has, the one
+    that needs most turns it into turns; other fields are not read. A record that no layout takes,
+    or that is no JSON, or null, or has no turns, gives one row with a null ``pos`` and, if no layout
+    took it, a null ``layout``: :func:`format_turns` counts it. Repeated records are repeated turns.
+    An empty table gives an empty result. A record may be as long as a variant can be; longer ones are
+    no JSON to Spark.
+    """
+    rows = records.select(F.col(id_col).alias("conv"), F.try_parse_json(F.col(record_col)).alias("_v"))
+    rows = rows.withColumn("_paths", F.explode_outer(F.array(record_paths(F.col("_v")))))  # a barrier: read once
+    rows = rows.withColumn("fingerprint", fingerprint(F.col("_paths")))
+    found = rows.groupBy("fingerprint").agg(F.first("_paths").alias("paths"), F.count(F.lit(1)).alias("n"))
+    table = stored(mappings(found, layouts), "fingerprints")
+    rows = look_up(rows.select("conv", "_v", "fingerprint"), table, ["fingerprint"], count="n").withColumnRenamed("layout", "_layout")
+    turns = _mapped(layouts, lambda x: x.turns(of_variant(F.col("_v"))).cast(TURNS))
+    return _exploded(rows.select("conv", F.col("_layout").alias("layout"), F.lit(None).cast("long").alias("_pos"), turns.alias("_turns")))
+
+
+def turns_of_table(table: DataFrame, *, layouts=(*LAYOUTS, TURN_ROWS)) -> DataFrame:
+    """Canonical turns of a table whose columns are the fields of a layout, one record a row, with the
+    layout's ``conv`` column beside them.
+
+    All rows have the fingerprint of the table's schema and look their layout up by it, in a table
+    of that one fingerprint; a layout counts only if all its paths and its ``conv`` are there. Lists
+    that are null or empty give one row with a null ``pos``. Repeated rows are repeated turns, texts
+    of any length stay whole, further columns are not read, and an empty table gives an empty result.
+    """
+    have = paths_of(table.schema)
+    fits = [x for x in layouts if {x.conv, *x.needs} <= set(have)]
+    if not fits:
+        raise ValueError(f"no layout has the columns {', '.join(table.columns)}")
+    found = table.sparkSession.range(1).select(fingerprint(literal(have)).alias("fingerprint"), literal(have).alias("paths"), F.lit(0).alias("n"))
+    key, layout = unused(table, "_fingerprint", "_layout")
+    known = mappings(found, fits).select(F.col("fingerprint").alias(key), F.col("layout").alias(layout))
+    rows = table.withColumn(key, fingerprint(literal(have))).join(F.broadcast(known), key, "left")  # one row
+    if layout != "_layout":
+        rows = rows.drop("_layout").withColumnRenamed(layout, "_layout")
+    pos = _mapped(fits, lambda x: (F.col(x.pos) if x.pos else F.lit(None)).cast("long"))
+    turns = _mapped(fits, lambda x: x.turns(OF_COLUMNS).cast(TURNS))
+    return _exploded(rows.select(_mapped(fits, lambda x: F.col(x.conv)).alias("conv"), F.col("_layout").alias("layout"), pos.alias("_pos"), turns.alias("_turns")))
 
 
 def canonical_turns(table: DataFrame) -> DataFrame:
-    """Canonical turns of a table that has the columns of one of TABLES (of the one that needs most,
-    where several fit); further columns are not read."""
+    """Canonical turns of a table: of its columns, where they fit a layout, else of the JSON in its
+    columns id and record; further columns are not read. Anything else is an error."""
     have = set(paths_of(table.schema))
-    for needs, turns in sorted(TABLES, key=lambda x: -len(x[0])):
-        if have.issuperset(paths_of(needs)):
-            return turns(table)
-    raise ValueError(f"no layout has the columns {', '.join(table.columns)}")
+    if have >= {"id", "record"} and not any({x.conv, *x.needs} <= have for x in (*LAYOUTS, TURN_ROWS)):
+        return turns_of_records(table)
+    return turns_of_table(table)
 
 
 # ---- template -------------------------------------------------------------------------------
@@ -222,7 +301,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    real = F.col("pos").isNotNull() | (F.coalesce("layout", F.lit("")) == "turn_rows")
+    real = F.col("pos").isNotNull() | (F.coalesce("layout", F.lit("")) == TURN_ROWS.name)
     rows = turns.select("conv", "pos", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), real.alias("_real"), F.col("layout").isNull().cast("long").alias("_unmatched"))
     head = F.concat(F.lit(HEAD), escape(F.col("role"), role=True), F.lit(AFTER_ROLE))
     rows = rows.withColumn("_head", head).withColumn("_body", escape(F.col("text")))

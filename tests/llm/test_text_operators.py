@@ -127,6 +127,49 @@ def test_record_paths_equal_those_of_the_schema(spark):
     assert got == chat.paths_of(kind) and isinstance(kind, T.StructType)
 
 
+def test_fingerprints_select_the_mapping(spark):
+    """A layout's own paths name it in any order; for others the paths are compared; equal sets look up one row."""
+    def of(paths):
+        return spark.range(1).select(chat.fingerprint(chat.literal(paths))).first()[0]
+
+    assert of(["b", "a", "a.c"]) == of(["a", "a.c", "b"]) != of(["a", "b"]) and of([]) is not None
+    found = spark.createDataFrame([(of(x), x, n) for n, x in enumerate((["prompt", "completion"], ["completion", "extra", "prompt"], ["extra"], []))], "fingerprint long, paths array<string>, n long")
+    assert {r.n: r.layout for r in chat.mappings(found, chat.LAYOUTS).collect()} == {0: "prompt_completion", 1: "prompt_completion", 2: None, 3: None}
+    # the table alone decides where a fingerprint is a layout's own: its paths are not looked at
+    wrong = spark.createDataFrame([(of(["prompt", "completion"]), ["question", "answer"], 1)], "fingerprint long, paths array<string>, n long")
+    assert chat.mappings(wrong, chat.LAYOUTS).first().layout == "prompt_completion"
+
+
+def test_tables_of_every_layout(spark):
+    lists = spark.createDataFrame([(1, [("user", "q", 5), ("gpt", "a", 6)], 0.5), (2, None, None), (3, [], None)], "id long, messages array<struct<role:string,content:string,size:int>>, _layout double")
+    got = sorted((r.conv, -1 if r.pos is None else r.pos, r.role, r.text, r.layout) for r in chat.canonical_turns(lists).collect())
+    assert got == [(1, 0, "user", "q", "messages"), (1, 1, "assistant", "a", "messages"), (2, -1, None, None, "messages"), (3, -1, None, None, "messages")]
+    asked = spark.createDataFrame([("x", "do", "this", "a", "r"), ("y", "do", None, None, "r")], "id string, instruction string, input string, output string, record string")
+    got = sorted((r.conv, r.pos, r.role, r.text, r.layout) for r in chat.canonical_turns(asked).collect() if r.role == "user")
+    assert got == [("x", 0, "user", "do\n\nthis", "instruction_input"), ("y", 0, "user", "do", "instruction_input")]
+    assert chat.canonical_turns(asked.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="no layout"):  # a layout without the conversation's column
+        chat.canonical_turns(asked.drop("id"))
+
+
+def test_most_records_with_one_fingerprint(spark):
+    """The hot fingerprint is broadcast, the rare ones meet by key; no record is lost."""
+    rows = [(k, json.dumps({"prompt": f"q{k}", "completion": "a"} if k % 10 else {"question": "q", "answer": "a", f"x{k}": 1})) for k in range(2000)]
+    found = chat.canonical_turns(spark.createDataFrame(rows, "id long, record string").repartition(7)).groupBy("layout").count().collect()
+    assert {r.layout: r["count"] for r in found} == {"prompt_completion": 3600, "question_answer": 400}
+
+
+def test_chat_plan_is_native(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a")], "conv_id long, turn long, role string, text string")
+    rows.write.parquet(str(tmp_path / "conversations.parquet"))
+    from linkrisk.llm import queries
+
+    done = queries.op5_chat_format(spark, str(tmp_path))
+    assert {r.conv_id: r.n_turns for r in done.collect()} == {1: 2, -7: 2}
+    plan = done._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "ExistingRDD"))
+
+
 def test_conversations_of_any_table(spark):
     rows = spark.createDataFrame([(1, 0, "user", "q" * 200_000, 5), (1, 1, "assistant", "a", 6)], "conv_id long, turn long, role string, text string, conv int").withColumn("_size", F.lit("x"))
     got = chat.digests(chat.parse_formatted(chat.format_turns(chat.canonical_turns(rows)))).collect()
