@@ -192,14 +192,22 @@ def links(nodes: DataFrame, *, distance: int = 4) -> DataFrame:
 # ---- components -----------------------------------------------------------------------------
 
 
+def are_stars(edges: DataFrame) -> bool:
+    """Whether edges (u, v), u > v, without repeats, lead every u straight to a v that leads nowhere."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up > 0 and down > 0").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node and component (the smallest node reachable) for every node that has an edge.
+    """node and component (the smallest node reachable) for every node that has an edge (a, b).
 
-    Alternating large-star and small-star steps; every round is a stored table, so a lost executor
-    costs one round at most. Labels move as (node, label) rows, never as lists of neighbours.
+    Alternating large-star and small-star steps, until the edges are stars; stars take no round. Every
+    round is a stored table, so a lost executor costs one round at most. Labels move as (node, label)
+    rows, never as lists of neighbours. Repeated edges count once, an edge from a node to itself not at all.
     """
-    now = stored(edges.select(F.col("a").alias("u"), F.col("b").alias("v")), "edges")
-    while True:
+    now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    while not are_stars(now):
         # large star: each node's larger neighbours go to its smallest neighbour (or itself)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -207,12 +215,8 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: each node and its smaller neighbours go to the smallest of these
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = stored(small.unionByName(small_least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "stars")
-        # The set of edges is final when a round leaves it as it was: every node then has one edge, to its root.
-        if after.exceptAll(now).isEmpty() and now.exceptAll(after).isEmpty():
-            break
-        now = after
-    return after.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(after.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        now = stored(small.unionByName(small_least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "stars")
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
 def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4) -> DataFrame:

@@ -106,3 +106,32 @@ def test_documents_around_one_passage_make_no_pairs(spark, docs):
     rows = [(i, " ".join([f"w{rnd.randrange(10**6)}" for _ in range(25)] + passage)) for i in range(150)]
     table = docs(rows)
     assert near_sets.keep_first(table).count() == 150
+
+
+def test_links_across_bands_of_sizes(docs, monkeypatch):
+    """Sets whose sizes differ by up to the similarity are linked without leads too, wherever the bands are cut."""
+    monkeypatch.setattr(near_sets, "LEADS", 0)
+    rnd = random.Random(5)
+    rows = []
+    for k, n in enumerate((20, 25, 31, 40, 50, 64, 80, 100, 125, 160)):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(n + 4)]
+        rows += [(10 * k, " ".join(base)), (10 * k + 1, " ".join(base[: len(base) - n // 5])), (10 * k + 2, " ".join(base[: len(base) - n // 5 - 1]))]
+    found = {r.doc_id: r.component_id for r in near_sets.near_classes(docs(rows)).collect()}
+    assert found == {i: c for (i, _), c in zip(rows, plain_components(rows), strict=True)}
+
+
+def test_components_of_stars_chains_and_repeats(spark):
+    from linkrisk.llm.simhash import components
+
+    def of(edges):
+        return {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+
+    assert of([]) == {} and of([(5, 5)]) == {}
+    assert of([(9, 1), (8, 1), (8, 1), (1, 9), (4, 3)]) == {9: 1, 8: 1, 1: 1, 4: 3, 3: 3}
+    rnd = random.Random(6)
+    chain = [(k + 1, k) for k in range(100)] + [(rnd.randrange(200, 400), rnd.randrange(200, 400)) for _ in range(120)]
+    root = {x: x for e in chain for x in e}
+    for _ in root:
+        for a, b in chain:
+            root[a] = root[b] = min(root[a], root[b])
+    assert of(chain) == {k: v for k, v in root.items() if any(a != b and k in (a, b) for a, b in chain)}
