@@ -78,7 +78,12 @@ def scan_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
 def scan_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, templates=TEMPLATES) -> DataFrame:
     """One row per id that has a match: its number of matching lines, the licence of the best line
-    and its coefficient. Ties go to the first licence by name."""
+    and its coefficient. Ties go to the first licence by name.
+
+    Rows of one id are one document whose lines are those of all its rows, so a repeated row counts
+    its matches again; rows with a null id are one document too. Null and empty texts have no match,
+    texts of any length are scanned whole, an empty table gives an empty result, and other columns
+    are not read, so none can clash."""
     found = scan_lines(docs, id_col=id_col, text_col=text_col, threshold=threshold, templates=templates)
     best = F.min(F.struct((-F.col("dice")).alias("worse"), F.col("licence").alias("licence")))
     return found.groupBy(id_col).agg(F.count(F.lit(1)).alias("n_matches"), best.alias("_best")).select(

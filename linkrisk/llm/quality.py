@@ -202,7 +202,8 @@ def assess(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "d
 
     base_failed: fewer than 50 words, or more than half of them in repeated windows of three. The
     cascade then judges only the other texts. A null text has no words, so it fails. An empty table
-    gives an empty result; repeated rows get the same verdict each; other columns are not read.
+    gives an empty result; repeated rows get the same verdict each; texts of any length are judged
+    whole; other columns are not read.
     """
     cascade = ordered(rules, calibrate(docs, rules, text_col=text_col, task_rows=task_rows, after=BASE_RULES))
     id_type = docs.schema[id_col].dataType
@@ -224,7 +225,8 @@ def assess(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "d
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + RULES, *, text_col: str = "text", task_rows: int = 64) -> DataFrame:
     """The rows of ``docs``, with all their columns, that no rule rejects. Nulls and empty texts have
-    no words and go; texts of any length are judged whole; repeated rows are judged alike."""
+    no words and go; texts of any length are judged whole; repeated rows are judged alike; an empty
+    table gives an empty result; no column is added, so none can clash."""
     cascade = ordered(rules, calibrate(docs, rules, text_col=text_col, task_rows=task_rows))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -135,3 +135,22 @@ def test_components_of_stars_chains_and_repeats(spark):
         for a, b in chain:
             root[a] = root[b] = min(root[a], root[b])
     assert of(chain) == {k: v for k, v in root.items() if any(a != b and k in (a, b) for a, b in chain)}
+
+
+def test_recall_by_band_on_the_stages_own_input(spark):
+    """Every pair of 0.8 or more that brute force finds in what the stage gets is one component, in each band."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    kept = corpus_pipeline.exact_stage(spark, corpus_pipeline.quality_stage(spark, docs, ""), "").select("doc_id", "text").collect()
+    rnd = random.Random(7)
+    more = [(10**9 + 100 * k + e, " ".join(edited(rnd, r.text.split(), min(e, len(r.text.split()))))) for k, r in enumerate(kept[:15]) for e in (1, 2, 3)]
+    rows = [(r.doc_id, r.text) for r in kept] + more
+    sets = [plain_set(t) for _, t in rows]
+    found = {r.doc_id: r.component_id for r in near_sets.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    bands = {}
+    for i, x in enumerate(sets):
+        for j in range(i):
+            both = len(x & sets[j])
+            if both and (score := both / (len(x) + len(sets[j]) - both)) >= 0.8:
+                bands.setdefault(int(score * 20), []).append(found[rows[i][0]] == found[rows[j][0]])
+    assert len(bands) >= 2 and all(all(x) for x in bands.values())
+    assert found == {i: c for (i, _), c in zip(rows, plain_components(rows), strict=True)}
