@@ -208,3 +208,20 @@ def test_slabs_equal_brute_force_and_bound_what_meets(spark):
     want = {(i, k) for i, x, y in at for k, ring in rings.items() if inside(x, y, ring)}
     table = spark.createDataFrame(edges, "area_id string, x1 double, y1 double, x2 double, y2 double")
     assert {tuple(r) for r in polygons.in_area(points(spark, at), table, point_id="collision_index").collect()} == want
+
+
+def test_copies_of_points_and_lines_meet_once(spark, monkeypatch):
+    at = [(f"p{k}", 50.0, 5.0) for k in range(60)] + [(f"q{k}", 50.0, 900.0) for k in range(60)] + [("twice", 50.0, 5.0), ("twice", 50.0, 40.0), (None, 50.0, 5.0), ("n", None, 1.0)]
+    lines = [(f"s{k:02}", 0.0, 0.0, 100.0, 0.0) for k in range(30)] + [("s00", 0.0, 10.0, 100.0, 10.0)]
+    met, meetings = [], matching._meetings
+    monkeypatch.setattr(matching, "_meetings", lambda *a: met.append(meetings(*a)) or met[-1])
+    for full in (50_000, 20):  # with 20 the points of a place are dealt
+        monkeypatch.setattr(matching, "FULL", full)
+        pairs = [tuple(r) for r in matching.within_distance(points(spark, at), pieces(spark, lines), 45.0).collect()]
+        want = [(p, f"s{k:02}", 5.0) for p in [f"p{k}" for k in range(60)] + [None, "twice"] for k in range(30)]
+        assert sorted(pairs, key=repr) == sorted(want, key=repr)
+        got = {r.collision_index: r for r in matching.match(points(spark, at), pieces(spark, lines)).collect()}
+        assert len(got) == 123 and {got[f"p{k}"].candidate_count for k in range(60)} == {30} and got["twice"].candidate_count == 30 and got[None].candidate_count == 0
+        assert {(got[f"q{k}"].nearest_segment_id, got[f"q{k}"].distance_m) for k in range(60)} == {("s00", 890.0)} and got["n"].nearest_segment_id is None
+    # two places of points (and that of the repeated id) and two shapes of lines
+    assert sum(df.count() for df in met) <= 6 * len(met)
