@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from linkrisk.functions import rates
 from linkrisk.operators import baseline, evidence, gates, metrics, nb2, panel, ranking, screening, selection, serving
 from linkrisk.operators.gates import ValidationError
 
@@ -301,3 +302,14 @@ def test_conjugate_gradients_solve():
     m = rng.normal(size=(40, 30))
     matrix, right = m.T @ m + np.eye(30), rng.normal(size=30)
     assert np.allclose(nb2.conjugate_gradients(lambda v: matrix @ v, right, np.diag(matrix)), np.linalg.solve(matrix, right), atol=1e-7)
+
+
+def test_equal_exposure_ranks_by_key_in_whatever_order_it_is_added(spark):
+    years, flows = range(1995, 2005), [0.1 * 10**5, 0.7 * 10**4, 123.456, 987654.321, 0.3, 1e7 / 3, 5.5, 77.7, 1e6 / 7, 2e5 / 9]
+    rows = [(f"s{k:03}", y, flows[(i * (1 + 2 * (k % 2)) + k) % 10], 3, 1) for k in range(200) for i, y in enumerate(years)]
+    table = spark.createDataFrame(rows, "segment_key string, year int, annual_vehicle_km double, collision_count long, ksi_count long").repartition(7)
+    got = {r.segment_key: r.screening_rank for r in screening.screen(table).collect()}
+    assert got == {f"s{k:03}": k + 1 for k in range(200)}
+    small = spark.createDataFrame([("a", 1.0), ("a", float("inf")), ("b", 1e-7), ("b", 2e-7), ("c", None), ("d", 1e300), ("d", 1.0)], "k string, x double")
+    sums = dict(small.groupBy("k").agg(rates.exact_sum(F.col("x"))).collect())
+    assert sums == {"a": float("inf"), "b": pytest.approx(3e-7), "c": None, "d": 1e300}
