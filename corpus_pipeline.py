@@ -13,7 +13,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from linkrisk.llm import exact_dedup, mixing, near_sets, packing, quality
+from linkrisk.llm import exact_dedup, mixing, near_sets, packing, quality, simhash
 from linkrisk.llm.common import stored, table
 
 
@@ -29,10 +29,12 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by a Jaccard coefficient of 0.8 of five-word shingles the document with
-    the smallest id. Four bits of a SimHash miss most of these links, so sets are joined exactly.
+    """Of each group linked by four bits of a SimHash of four-word shingles (:func:`op8's operator
+    <linkrisk.llm.simhash.keep_first>`) the document with the smallest id; then the same of each group linked by a
+    Jaccard coefficient of 0.8 of five-word shingles. The SimHash misses most of the latter, so these sets are joined exactly.
     Documents without id stay where no row of their group has one; repeated rows share one verdict."""
-    return near_sets.keep_first(docs, width=5, similarity=0.8)
+    first = stored(simhash.keep_first(docs), "simhash-kept")
+    return near_sets.keep_first(first, width=5, similarity=0.8)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -154,3 +154,13 @@ def test_recall_by_band_on_the_stages_own_input(spark):
                 bands.setdefault(int(score * 20), []).append(found[rows[i][0]] == found[rows[j][0]])
     assert len(bands) >= 2 and all(all(x) for x in bands.values())
     assert found == {i: c for (i, _), c in zip(rows, plain_components(rows), strict=True)}
+
+
+def test_near_stage_also_drops_what_its_simhash_links(spark, docs, monkeypatch):
+    seen, keep = [], corpus_pipeline.simhash.keep_first
+    monkeypatch.setattr(corpus_pipeline.simhash, "keep_first", lambda df: seen.append(keep(df)) or seen[-1])
+    rnd = random.Random(3)
+    rows = [(k, " ".join(f"w{rnd.randrange(3000)}" for _ in range(80))) for k in range(4)]
+    rows += [(9, " ".join(reversed(rows[0][1].split()))), (10, "\t".join(rows[1][1].split()))]
+    left = {r.doc_id for r in corpus_pipeline.near_stage(spark, docs(rows), "").collect()}
+    assert left == {0, 1, 2, 3, 9} and {r.doc_id for r in seen[0].collect()} == {0, 1, 2, 3, 9}
