@@ -25,7 +25,8 @@ CUT = re.compile(r"(?<=\S)(?=[ \n])")
 UNEVEN = r"^$|^[ \n]|[ \n]$|[ \n][ \n]|[\x09\x0b-\x0d\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Marks that may end a word.
 MARKS = ".,;:!?*#%$&"
-CACHE_LIMIT = 1_600_000
+#: Chunks of a cache, some 200 bytes each: workers of a pipeline keep what earlier stages took beside it.
+CACHE_LIMIT = 400_000
 JOINED = 500
 
 _ENCODERS: dict[str, "Encoder"] = {}
