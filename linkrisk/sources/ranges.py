@@ -18,7 +18,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of a range, and what is held of it at once.
-RANGE, CHUNK = 32 << 20, 1 << 20
+RANGE, CHUNK, LEAST = 32 << 20, 1 << 20, 1 << 12
 #: Features lie in an array of the outermost object.
 DEPTH = 2
 #: Features that are passed on together.
@@ -32,14 +32,14 @@ def open_store(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), os.path.abspath(path))
 
 
-def _chunks(path: str, first: int, last: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
-    """The bytes from ``first`` to before ``last``, or to the end, with their places."""
+def _chunks(path: str, first: int, last: int | None = None, size: int = CHUNK) -> Iterator[tuple[int, np.ndarray]]:
+    """The bytes from ``first`` to before ``last``, or to the end, with their places, ``size`` at a time."""
     store, inner = open_store(path)
     with store.open_input_file(inner) as f:
         f.seek(first)
         at = first
         while last is None or at < last:
-            data = f.read(CHUNK if last is None else min(CHUNK, last - at))
+            data = f.read(size if last is None else min(size, last - at))
             if not data:
                 return
             yield at, np.frombuffer(data, dtype=np.uint8)
@@ -94,7 +94,7 @@ def _features(path: str, first: int, last: int, inside: bool, depth: int) -> Ite
     """The objects that begin in a range at the depth of features."""
     held: list[bytes] | None = None  # of an object that is open
     slashes = _slashes_before(path, first)
-    for at, data in _chunks(path, first):
+    for at, data in _chunks(path, first, size=min(CHUNK, max(LEAST, last - first))):  # not far beyond the range
         if at >= last and held is None:
             return
         odd, step, after = _marks(data, slashes)
@@ -133,7 +133,8 @@ def files_of(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 
 def collection_features(spark: SparkSession, path: str, *, size: int = RANGE) -> DataFrame:
-    """``value``: every feature of the collections below ``path``, as text; each of about ``size`` bytes' ranges is a task.
+    """``value``: every feature of the collections below ``path``, as text, read by ranges of about ``size`` bytes. A task takes as many
+    ranges as have RANGE bytes, or fewer where that leaves fewer tasks than shuffles have.
 
     The driver gets three numbers of each range."""
 
@@ -156,7 +157,8 @@ def collection_features(spark: SparkSession, path: str, *, size: int = RANGE) ->
     parts = [(f.path, at, min(at + size, f.length)) for f in files for at in range(0, f.length, size)]
     if not parts:
         return spark.createDataFrame([], "value string")
-    ranges = spark.createDataFrame(parts, "path string, first long, last long").repartition(len(parts))
+    tasks = min(len(parts), max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(f.length for f in files) // RANGE))
+    ranges = spark.createDataFrame(parts, "path string, first long, last long").repartition(tasks)
     told = {(r.path, r.first): r for r in ranges.mapInArrow(summarise, "path string, first long, last long, odd boolean, outside long, inside long").collect()}
     begun, text, depth = [], False, 0
     for name, first, last in parts:
@@ -165,10 +167,25 @@ def collection_features(spark: SparkSession, path: str, *, size: int = RANGE) ->
         r = told[name, first]
         depth += r.inside if text else r.outside
         text ^= r.odd
-    begun = spark.createDataFrame(begun, "path string, first long, last long, text boolean, depth long").repartition(len(parts))
+    begun = spark.createDataFrame(begun, "path string, first long, last long, text boolean, depth long").repartition(tasks)
     return begun.mapInArrow(cut, "value string")
 
 
+def joined(spark: SparkSession, parts: str, target: str) -> None:
+    """One file ``target`` of the files in the folder ``parts``, in order of their names, copied a piece at a time by one task."""
+
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, inner = open_store(target)
+        store.create_dir(os.path.dirname(inner))
+        with store.open_output_stream(inner) as out:
+            for path in sorted(r["path"] for r in _rows(batches)):
+                for _, data in _chunks(path, 0):
+                    out.write(data.tobytes())
+        yield pa.RecordBatch.from_pydict({"n": [1]})
+
+    files_of(spark, parts, "part-*").select("path").coalesce(1).mapInArrow(copy, "n long").collect()
+
+
 def streamed_digests(files: DataFrame) -> DataFrame:
     """path, length and sha256 of ``files`` (path, length), each read through in one task, a piece at a time."""
 

@@ -246,3 +246,22 @@ def test_large_files_are_digested_in_pieces(spark, tmp_path, monkeypatch):
     (tmp_path / "small.bin").write_bytes(b"x")
     got = {r.filename: (r.bytes, r.sha256) for r in files.file_inventory(spark, str(tmp_path), "*.bin", whole=1000).collect()}
     assert got == {p.name: (p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in tmp_path.glob("*.bin")}
+
+
+def test_ranges_of_collections_are_read_about_once_and_by_few_tasks(spark, tmp_path, monkeypatch):
+    path, n = tmp_path / "all.json", 12_000
+    path.write_text('{"type": "FeatureCollection", "features": [' + ",".join(f'{{"type": "Feature", "k": {k}, "name": "{"x" * 60}"}}' for k in range(n)) + "]}")
+    found = ranges.collection_features(spark, str(path), size=1 << 13)
+    assert found.count() == n and found.rdd.getNumPartitions() <= 4  # those of a shuffle, not one a range
+    chunks, read = ranges._chunks, []
+    monkeypatch.setattr(ranges, "_chunks", lambda *a, **k: (read.append(len(data)) or (at, data) for at, data in chunks(*a, **k)))
+    size = path.stat().st_size
+    got = sum(len(list(ranges._features(str(path), at, at + (1 << 13), False, 2 if at else 0))) for at in range(0, size, 1 << 13))
+    assert got > 0 and sum(read) < 4 * size
+
+
+def test_parts_are_joined_in_order(spark, tmp_path):
+    rows = spark.range(2000).select((F.col("id") * 7919 % 2000).alias("k"))
+    rows.repartitionByRange(5, "k").sortWithinPartitions("k").select(F.col("k").cast("string").alias("value")).write.text(str(tmp_path / "parts"))
+    ranges.joined(spark, str(tmp_path / "parts"), str(tmp_path / "whole" / "part-00000.txt"))
+    assert (tmp_path / "whole" / "part-00000.txt").read_text() == "".join(f"{k}\n" for k in range(2000))
