@@ -225,3 +225,26 @@ def test_copies_of_points_and_lines_meet_once(spark, monkeypatch):
         assert {(got[f"q{k}"].nearest_segment_id, got[f"q{k}"].distance_m) for k in range(60)} == {("s00", 890.0)} and got["n"].nearest_segment_id is None
     # two places of points (and that of the repeated id) and two shapes of lines
     assert sum(df.count() for df in met) <= 6 * len(met)
+
+
+def test_pairs_of_a_place_are_not_shuffled(spark, monkeypatch):
+    """The two nearest lines of a place are found in the tasks of the join, from bundles of equal lines."""
+    rnd = random.Random(3)
+    at = [(f"p{k}", rnd.uniform(0, 900), rnd.uniform(0, 900)) for k in range(200)]
+    own = [tuple(rnd.uniform(0, 900) for _ in range(4)) for _ in range(40)]
+    lines = [(f"s{(7 * k + n) % 400:03}", *c) for k, c in enumerate(own) for n in range(0, 400 if k == 0 else 1, 100)] + [("t0", *own[3]), ("t0", *own[4]), ("t1", *own[4]), ("t1", *own[3])]
+    near, kept = [], matching.stored
+    monkeypatch.setattr(matching, "stored", lambda df, label: near.append((label, df._jdf.queryExecution().executedPlan().toString())) or kept(df, label))
+    got = {r.collision_index: r for r in matching.match(points(spark, at), pieces(spark, lines)).collect()}
+    top = next(plan for label, plan in near if label == "top")
+    assert top.count("Exchange") == 2  # places and pieces, by their cells
+    for p, x, y in at:
+        each: dict[str, float] = {}
+        for s, *c in lines:
+            each[s] = min(each.get(s, math.inf), _distance(x, y, *c))
+        order = sorted((d, s) for s, d in each.items())
+        close = [d for d, _ in order if d <= 50]
+        r = got[p]
+        assert r.nearest_segment_id == order[0][1] and r.candidate_count == len(close) and abs(r.distance_m - order[0][0]) < 0.006
+        assert r.match_status == ("out_of_range" if not close else "ambiguous" if len(close) > 1 and close[1] - close[0] <= 10 else "accepted")
+        assert (r.second_distance_m is None) == (len(close) < 2) and (len(close) < 2 or abs(r.second_distance_m - close[1]) < 0.006)
