@@ -313,3 +313,21 @@ def test_equal_exposure_ranks_by_key_in_whatever_order_it_is_added(spark):
     small = spark.createDataFrame([("a", 1.0), ("a", float("inf")), ("b", 1e-7), ("b", 2e-7), ("c", None), ("d", 1e300), ("d", 1.0)], "k string, x double")
     sums = dict(small.groupBy("k").agg(rates.exact_sum(F.col("x"))).collect())
     assert sums == {"a": float("inf"), "b": pytest.approx(3e-7), "c": None, "d": 1e300}
+
+
+def test_the_held_out_authority_reads_its_rows_once(spark):
+    """Training rows that cost much to make are made once, however many passes the fit takes."""
+    from linkrisk.operators import nb2
+
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = [(f"k{i}", 1995 + i % 4, i % 5, 1e6 * (1 + i % 7), str(i % 3), f"c{i % 2}") for i in range(120)]
+    schema = "segment_key string, year int, ksi_count long, annual_vehicle_km double, local_authority_code string, road_category string"
+    got = nb2.authority_holdout(spark.createDataFrame(rows, schema).mapInArrow(counted, schema)).collect()
+    assert {(r.model, r.held_out_authority, r.training_rows, r.n_rows) for r in got} == {("spf", "2", 80, 40), ("exposure_rate_baseline", "2", 80, 40)}
+    assert made.value == len(rows)
