@@ -331,3 +331,19 @@ def test_the_held_out_authority_reads_its_rows_once(spark):
     got = nb2.authority_holdout(spark.createDataFrame(rows, schema).mapInArrow(counted, schema)).collect()
     assert {(r.model, r.held_out_authority, r.training_rows, r.n_rows) for r in got} == {("spf", "2", 80, 40), ("exposure_rate_baseline", "2", 80, 40)}
     assert made.value == len(rows)
+
+
+def test_the_gates_of_a_panel_read_it_once(spark):
+    from linkrisk.operators import panel
+
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    schema = "segment_key string, year int, source_year int, " + ", ".join(f"{c} string" for c in panel.PANEL_COLUMNS if c not in ("segment_key", "year", "source_year"))
+    rows = spark.range(50).selectExpr("string(id) AS segment_key", "1995 AS year", "1995 AS source_year", *(f"'x' AS {c}" for c in panel.PANEL_COLUMNS if c not in ("segment_key", "year", "source_year")))
+    panel.build_panel([rows.mapInArrow(counted, schema)])
+    assert made.value == 50
