@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import look_up, parallelism, stored, text_of, unused
+from .memory import lean
 from .simhash import SEED, components
 
 #: Counters of the tables that order shingles and that tell candidates from others.
@@ -96,7 +97,7 @@ def shingle_counts(docs: DataFrame, *, text_col: str = "text", width: int = 5) -
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(slots, dtype=np.int64)
-        for batch in batches:
+        for batch in lean(batches, 0):
             sets = [shingles(x.as_buffer().to_pybytes(), width) for x in batch.column(0)]
             own += np.bincount(slot_of(np.concatenate([*sets, np.zeros(0, dtype=np.uint64)]), slots), minlength=slots)
         at = np.flatnonzero(own)
@@ -113,7 +114,7 @@ def marks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
     counts = np.minimum(counts, np.iinfo(np.uint32).max).astype(np.uint32)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches, 0):
             sets = [shingles(x.as_buffer().to_pybytes(), width) for x in batch.column(0)]
             keys = [prefix(x, counts, similarity).view(np.int64) for x in sets]
             yield pa.RecordBatch.from_arrays(
@@ -162,7 +163,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, *, text_col: str, width: int) ->
     asked = counted(nodes.select(F.pmod("node", F.lit(SLOTS)).cast("int").alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("n"))) > 0
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches, 0):
             sets = [shingles(x.as_buffer().to_pybytes(), width) for x in batch.column(0)]
             some = [(k, x.tobytes()) for x in sets if asked[(k := node_of(x)) % len(asked)]]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int64()), pa.array([x for _, x in some], pa.binary())], names=["node", "own"])
@@ -177,7 +178,7 @@ def verified(pairs: DataFrame, docs: DataFrame, *, text_col: str, width: int, si
     sets = stored(sets_of(docs, nodes, text_col=text_col, width=width), "shingle-sets")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches, 2):
             own = [[np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in batch.column(k)] for k in (2, 3)]
             good = [linked(x, y, similarity) for x, y in zip(*own, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(good, pa.bool_())) for k in (0, 1)], names=["a", "b"])

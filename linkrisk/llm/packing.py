@@ -20,11 +20,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored, text_of, unused
-from .tokens import encoder, ranges, sliced_array
+from .memory import lean
+from .tokens import encoder, ranges
 
 CAPACITY = 2048
 #: Pieces of one length that are ranked together, on average at most.
 WINDOW_ROWS = 250
+#: Bytes of text that are encoded at a time.
+BATCH = 2_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 Group = tuple[int, list[tuple[int, int]]]  # sequences, and in each how many pieces of which length
 
@@ -154,24 +157,23 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
     doc_id, piece, start, length, ids_crc32.
 
     A null text is empty and gives one piece, ``end_id`` alone. Texts may be of any length; a batch
-    of about 4 MB, or one longer text, is encoded at a time. Other columns are not read."""
+    of about 2 MB, or one longer text, is encoded at a time. Other columns are not read."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, names = encoder(tokenizer).encode_array, [x.split()[0] for x in PIECES.split(", ")]
-        for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).cast(pa.large_string())
-            for a, b in sliced_array(texts):
-                ids, sizes = encode(texts.slice(a, b - a))
-                ids = np.insert(ids, np.cumsum(sizes), end_id).tobytes()
-                sizes += 1
-                pieces = -(-sizes // capacity)
-                number = ranges(np.zeros(b - a, dtype=np.int64), pieces)
-                owner = np.repeat(np.arange(b - a), pieces)
-                start = number * capacity
-                length = np.minimum(sizes[owner] - start, capacity)
-                at = 4 * ((np.cumsum(sizes) - sizes)[owner] + start)
-                crc = [zlib.crc32(ids[x : x + 4 * n]) for x, n in zip(at.tolist(), length.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a).take(pa.array(owner)), pa.array(number, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], names=names)
+        for batch in lean(batches, 1, BATCH):
+            n_texts = batch.num_rows
+            ids, sizes = encode(batch.column(1).cast(pa.large_string()))
+            ids = np.insert(ids, np.cumsum(sizes), end_id).tobytes()
+            sizes += 1
+            pieces = -(-sizes // capacity)
+            number = ranges(np.zeros(n_texts, dtype=np.int64), pieces)
+            owner = np.repeat(np.arange(n_texts), pieces)
+            start = number * capacity
+            length = np.minimum(sizes[owner] - start, capacity)
+            at = 4 * ((np.cumsum(sizes) - sizes)[owner] + start)
+            crc = [zlib.crc32(ids[x : x + 4 * n]) for x, n in zip(at.tolist(), length.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(number, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], names=names)
 
     return docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text")).mapInArrow(cut, PIECES)
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import rows_of, text_of
+from .memory import lean
 from .tokens import sliced
 
 SYMBOLS = "[#*$%&|<>]"
@@ -228,13 +229,11 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + RULES, *,
     no words and go; texts of any length are judged whole; repeated rows are judged alike; an empty
     table gives an empty result; no column is added, so none can clash."""
     cascade = ordered(rules, calibrate(docs, rules, text_col=text_col, task_rows=task_rows))
+    at = docs.columns.index(text_col)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index(text_col)
-            texts = ["" if x is None else x for x in batch.column(at).to_pylist()]
-            for a, b in sliced(texts):
-                good = run_cascade(pa.array(texts[a:b], pa.large_string()), cascade) < 0
-                yield batch.slice(a, b - a).filter(pa.array(good))
+        for batch in lean(batches, at):
+            texts = batch.column(at).cast(pa.large_string()).fill_null("")
+            yield batch.filter(pa.array(run_cascade(texts, cascade) < 0))
 
     return docs.mapInArrow(judge, docs.schema)

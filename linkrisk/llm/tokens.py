@@ -193,8 +193,8 @@ def sliced(texts: list[str], most: int = 4_000_000):
 
 
 def sliced_array(texts: pa.Array, most: int = 4_000_000):
-    """Ranges of an array of texts with about ``most`` bytes each."""
-    size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    """Ranges of an array of texts with about ``most`` bytes each; a null has none."""
+    size = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < len(texts):
         stop = min(len(texts), int(np.searchsorted(size, (size[start - 1] if start else 0) + most)) + 1)
