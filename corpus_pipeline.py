@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkrisk.llm import exact_dedup, mixing, near_sets, packing, quality, simhash
-from linkrisk.llm.common import stored, table, text_of
+from linkrisk.llm.common import stored, table, text_of, unused
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +41,9 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled so that token shares fit the softened marginals of source, language, topic (by
     the initials of all words). Null values are a value of their own; a document without id is drawn by its text; repeated rows agree."""
-    dims = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.main_topic(text_of("text"))}
-    return mixing.mixing_weights(docs, dims=dims).where("sampled").select(docs.columns)
+    (topic,) = unused(docs, "_topic")
+    dims = {"source": F.col("source"), "lang": F.col("lang"), "topic": F.col(topic)}
+    return mixing.mixing_weights(docs.withColumn(topic, mixing.main_topic(text_of("text"))), dims=dims).where("sampled").select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
