@@ -227,6 +227,27 @@ def test_copies_of_points_and_lines_meet_once(spark, monkeypatch):
     assert sum(df.count() for df in met) <= 6 * len(met)
 
 
+def test_many_pairs_have_many_tasks_and_are_rounded_by_place(spark, monkeypatch):
+    rnd = random.Random(12)
+    places = [(rnd.uniform(0, 900), rnd.uniform(0, 900)) for _ in range(40)]
+    at = [(f"p{k}", *places[k % 40]) for k in range(400)] + [("twice", *places[0]), ("twice", *places[1]), ("zero", 0.0, 300.0), ("less", -0.0, 300.0)]
+    lines = [(f"s{k:02}", *(rnd.uniform(0, 900) for _ in range(4))) for k in range(30)] + [("left", 0.0, 290.0, 1.0, 310.0)]
+    exact = {}
+    for i, x, y in at:
+        for s, *c in lines:
+            exact[i, s] = min(exact.get((i, s), 1e9), _distance(x, y, *c))
+    want = {k: round(d, 3) for k, d in exact.items() if d <= 45.0}
+    monkeypatch.setattr(matching, "PAIRS", 50)
+    for full in (50_000, 5):  # with 5 the points of a place are dealt
+        monkeypatch.setattr(matching, "FULL", full)
+        pairs = matching.within_distance(points(spark, at), pieces(spark, lines), 45.0, digits=3)
+        assert "round(" not in pairs._jdf.queryExecution().optimizedPlan().toString()  # the pairs get what is rounded once a place
+        rows = pairs.collect()
+        assert len(rows) == len(want) > 500 and {(r[0], r[1]): r[2] for r in rows} == want
+        alone = matching.within_distance(points(spark, [p for p in at if p[0] != "twice"]), pieces(spark, lines), 45.0, digits=3)
+        assert alone.rdd.getNumPartitions() >= len(want) / 50 / 2  # the session's own number is 4
+
+
 def test_pairs_of_a_place_are_not_shuffled(spark, monkeypatch):
     """The two nearest lines of a place are found in the tasks of the join, from bundles of equal lines."""
     rnd = random.Random(3)
